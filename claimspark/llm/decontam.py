@@ -57,11 +57,12 @@ def verified(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, overlap: in
     near = docs.select(row_key(doc_id, text).alias("_row"), text).join(small_side(hits), "_row").select("_row", "item_id", "shift", words(text).alias("_w"))
     both = near.join(small_side(items), "item_id")
     skip = F.greatest(-F.col("shift"), F.lit(0))  # item words that lie before the text
-    a, b = F.slice("_w", F.greatest("shift", F.lit(0)) + 1, F.size("_b") - skip), F.slice("_b", skip + 1, ALL)
+    a = F.slice("_w", F.greatest("shift", F.lit(0)) + 1, F.size("_b") - skip)
+    b = F.slice("_b", skip + 1, F.size(a))
     flags = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
     size = F.least(F.lit(overlap), F.size("_b"))
     need = F.ceil(size * (1 - substitutions))
-    found = both.select("_row", "item_id", F.greatest("shift", F.lit(0)).alias("start"), F.least(F.size(a), F.size(b)).alias("words"), flags.alias("_f"), size.alias("_k"), need.alias("_need"))
+    found = both.select("_row", "item_id", F.greatest("shift", F.lit(0)).alias("start"), F.size(b).alias("words"), flags.alias("_f"), size.alias("_k"), need.alias("_need"))
     window = F.exists(F.sequence(F.lit(1), F.greatest(F.size("_f") - F.col("_k") + 1, F.lit(1))), lambda i: F.aggregate(F.slice("_f", i, F.col("_k")), F.lit(0), lambda s, x: s + x) >= F.col("_need"))
     return found.filter((F.size("_f") >= F.col("_k")) & window).select("_row", "item_id", "start", "words").distinct()
 
