@@ -7,9 +7,9 @@ probability 5e-11.
 
 Links: (1) each node of a bucket is linked to the bucket's smallest node, if their full sets confirm it; components are
 formed. (2) Only buckets that still hold several components are looked at again: their nodes are cut into blocks, and
-each pair of blocks is one unit of work, in which pairs of different components are compared by set size and odd
-sketch; only those that may reach the threshold are confirmed on full sets. Nothing is capped: a bucket of any size is
-handled in bounded memory, and a group of near copies costs one pair a node, not all pairs.
+pairs of blocks are units of work, in which nodes of different components are compared by set size and odd sketch, and
+those that may reach the threshold on full sets. A unit returns fewer links than it has nodes. Nothing is capped: a
+bucket of any size is handled in bounded memory, and pairs are never rows.
 
 Defined cases: null text, or text without words, has an empty set, links with nothing and is its own component; with
 fewer than five words the whole sequence is the one shingle; rows that repeat an id or have none keep their rows, a null
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, arrow_column, cut, ready_for_arrow, row_key, small_side, with_arrow
 from .words import lower, mixed, word_hashes
 
-SHINGLE, SAMPLES, ROWS, BITS, BLOCK = 5, 128, 4, 1024, 2048
+SHINGLE, SAMPLES, ROWS, BITS = 5, 128, 4, 1024
+#: Nodes, and hashes of their sets, of a block.
+BLOCK, HASHES = 2048, 1 << 20
 _rng = np.random.default_rng(20240607)
 A, B = (_rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in "ab")
 MIX = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,46 +133,73 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _sets_of(b: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    c = b.column(name)
+    at, values = c.offsets.to_numpy(), c.values.to_numpy()
+    return [values[i:j].copy() for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def links_across(root: np.ndarray, sk: np.ndarray, sets: list[np.ndarray], second: np.ndarray, threshold: int, same: bool) -> list[tuple[int, int]]:
+    """Links, by position, that a unit of work adds between roots: pairs that may reach the threshold by size and odd sketch and do by their full sets.
+
+    Roots that a link has joined are one from then on, so there are fewer links than nodes.
+    """
+    apart, n = most_bits_apart(threshold / 100), np.fromiter(map(len, sets), np.int64, len(sets))
+    label, found = np.unique(root, return_inverse=True)[1], []
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own, seen = np.split(ids, np.cumsum(n)[:-1]), np.zeros(ids.max() + 1, bool)
+    right = np.arange(len(sets)) if same else np.flatnonzero(second)
+    for i in range(len(sets)) if same else np.flatnonzero(~second):
+        js = right[right > i] if same else right
+        js = js[(label[js] != label[i]) & (100 * np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]))]
+        js = js[np.bitwise_count(sk[js] ^ sk[i]).sum(axis=1) <= apart]
+        if len(js):
+            seen[own[i]] = True
+            both = np.add.reduceat(seen[np.concatenate([own[j] for j in js])].astype(np.int64), np.cumsum(n[js]) - n[js])
+            seen[own[i]] = False
+            for j in js[100 * both >= threshold * (n[js] + n[i] - both)]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    found.append((int(i), int(j)))
+    return found
+
+
 def _across(groups: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different roots that share a unit of work and may reach the threshold by size and odd sketch."""
-    apart = most_bits_apart(threshold / 100)
-
-    def pairs(node: list, root: list, n: np.ndarray, sk: np.ndarray, second: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
-        roots = np.unique(np.array(root), return_inverse=True)[1]
-        right = np.arange(len(node)) if same else np.flatnonzero(second)
-        for i in range(len(node)) if same else np.flatnonzero(~second):
-            js = right[right > i] if same else right
-            js = js[(roots[js] != roots[i]) & (100 * np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]))]
-            if len(js):
-                for j in js[np.bitwise_count(sk[js] ^ sk[i]).sum(axis=1) <= apart]:
-                    yield (node[i], node[j]) if node[i] < node[j] else (node[j], node[i])
+    """Confirmed links (a, b) between different roots of a bucket. groups: key, main (one of its roots), node, root, n, sketch, hashes.
+
+    Nodes of the main root and the rest are cut into blocks of bounded number and size; a unit of work is two blocks, of which
+    one at least is of the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, unit = [], None
 
         def flush():
-            if len(held) > 1:
-                found = set(pairs([r["node"] for r in held], [r["root"] for r in held], np.array([r["n"] for r in held]), np.frombuffer(b"".join(r["sketch"] for r in held), np.uint64).reshape(len(held), -1), np.array([r["second"] for r in held]), unit[1] == unit[2]))
-                for i in range(0, len(found), 10_000):
-                    part = list(found)[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in part], pa.int64()), pa.array([b for _, b in part], pa.int64())], names=["a", "b"])
+            node, root, second, sk, sets = zip(*held, strict=True)
+            found = links_across(np.array(root), np.frombuffer(b"".join(sk), np.uint64).reshape(len(sk), -1), list(sets), np.array(second), threshold, unit[1] == unit[2])
+            yield pa.RecordBatch.from_arrays([pa.array([min(node[i], node[j]) for i, j in found], pa.int64()), pa.array([max(node[i], node[j]) for i, j in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for r in b.to_pylist():
-                if (at := (r["key"], r["low"], r["high"])) != unit:
-                    if unit:
+            units = zip(*(b.column(c).to_pylist() for c in ("key", "low", "high")), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in ("node", "root", "second", "sketch")), _sets_of(b, "hashes"), strict=True)
+            for at, row in zip(units, rows, strict=True):
+                if at != unit:
+                    if held:
                         yield from flush()
                     held, unit = [], at
-                held.append(r)
-        if unit:
+                held.append(row)
+        if held:
             yield from flush()
 
-    size = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    units = groups.join(size, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("second"), "node", "root", "n", "sketch")
+    is_main = F.col("root") == F.col("main")
+    blocks = lambda cond: F.greatest(F.ceil(F.count_if(cond) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)) / HASHES)).cast("int")
+    size = groups.groupBy("key").agg(blocks(~is_main).alias("rest"), blocks(is_main).alias("mains"))
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    placed = groups.join(size, "key").withColumn("mine", F.when(is_main, F.col("rest") + at("mains")).otherwise(at("rest")))
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)))
+    units = units.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("second"), "node", "root", "sketch", "hashes")
     ready_for_arrow(groups.sparkSession)
-    return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a bigint, b bigint").distinct()
+    return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,9 +216,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id"
     roots = components(links)
     rooted = _rooted(shared.select("key", "node"), roots)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).filter("lo <> hi")
-    once = mixed.groupBy("lo", "hi", "c", "x", "y").agg(F.min("key").alias("key")).select("key")  # one of the buckets that hold the same nodes
-    rest = _across(rooted.join(once, "key").join(nodes.select("node", "n", "sketch"), "node"), threshold)
-    more = cut(_confirmed(rest.join(stars, ["a", "b"], "left_anti"), sets, threshold))
+    once = mixed.groupBy("lo", "hi", "c", "x", "y").agg(F.min("key").alias("key")).select("key", F.col("lo").alias("main"))  # one of the buckets that hold the same nodes
+    more = cut(_across(rooted.join(once, "key").join(nodes.select("node", "n", "sketch"), "node").join(sets, "node"), threshold))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     placed = signed.select("doc_id", F.col("n").alias("n_shingles"), "name", "row").join(_rooted(nodes.select("name", "node"), roots).select("name", "root"), "name", "left")
