@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from claimspark.plans import claims, lists, money
+
+ALL = money.QUERIES | lists.QUERIES | claims.QUERIES
+
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items()}
