@@ -16,6 +16,8 @@ stays empty; a text whose lines are all removed becomes empty.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import arrow_column, cut, ready_for_arrow, row_key, small_side, with_arrow
 from .words import INVERSE, PRIME, powers, word_hashes
 
-#: Words of a segment on average. Lines of up to SHORT words lose single words instead.
-SEGMENT, SHORT = 8, 17
+#: Words of a segment on average, doubled with each doubling of a line's words beyond LONG: a line of any length has about as many keys.
+SEGMENT, LONG = 8, 40
+#: Lines of up to SHORT words lose single words instead of segments.
+SHORT = 17
 
 
 class Lines:
@@ -64,27 +68,38 @@ def _lists(line: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 def coarse_keys(x: Lines) -> pa.ListArray:
     """Hashes of each line without no, one or two neighbouring segments: lines within one word edit share one.
 
-    Segments end behind each word whose hash is 0 modulo SEGMENT. Nothing left is no key: lines of one segment lose single
-    words, lines of two the word that ends the first.
+    Segments end behind each word whose hash is 0 modulo their length. Nothing left is no key: lines of one segment lose single
+    words, lines of two the word that ends the first. A line whose words are just at the bound of two lengths of segments has
+    the keys of both, as an edit can carry it over.
     """
-    every = np.arange(len(x.n))
-    ends = (x.h % np.uint64(SEGMENT) == 0) & (x.at + 1 < x.n[x.line])
+    keys, of = [x.whole], [np.arange(len(x.n))]
+    least, most, segment = 0, LONG, SEGMENT
+    while least <= x.n.max(initial=0):
+        for line, key in _segment_keys(x, (x.n >= least) & (x.n <= most), segment):
+            of.append(line)
+            keys.append(key)
+        least, most, segment = most, 2 * most, 2 * segment
+    return _lists(np.concatenate(of), np.concatenate(keys), len(x.n))
+
+
+def _segment_keys(x: Lines, mine: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, hashes) of the lines `mine` with something deleted, in segments of about `segment` words."""
+    ends = mine[x.line] & (x.h % np.uint64(segment) == 0) & (x.at + 1 < x.n[x.line])
     inner = np.bincount(x.line[ends], minlength=len(x.n))
     single = (x.n <= SHORT) | (inner == 0)
-    lone = single[x.line] | (ends & (inner == 1)[x.line])
+    lone = mine[x.line] & (single[x.line] | (ends & (inner == 1)[x.line]))
     line, at = x.line[lone], x.at[lone]
-    keys, of = [x.whole, x.without(line, at, at + 1)], [every, line]
+    yield line, x.without(line, at, at + 1)
     # all ends, with each line's first and last place
+    every = np.flatnonzero(mine)
     where = np.concatenate([every, x.line[ends], every])
-    place = np.concatenate([np.zeros(len(x.n), np.int64), x.at[ends] + 1, x.n])
+    place = np.concatenate([np.zeros(len(every), np.int64), x.at[ends] + 1, x.n[every]])
     order = np.lexsort((place, where))
     where, place = where[order], place[order]
     for k in (1, 2):
         a, b, w = place[:-k], place[k:], where[:-k]
         good = (w == where[k:]) & (b - a < x.n[w]) & (x.n[w] >= SHORT)
-        keys.append(x.without(w[good], a[good], b[good]))
-        of.append(w[good])
-    return _lists(np.concatenate(of), np.concatenate(keys), len(x.n))
+        yield w[good], x.without(w[good], a[good], b[good])
 
 
 #: Kinds of fine keys: the whole line, one word less, one word less at a given place.
@@ -144,13 +159,12 @@ def _texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFr
 def removed_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_row, gone array<int>): per document with removed lines, their places from 0."""
     lines = cut(_lines(docs, doc_id, text, least))
-    distinct = lines.groupBy("hi", "lo").agg(F.min(_place()).alias("at"), F.first("keys").alias("keys"))
-    distinct = cut(distinct)
-    copies = lines.select("_row", "line_no", "hi", "lo", _place().alias("own")).join(distinct.select("hi", "lo", "at"), ["hi", "lo"]).filter("own > at").select("_row", "line_no")
-    by_key = distinct.select("hi", "lo", F.explode("keys").alias("key"))
+    distinct = cut(lines.groupBy("hi", "lo").agg(F.min(_place()).alias("at")))
+    copies = lines.select("_row", "line_no", "hi", "lo", _place().alias("own")).join(distinct, ["hi", "lo"]).filter("own > at").select("_row", "line_no")
+    by_key = lines.select("hi", "lo", F.explode("keys").alias("key"))  # copies share all keys, and are gathered before the shuffle
     met = cut(by_key.groupBy("key").agg(F.min("hi").alias("a"), F.max("hi").alias("b")).filter("a <> b").select("key"))
     near = by_key.join(small_side(met), "key").select("hi", "lo").distinct()
-    near = _texts(docs, doc_id, text, cut(near.join(distinct.select("hi", "lo", "at"), ["hi", "lo"])))
+    near = _texts(docs, doc_id, text, cut(near.join(distinct, ["hi", "lo"])))
     near = cut(near.orderBy("at").withColumn("id", F.monotonically_increasing_id()))  # ids in the order of places, fixed by the table
 
     def fine(b: pa.RecordBatch) -> dict[str, list]:
@@ -167,7 +181,7 @@ def removed_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text:
         return {"same": [within_one_edit(x.split(), y.split()) for x, y in zip(arrow_column(b, "line"), arrow_column(b, "before"), strict=True)]}
 
     edited = cut(with_arrow(pairs, ["at"], "same boolean", same).filter("same").select("at").distinct())
-    names = edited.join(distinct.select("at", "hi", "lo"), "at").select("hi", "lo")
+    names = edited.join(distinct, "at").select("hi", "lo")
     all_of = lines.join(small_side(names), ["hi", "lo"], "left_semi").select("_row", "line_no")  # copies of a removed line are later still
     return cut(copies.unionByName(all_of).groupBy("_row").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))  # one text's lines
 

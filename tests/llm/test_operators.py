@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on a small table with odd rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -182,6 +183,17 @@ def test_op5(spark, folder, rows):
     assert sum(map(len, gone.values())) > 10
 
 
+def test_op5_lines_within_one_edit_share_a_coarse_key():
+    rng = random.Random(5)
+    for n in [5, 6, 16, 17, 18, 25, 39, 40, 41, 79, 80, 81, 159, 160, 161, 400]:
+        for _ in range(60):
+            line = [rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)]
+            i = rng.choice([0, n - 1, rng.randrange(n)])
+            lines = [line, line[:i] + line[i + 1 :], line[:i] + ["new"] + line[i:], [*line, "new"], [*line[:i], "other", *line[i + 1 :]]]
+            keys = [set(k) for k in linededup.coarse_keys(linededup.read([" ".join(x).encode() for x in lines])).to_pylist()]
+            assert all(keys[0] & k for k in keys[1:])
+
+
 def test_op6(spark, docs):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau"
     w = item.split()
