@@ -109,7 +109,6 @@ def judge(rated: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, level: float = 0.05) -> DataFrame:
-    """docs with `_q` and `_kept`. Texts of the labelled documents are joined with their labels; the rest stay in place."""
-    known = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_known")).distinct()
-    labelled = signals(docs.join(known, docs["doc_id"] == known["_known"], "left_semi"))
-    return judge(signals(docs), cut(certified_cutoffs(labelled, labels, stratum, risk=risk, level=level)), stratum)
+    """docs with `_q` and `_kept`. Signals are made once: docs and `_q` are written, then labelled and judged from there."""
+    rated = cut(signals(docs))
+    return judge(rated, cut(certified_cutoffs(rated, labels, stratum, risk=risk, level=level)), stratum)
