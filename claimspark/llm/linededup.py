@@ -1,7 +1,9 @@
 """Line deduplication within one word edit, by deletion neighbourhoods.
 
 A line (between line feeds) of at least `least` words is removed if an earlier one - by document id, then place in the
-document - is equal to it, or differs from it in one inserted, deleted or replaced word. Shorter lines always stay.
+document - is equal to it, or differs from it in one inserted, deleted or replaced word. Lines of `exact` words or more
+(default: `least`) are removed if an earlier one is equal; shorter ones stay. The queries have exact=1: each repeated line
+that has a word goes, and `least` bounds the one-edit join only, where short lines would meet by chance.
 
 Equal lines meet by a 128-bit hash first. Then two deletion neighbourhoods are joined: a coarse one with the line's
 segments (cut after words picked by their hash, so an edit changes one segment, or makes two of one) of which none, one or
@@ -124,8 +126,16 @@ def within_one_edit(a: list, b: list) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    """(_row, doc_id, line_no, hi, lo, keys) of each line of enough words."""
+def _keys_from(x: Lines, least: int) -> pa.ListArray:
+    """Coarse keys of the lines of at least `least` words; shorter ones have none."""
+    long = x.n >= least
+    keys, sizes = coarse_keys(Lines(x.n[long], x.h[long[x.line]])), np.zeros(len(x.n) + 1, np.int64)
+    sizes[1:][long] = np.diff(keys.offsets.to_numpy())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), keys.values)
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str, least: int, exact: int) -> DataFrame:
+    """(_row, doc_id, line_no, hi, lo, keys) of each line of `exact` words or more; of fewer than `least`, keys are empty."""
 
     def rows_of(batches):
         for b in batches:
@@ -134,11 +144,11 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
             number = np.concatenate([np.arange(len(t)) for t in texts]) if texts else np.empty(0, np.int64)
             of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
             every = read(lines)
-            good = every.n >= least
+            good = every.n >= exact
             found = Lines(every.n[good], every.h[good[every.line]])
             of, number = of[good], number[good]
             h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(lines[i].split())) for i in np.flatnonzero(good)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of, pa.int32())) for c in ("_row", "doc_id")), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), coarse_keys(found)], names=["_row", "doc_id", "line_no", "hi", "lo", "keys"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of, pa.int32())) for c in ("_row", "doc_id")), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), _keys_from(found, least)], names=["_row", "doc_id", "line_no", "hi", "lo", "keys"])
 
     ready_for_arrow(docs.sparkSession)
     src = docs.select(row_key(doc_id, text).alias("_row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -156,10 +166,11 @@ def _texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFr
     return each.select("x.hi", "x.lo", "x.at", F.get("all", F.col("x.line_no")).alias("line"))
 
 
-def removed_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
     """(_row, gone array<int>): per document with removed lines, their places from 0."""
-    lines = cut(_lines(docs, doc_id, text, least))
-    distinct = cut(lines.groupBy("hi", "lo").agg(F.min(_place()).alias("at")))
+    lines = cut(_lines(docs, doc_id, text, least, least if exact is None else min(exact, least)))
+    each = lines.groupBy("hi", "lo").agg(F.min(_place()).alias("at"), F.count("*").alias("n"), F.max(F.size("keys")).alias("keys"))
+    distinct = cut(each.filter("n > 1 or keys > 0").select("hi", "lo", "at"))  # a lone line without keys meets nothing
     copies = lines.select("_row", "line_no", "hi", "lo", _place().alias("own")).join(distinct, ["hi", "lo"]).filter("own > at").select("_row", "line_no")
     by_key = lines.select("hi", "lo", F.explode("keys").alias("key"))  # copies share all keys, and are gathered before the shuffle
     met = cut(by_key.groupBy("key").agg(F.min("hi").alias("a"), F.max("hi").alias("b")).filter("a <> b").select("key"))
@@ -186,9 +197,9 @@ def removed_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text:
     return cut(copies.unionByName(all_of).groupBy("_row").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))  # one text's lines
 
 
-def dedup_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
     """docs with `text` rid of removed lines, and `_gone` with their places (null: none). Texts are joined once, with what they lose."""
-    gone = removed_lines(docs, least, doc_id, text).withColumnRenamed("gone", "_gone")
+    gone = removed_lines(docs, least, doc_id, text, exact).withColumnRenamed("gone", "_gone")
     out = docs.withColumn("_row", row_key(doc_id, text)).join(small_side(gone), "_row", "left").drop("_row")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))

@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no word is left go."""
-    done = linededup.dedup_lines(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    done = linededup.dedup_lines(docs, exact=1).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

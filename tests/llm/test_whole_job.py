@@ -1,0 +1,26 @@
+"""Cases that an operator once left out."""
+
+import re
+
+import corpus_pipeline
+from claimspark.llm import queries
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_op5_and_pipeline_remove_repeats_of_short_lines(spark, tmp_path):
+    texts = ["All rights reserved.\nkept one\n\nAnd ornd.", "x\n All  rights reserved.\n\nkept two", "And ornd.\nx\nx y", "kept one and\nx", None, "\n", "five words are just enough\nfive words are just"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCUMENTS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, gone = set(), {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            w = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if w in seen:
+                gone.setdefault(i, []).append(k)
+            seen |= {w} - {()}
+    assert gone == {1: [1], 2: [0, 1], 3: [1]}
+    got = {r["doc_id"]: r["removed"] for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(map(str, gone.get(i, []))) for i in range(len(texts))}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert kept == {0: texts[0], 1: "x\n\nkept two", 2: "x y", 3: "kept one and", 6: texts[6]}
