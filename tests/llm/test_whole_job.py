@@ -1,9 +1,10 @@
 """Cases that an operator once left out."""
 
+import json
 import re
 
 import corpus_pipeline
-from claimspark.llm import queries
+from claimspark.llm import chat, queries
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -24,3 +25,21 @@ def test_op5_and_pipeline_remove_repeats_of_short_lines(spark, tmp_path):
     assert got == {i: ",".join(map(str, gone.get(i, []))) for i in range(len(texts))}
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
     assert kept == {0: texts[0], 1: "x\n\nkept two", 2: "x y", 3: "kept one and", 6: texts[6]}
+
+
+def test_op3_keeps_all_fields_and_reads_functions_and_schemas(spark):
+    params = {"type": "object", "required": ["unit"], "properties": {"unit": {"enum": ["C", "F"]}, "place": {"type": "object", "required": ["lat"], "properties": {"lat": {"type": "number"}, "tags": {"type": "array", "items": {"type": "string"}}}}}}
+    args = {"good": {"unit": "C", "place": {"lat": 1.5, "tags": ["a", "b"]}}, "enum": {"unit": "K"}, "missing": {"unit": "F", "place": {}}, "deep": {"unit": "F", "place": {"lat": 1, "tags": ["a", 2]}}, "less": {"place": {"lat": 1}}}
+    calls = [{"id": k, "type": "function", "function": {"name": "w", "arguments": json.dumps(a), "strict": True}} for k, a in args.items()]
+    turns = [
+        (1, 0, "system", json.dumps({"tools": [{"type": "function", "function": {"name": "w", "parameters": params}}]})),
+        (1, 1, "assistant", json.dumps({"content": "let me look", "mood": [1], "tool_calls": [*calls, {"id": "u", "name": "other", "arguments": {}, "note": "n", "depends_on": ["good"]}]})),
+        (1, 2, "tool", json.dumps({"tool_call_id": "good", "content": "r", "name": "w", "is_error": True})),
+    ]
+    out = chat.link_tool_calls(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).collect()
+    got = {r["call_id"]: r for r in out if r["kind"] == "call"}
+    assert {k: (r["tool"], r["valid"], r["declared"]) for k, r in got.items()} == {k: ("w", k == "good", True) for k in args} | {"u": ("other", True, False)}
+    assert json.loads(got["good"]["json"])["arguments"] == args["good"] and got["good"]["linked"]
+    assert {k: r["turn_json"] for k, r in got.items() if r["turn_json"]} == {"good": '{"content":"let me look","mood":[1]}'}
+    assert got["good"]["extra"] == '{"function":{"strict":true},"type":"function"}' and got["u"]["extra"] == '{"depends_on":["good"],"note":"n"}'
+    assert [r["extra"] for r in out if r["kind"] == "result"] == ['{"is_error":true,"name":"w"}']
