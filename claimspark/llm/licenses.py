@@ -6,8 +6,8 @@ there (prefix filter); a block with fewer than `need` template tokens is out (le
 remaining tokens behind the match can't reach `need` (positional filter). What is left is verified in full. The template
 side is a fixed dictionary and travels with the tasks; texts are scanned in place and never shuffled.
 
-Blocks are windows of twice the longest template, half a window apart, so any passage as long as a template stands in one
-block whole. Templates with words in order (`phrases`) are joined at containment 1 and then located exactly.
+Blocks are windows half a window apart. Half a window has as many words as the longest template, repeated ones counted, and
+as many more as the threshold lets it miss, so any passage of that length stands in one block whole. Templates with words in order (`phrases`) are joined at containment 1 and then located exactly.
 
 Defined cases: null text is empty (no words); words of a text are counted from 0; repeated rows get equal results; with an
 empty table the order of tokens is alphabetical.
@@ -59,10 +59,11 @@ class Template(NamedTuple):
     tokens: frozenset
     need: int
     phrase: list[bytes] | None
+    n_words: int
 
 
 def build(templates: dict[str, str], phrases: dict[str, str], threshold: float) -> list[Template]:
-    return [Template(v, frozenset(s := words(k.encode())), len(set(s)), s) for k, v in phrases.items()] + [Template(v, frozenset(s := words(k.encode())), math.ceil(threshold * len(set(s))), None) for k, v in templates.items()]
+    return [Template(v, frozenset(s := words(k.encode())), len(set(s)), s, len(s)) for k, v in phrases.items()] + [Template(v, frozenset(s := words(k.encode())), math.ceil(threshold * len(set(s))), None, len(s)) for k, v in templates.items()]
 
 
 def document_counts(docs: DataFrame, vocabulary: frozenset, text: str = "text") -> dict[bytes, int]:
@@ -93,7 +94,7 @@ def index(templates: list[Template], counts: dict[bytes, int]) -> Index:
     for i, t in enumerate(templates):
         for p, r in enumerate(sorted(rank[w] for w in t.tokens)[: len(t.tokens) - t.need + 1]):
             prefixes.setdefault(r, []).append((i, p))
-    return Index(templates, rank, prefixes, 2 * max(len(t.phrase or t.tokens) for t in templates))
+    return Index(templates, rank, prefixes, 2 * max(t.n_words + len(t.tokens) - t.need for t in templates))
 
 
 def block_matches(block: list[int], ix: Index) -> list[tuple[int, float]]:

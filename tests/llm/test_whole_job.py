@@ -4,7 +4,7 @@ import json
 import re
 
 import corpus_pipeline
-from claimspark.llm import chat, queries
+from claimspark.llm import chat, licenses, queries
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -43,3 +43,20 @@ def test_op3_keeps_all_fields_and_reads_functions_and_schemas(spark):
     assert {k: r["turn_json"] for k, r in got.items() if r["turn_json"]} == {"good": '{"content":"let me look","mood":[1]}'}
     assert got["good"]["extra"] == '{"function":{"strict":true},"type":"function"}' and got["u"]["extra"] == '{"depends_on":["good"],"note":"n"}'
     assert [r["extra"] for r in out if r["kind"] == "result"] == ['{"is_error":true,"name":"w"}']
+
+
+def test_op1_finds_passages_at_any_place():
+    """With the words replaced or added that the threshold allows, at all alignments with the windows."""
+    whole = " ".join(f"w{k % 12}" for k in range(60))  # repeated words: far longer than its set
+    for templates in (licenses.TEMPLATES, {whole: "whole"}):
+        built = licenses.build(templates, licenses.PHRASES, 0.9)
+        ix = licenses.index(built, {})
+        for text, t in zip(templates, built[len(licenses.PHRASES) :], strict=True):
+            w, spare = text.split(), len(t.tokens) - t.need
+            once = [k for k, x in enumerate(w) if w.count(x) == 1]
+            lost = once[:spare]
+            passages = [w, [x if k not in lost else "zz" for k, x in enumerate(w)], [*w[:3], *["zz"] * spare, *w[3:]]]
+            for at in range(2 * ix.span):
+                for p in passages:
+                    found = licenses.scan(" ".join(["yy"] * at + p + ["yy"] * 90).encode(), ix)[1]
+                    assert any(m[0] == t.label and m[1] <= at and at + len(p) <= m[1] + m[2] for m in found), (text, at, p)
