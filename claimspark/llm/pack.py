@@ -2,11 +2,14 @@
 
 Lengths are counted to a histogram, which has at most as many entries as the largest capacity, whatever the corpus. Best
 fit by falling length runs on the histogram: equal bins are one entry with a count, so the plan's size depends on the
-capacities only. For each permitted capacity as the size to open, the plan is made and priced; the least-cost one wins
-("jointly"), and every bin is at last downsized to the smallest permitted capacity that holds its contents. The plan says
+capacities only. A plan is made and priced for each permitted capacity as the size to open, and one more that chooses the
+size of each group of bins it opens by the cost a unit of filling one from what is left of the histogram; the least-cost plan
+wins, and every bin is at last downsized to the smallest permitted capacity that holds its contents. The plan says
 which ranks among the pieces of a length go to which bins; ranks are counted in parallel, salted within a length, and a
 range join gives each piece its bin.
 
+Capacities, bin cost and lengths have one unit: the tokenizer's tokens if pack_texts is given one, else words.
+
 Texts longer than the largest capacity are cut into full pieces and a rest. Defined cases: length 0 or null has no piece
 and stays with bin null (query: n_pieces 0); ties of a length are ordered by the row's key; rows that repeat an id and a
 text are equal and get places of their own; an empty table gives an empty result.
@@ -14,16 +17,17 @@ text are equal and get places of their own; an empty table gives an empty result
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import blank_words, cut, let, row_key, small_side
 
-#: Permitted sequence lengths, and what a bin costs besides its capacity, in tokens.
+#: Permitted sequence lengths, and what a bin costs besides its capacity, in the unit of the lengths.
 CAPACITIES, BIN_COST = (512, 1024, 2048), 16
 #: Pieces ranked by one task.
 RANKED = 250_000
@@ -39,8 +43,24 @@ class Slot(NamedTuple):
     offset: int
 
 
-def plan(histogram: dict[int, int], capacities: tuple[int, ...], opened: int, bin_cost: int) -> tuple[float, list[Slot], list[tuple[int, int, int, int]]]:
-    """(cost, slots, bins as (first, count, capacity, fill)) of best fit by falling length that opens bins of `opened`, or the least larger capacity."""
+def cheapest(left: dict[int, int], lengths: list[int], length: int, capacities: tuple[int, ...], bin_cost: int) -> int:
+    """The capacity whose bin costs least a unit if it is filled by the largest pieces left that fit, first one of `length`. lengths: rising, up to it."""
+
+    def price(capacity: int) -> float:
+        room, k = capacity - length, len(lengths)
+        taken = {length: 1}
+        while room and (k := min(k, bisect_right(lengths, room))):
+            n = lengths[k - 1]
+            some = min(left[n] - taken.get(n, 0), room // n)
+            taken[n], room, k = taken.get(n, 0) + some, room - some * n, k - 1
+        fill = capacity - room
+        return (min(c for c in capacities if c >= fill) + bin_cost) / fill
+
+    return min((c for c in capacities if c >= length), key=lambda c: (price(c), c))
+
+
+def plan(histogram: dict[int, int], capacities: tuple[int, ...], opened: int | None, bin_cost: int) -> tuple[float, list[Slot], list[tuple[int, int, int, int]]]:
+    """(cost, slots, bins as (first, count, capacity, fill)) of best fit by falling length that opens bins of `opened`, or the least larger capacity; of the cheapest one if None."""
     open_bins: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # room -> (first bin, count, fill)
     rooms: list[int] = []
     slots: list[Slot] = []
@@ -51,12 +71,14 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...], opened: int, bi
             rooms.insert(bisect_left(rooms, room), room)
         open_bins[room].append(group)
 
-    for length in sorted(histogram, reverse=True):
+    lengths = sorted(histogram)
+    while lengths:
+        length = lengths[-1]
         rank, left = 0, histogram[length]
         while left:
             k = bisect_left(rooms, length)
             if k == len(rooms):
-                capacity = min(c for c in capacities if c >= max(length, opened))
+                capacity = cheapest(histogram | {length: left}, lengths, length, capacities, bin_cost) if opened is None else min(c for c in capacities if c >= max(length, opened))
                 each = capacity // length  # full bins of this length alone, and one for the rest
                 group, per = (left // each, each) if left >= each else (1, left)
                 for j in range(per):
@@ -76,12 +98,13 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...], opened: int, bi
                 put(room, (first + used, count - used, fill))
             put(room - length, (first, used, fill + length))
             rank, left = rank + used, left - used
+        lengths.pop()
     bins = sorted((first, count, min(c for c in capacities if c >= fill), fill) for groups in open_bins.values() for first, count, fill in groups)
     return sum(count * (c + bin_cost) for _, count, c, _ in bins), slots, bins
 
 
 def best_plan(histogram: dict[int, int], capacities: tuple[int, ...], bin_cost: int) -> tuple[list[Slot], list[tuple[int, int, int, int]]]:
-    return min((plan(histogram, capacities, c, bin_cost) for c in sorted(capacities)), key=lambda p: p[0])[1:]
+    return min((plan(histogram, capacities, c, bin_cost) for c in (*sorted(capacities), None)), key=lambda p: p[0])[1:]
 
 
 def pack(items: DataFrame, length: str = "length", key: str = "_row", capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST) -> DataFrame:
@@ -119,7 +142,11 @@ def pack(items: DataFrame, length: str = "length", key: str = "_row", capacities
     return placed.select(*out).unionByName(rest.select(*out))
 
 
-def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST) -> DataFrame:
-    """Pieces of docs by their numbers of words between white space: doc_id, length, and pack's columns. Texts are read once and not shuffled."""
+def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, tokenizer: str | None = None) -> DataFrame:
+    """Pieces of docs by their numbers of tokens by the tokenizer file, or without one of words between white space: doc_id, length, and pack's columns. Texts are read once and not shuffled."""
+    if tokenizer:
+        keyed = docs.select(doc_id, row_key(doc_id, text).alias("_row"), text)
+        items = tokens.count_tokens(keyed, tokenizer, [doc_id, "_row"], text).select(doc_id, "_row", F.col("n_tokens").alias("length"))
+        return pack(items, "length", "_row", capacities, bin_cost)
     items = docs.select(doc_id, row_key(doc_id, text).alias("_row"), F.size(blank_words(F.col(text))).cast("bigint").alias("length"))
     return pack(items, "length", "_row", capacities, bin_cost)

@@ -84,8 +84,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_texts(_table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_best_fit_packing, with lengths in op9's tokens instead of words."""
+    import public_tokenizers
+
+    return pack.pack_texts(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path(TOKENIZER)).drop("_row")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_personal_data, op3_tool_calls, op4_secrets, op5_line_dedup, op6_decontamination, op7_quality_rules, op8_near_duplicates, op9_token_counts, op10_best_fit_packing)
+    found = (op1_license_scan, op2_personal_data, op3_tool_calls, op4_secrets, op5_line_dedup, op6_decontamination, op7_quality_rules, op8_near_duplicates, op9_token_counts, op10_best_fit_packing, op10_token_packing)
     return {f.__name__: f for f in found}
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from claimspark.llm import decontam, linededup, neardup, pack, quality
 from claimspark.llm.common import shared_folder
+from claimspark.llm.queries import TOKENIZER
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack.pack_texts(docs).drop("_row")
+    """Bins hold op9's tokens."""
+    import public_tokenizers
+
+    return pack.pack_texts(docs, tokenizer=public_tokenizers.path(TOKENIZER)).drop("_row")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("best-fit packing", best_fit_packing)]

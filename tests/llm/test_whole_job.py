@@ -1,10 +1,11 @@
 """Cases that an operator once left out."""
 
 import json
+import random
 import re
 
 import corpus_pipeline
-from claimspark.llm import chat, licenses, queries
+from claimspark.llm import chat, licenses, pack, queries
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -60,3 +61,43 @@ def test_op1_finds_passages_at_any_place():
                 for p in passages:
                     found = licenses.scan(" ".join(["yy"] * at + p + ["yy"] * 90).encode(), ix)[1]
                     assert any(m[0] == t.label and m[1] <= at and at + len(p) <= m[1] + m[2] for m in found), (text, at, p)
+
+
+def test_op10_and_pipeline_pack_tokens(spark, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    texts = ["oak elm ash " * 300, "x1y2" * 5000, "中文字" * 900, "a b", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCUMENTS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.TOKENIZER))
+    n = {i: len(sp.encode(t or "")) for i, t in enumerate(texts)}
+    assert n[1] > 2048
+    for out in (corpus_pipeline.best_fit_packing(spark, docs, ""), queries.op10_token_packing(spark, str(tmp_path))):
+        got = out.collect()
+        assert {r["doc_id"]: r["length"] for r in got} == n
+        assert sum(r["piece_length"] or 0 for r in got) == sum(n.values())
+        fills = {}
+        for r in got:
+            if r["bin_id"] is not None:
+                fills.setdefault((r["bin_id"], r["bin_capacity"]), []).append(r["piece_length"])
+        assert all(sum(x) <= c for (_, c), x in fills.items())
+
+
+def test_op10_sizes_of_bins_are_chosen_one_by_one():
+    """A mix of lengths of which each kind is cheapest in a size of its own."""
+    rng, gained = random.Random(3), 0
+    for _ in range(60):
+        histogram = {rng.randrange(1, 2049): rng.randrange(1, 30) for _ in range(rng.randrange(1, 12))}
+        before = min(pack.plan(histogram, pack.CAPACITIES, c, pack.BIN_COST)[0] for c in pack.CAPACITIES)
+        cost, slots, bins = pack.plan(histogram, pack.CAPACITIES, None, pack.BIN_COST)
+        held = {}
+        for s in slots:
+            held[s.length] = held.get(s.length, 0) + s.count
+        assert held == histogram and all(0 < fill <= c for *_, c, fill in bins)
+        assert sum(k * v for k, v in histogram.items()) == sum(count * fill for _, count, _, fill in bins)
+        best = pack.best_plan(histogram, pack.CAPACITIES, pack.BIN_COST)[1]
+        got = sum(count * (c + pack.BIN_COST) for _, count, c, _ in best)
+        assert got == min(before, cost)
+        gained += got < before
+    assert gained
