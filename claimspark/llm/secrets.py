@@ -3,7 +3,8 @@
 The base rules (assign, access, hex) always stand. Weak parts - identifiers, keys, endpoints that alone prove nothing -
 are joined as intervals: each looks for the nearest complementary part of its text that ends at most `scope` code
 points before it or starts at most that far behind it. An identifier needs a secret; a key needs an identifier or an
-endpoint; an endpoint needs an identifier and a secret. The join is two ordered window passes over a text's parts, so its cost
+endpoint; an endpoint needs an identifier and a secret. No part has a greatest length. A key is a run of 32 characters or
+more, or of 8 (as in the assign rule) with a letter and a digit that isn't in an identifier or endpoint. The join is two ordered window passes over a text's parts, so its cost
 grows with the number of parts and no pairs are made. Only spans are shuffled, never texts.
 
 Matches are found by Java's regular expressions; their places are the running lengths of the gaps between them, in code
@@ -26,12 +27,14 @@ ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}"
 #: Weak parts: kind, pattern, group that is the part, and literals one of which any match holds in lower case.
 IDENTIFIER = r"""(?i)(access_?key_?id|client_?id|account_?id|username|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)"""
 ENDPOINT = r"""(?i)(https?://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9][A-Za-z0-9.:/_-]+)"""
-KEY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"
+KEY = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_-]{32,}+|(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{8,}+)={0,2}+(?![A-Za-z0-9+/_=-])"
+#: Characters, without padding, from which a key may lie in an identifier or endpoint.
+LONG_KEY = 32
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def places(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0, most: int = 2_000_000_000) -> Column:
-    """Spans of all matches, left to right, whose group has `least` to `most` characters."""
+def places(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """Spans of all matches, left to right, whose group has at least `least` characters."""
     steps = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"), F.split(text, pattern, -1).alias("gap"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
 
@@ -39,7 +42,7 @@ def places(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0
         begin = a["at"] + F.length(x["gap"])
         end = begin + F.length(x["m"])
         span = F.array(F.struct(F.lit(kind).alias("kind"), begin.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
-        fits = x["m"].isNotNull() & F.length(x["g"]).between(least, most)
+        fits = x["m"].isNotNull() & (F.length(x["g"]) >= least)
         return F.struct(F.coalesce(end, a["at"]).cast("bigint").alias("at"), F.when(fits, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(steps, start, step)["out"]
@@ -57,10 +60,15 @@ def parts(docs: DataFrame, text: str = "text") -> DataFrame:
         assign = F.when(_any(low, "passw", "secret", "token", "api"), places(t, "assign", ASSIGN, 2, 8)).otherwise(none)
         access = F.when(t.contains("AKIA"), places(t, "access", ACCESS, 0, 16)).otherwise(none)
         hexes = F.when(t.rlike(HEX), places(t, "hex", HEX, 0, 32)).otherwise(none)
-        identifier = F.when(_any(low, "id", "user", "login") & _any(t, ":", "="), places(t, "identifier", IDENTIFIER, 2, 3, 128)).otherwise(none)
-        endpoint = F.when(_any(low, "http", "host", "endpoint", "server"), places(t, "endpoint", ENDPOINT, 2, 4, 512)).otherwise(none)
-        key = F.when(t.rlike(KEY), places(t, "key", KEY, 0, 32, 130)).otherwise(none)
-        return F.struct(F.concat(assign, access, hexes).alias("base"), F.concat(identifier, endpoint, key).alias("weak"))
+        identifier = F.when(_any(low, "id", "user", "login") & _any(t, ":", "="), places(t, "identifier", IDENTIFIER, 2, 3)).otherwise(none)
+        endpoint = F.when(_any(low, "http", "host", "endpoint", "server"), places(t, "endpoint", ENDPOINT, 2, 4)).otherwise(none)
+        bare = lambda k: F.length(F.rtrim(F.substring(t, (k["start"] + 1).cast("int"), (k["end"] - k["start"]).cast("int")), F.lit("=")))
+        # a short key in a part that it would complete is that part itself
+        own = lambda named: lambda k: (bare(k) >= LONG_KEY) | ~F.exists(named, lambda p: (k["start"] < p["end"]) & (p["start"] < k["end"]))
+        # a key stands only with an identifier, access identifier or endpoint of its text
+        keys = lambda named: F.when((F.size(named) > 0) | (F.size(access) > 0), F.filter(places(t, "key", KEY), own(named))).otherwise(none)
+        weak = let(F.concat(identifier, endpoint), lambda named: F.concat(named, keys(named)))
+        return F.struct(F.concat(assign, access, hexes).alias("base"), weak.alias("weak"))
 
     found = let(or_empty(F.col(text)), lambda t: let(F.lower(t), lambda low: spans(t, low)))
     return docs.withColumn("_s_found", found).withColumn("_s_base", F.col("_s_found.base")).withColumn("_s_weak", F.col("_s_found.weak")).drop("_s_found")
