@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -45,33 +47,75 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("\0")), F.lit("\1"), F.coalesce(F.col(text).cast("string"), F.lit("\0"))))
 
 
+def free(name: str, *taken: list[str]) -> str:
+    """`name`, with as many underscores behind it as it takes to be none of the columns `taken`."""
+    have = {c.lower() for columns in taken for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, as in tests, a temporary one is set."""
+    """The cluster's spark.checkpoint.dir; where it is unset, as in tests, a temporary one is set if all runs on one machine."""
     if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return folder
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("executors need a folder that all of them share: set spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="claimspark-checkpoints-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder, so that a lost executor costs no earlier stage. Removed when the program ends."""
+    """df as a Parquet table in the shared checkpoint folder, so that a lost executor costs no earlier stage.
+
+    Removed when the `tidy` function that makes it is done, else when the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/claimspark-{uuid.uuid4().hex}"
+    _written[path] = spark
+    if scopes := getattr(_open, "scopes", None):
+        scopes[-1].append(path)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-_written: list[tuple[SparkSession, str]] = []
+def tidy(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`make` with its result cut, and all tables removed that were cut on the way to it."""
+
+    @functools.wraps(make)
+    def run(*args, **more):
+        if not hasattr(_open, "scopes"):
+            _open.scopes = []
+        _open.scopes.append([])
+        try:
+            out = cut(make(*args, **more))
+            kept = _open.scopes[-1].pop()
+        finally:
+            for path in _open.scopes.pop():
+                _remove(path)
+        if _open.scopes:
+            _open.scopes[-1].append(kept)
+        return out
+
+    return run
+
+
+_written: dict[str, SparkSession] = {}
+_open = threading.local()
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    with contextlib.suppress(Exception):  # the session may have ended before
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for path in list(_written):
+        _remove(path)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -83,10 +127,10 @@ def ready_for_arrow(spark: SparkSession, size: str = "4m") -> None:
     """Bounds Arrow batches by bytes, as texts can be long, and sends this package to the workers once a context."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     sc = spark.sparkContext
-    if not getattr(sc, "_claimspark_sent", False):
+    if not hasattr(sc, "_claimspark_sent"):
         top = Path(__file__).resolve().parents[2]
-        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/claimspark_llm", "zip", top, "claimspark"))
-        sc._claimspark_sent = True
+        sc._claimspark_sent = tempfile.TemporaryDirectory(prefix="claimspark-code-")  # removed when the program ends
+        sc.addPyFile(shutil.make_archive(f"{sc._claimspark_sent.name}/claimspark_llm", "zip", top, "claimspark"))
 
 
 def arrow_column(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -5,34 +5,32 @@ document - is equal to it, or differs from it in one inserted, deleted or replac
 (default: `least`) are removed if an earlier one is equal; shorter ones stay. The queries have exact=1: each repeated line
 that has a word goes, and `least` bounds the one-edit join only, where short lines would meet by chance.
 
-Equal lines meet by a 128-bit hash first. Then two deletion neighbourhoods are joined: a coarse one with the line's
-segments (cut after words picked by their hash, so an edit changes one segment, or makes two of one) of which none, one or
-two neighbours are deleted; only lines that share such a key go on to the fine one, where each single word of the
-line is deleted: replaced words meet at (place, rest), an inserted word meets the whole other line. Per key the
+Equal lines meet by a 128-bit hash first, and what follows works on different lines only. Two deletion neighbourhoods are
+joined: a coarse one, where one of three parts of the line is deleted, and only for lines that share such a key the fine one, where
+each single word is deleted: replaced words meet at (place, rest), an inserted word meets the whole other line. Per key the
 earliest line is an aggregate, so no pairs are made. What meets is verified on the words themselves.
 
-Defined cases: null text is no line and stays null; ids order with null last; rows that repeat an id and a text are one
-document (both get the result); ties don't occur, as places differ; white space differences don't count; an empty table
-stays empty; a text whose lines are all removed becomes empty.
+Defined cases: null text is no line and stays null; ids of any type order with null last; rows that repeat an id and a text are
+one document (both get the result); ties don't occur, as places differ; white space differences don't count; an empty table
+stays empty; a text whose lines are all removed becomes empty; other columns are carried through, also one named `_gone` (the
+added column then has an underscore more).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, cut, ready_for_arrow, row_key, small_side, with_arrow
-from .words import INVERSE, PRIME, powers, word_hashes
+from .common import arrow_column, cut, free, let, ready_for_arrow, row_key, small_side, tidy, with_arrow
+from .words import INVERSE, PRIME, mixed, powers, word_hashes
 
-#: Words of a segment on average, doubled with each doubling of a line's words beyond LONG: a line of any length has about as many keys.
-SEGMENT, LONG = 8, 40
-#: Lines of up to SHORT words lose single words instead of segments.
-SHORT = 17
+#: Least class of lines that lose one of three parts; shorter lines lose single words.
+LEAST = 4
+#: Of a line with more than one in HOT of all lines, copies are met by broadcast.
+HOT = 1000
 
 
 class Lines:
@@ -68,42 +66,28 @@ def _lists(line: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 
 def coarse_keys(x: Lines) -> pa.ListArray:
-    """Hashes of each line without no, one or two neighbouring segments: lines within one word edit share one.
+    """Hashes of each line without one of its three parts: lines within one word edit share one.
 
-    Segments end behind each word whose hash is 0 modulo their length. Nothing left is no key: lines of one segment lose single
-    words, lines of two the word that ends the first. A line whose words are just at the bound of two lengths of segments has
-    the keys of both, as an edit can carry it over.
+    Lines of 2k, 2k + 1 and 2k + 2 words make class k, so any two whose lengths differ by one at most have a class in common. The
+    outer parts have `a` words each. An edit before the first part's end leaves the last 2k - a words as they are, one behind the
+    last part's begin the first 2k - a, any other both outer parts. Lines of up to 2 * LEAST words lose single words instead.
     """
-    keys, of = [x.whole], [np.arange(len(x.n))]
-    least, most, segment = 0, LONG, SEGMENT
-    while least <= x.n.max(initial=0):
-        for line, key in _segment_keys(x, (x.n >= least) & (x.n <= most), segment):
-            of.append(line)
-            keys.append(key)
-        least, most, segment = most, 2 * most, 2 * segment
+    of, keys = [], []
+    for less in (0, 1):
+        k = x.n // 2 - less
+        mine = np.flatnonzero((k >= LEAST) & ((less == 0) | (x.n % 2 == 0)))
+        k, n = k[mine], x.n[mine]
+        a = (2 * k + 1) // 3
+        for kind, (i, j) in enumerate(((2 * k - a, n), (np.zeros_like(n), n - 2 * k + a), (a, n - a))):
+            of.append(mine)
+            keys.append(mixed(x.without(mine, i, j) + (3 * k + kind).astype(np.uint64) * PRIME))
+    short = x.n <= 2 * LEAST
+    line, at = x.line[short[x.line]], x.at[short[x.line]]
+    of += [np.flatnonzero(short), line]
+    keys += [mixed(x.whole[short]), mixed(x.without(line, at, at + 1))]
     return _lists(np.concatenate(of), np.concatenate(keys), len(x.n))
 
 
-def _segment_keys(x: Lines, mine: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(lines, hashes) of the lines `mine` with something deleted, in segments of about `segment` words."""
-    ends = mine[x.line] & (x.h % np.uint64(segment) == 0) & (x.at + 1 < x.n[x.line])
-    inner = np.bincount(x.line[ends], minlength=len(x.n))
-    single = (x.n <= SHORT) | (inner == 0)
-    lone = mine[x.line] & (single[x.line] | (ends & (inner == 1)[x.line]))
-    line, at = x.line[lone], x.at[lone]
-    yield line, x.without(line, at, at + 1)
-    # all ends, with each line's first and last place
-    every = np.flatnonzero(mine)
-    where = np.concatenate([every, x.line[ends], every])
-    place = np.concatenate([np.zeros(len(every), np.int64), x.at[ends] + 1, x.n[every]])
-    order = np.lexsort((place, where))
-    where, place = where[order], place[order]
-    for k in (1, 2):
-        a, b, w = place[:-k], place[k:], where[:-k]
-        good = (w == where[k:]) & (b - a < x.n[w]) & (x.n[w] >= SHORT)
-        yield w[good], x.without(w[good], a[good], b[good])
-
-
 #: Kinds of fine keys: the whole line, one word less, one word less at a given place.
 WHOLE, LESS, PLACE = 0, 1, 2
 
@@ -134,8 +118,16 @@ def _keys_from(x: Lines, least: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), keys.values)
 
 
+def _place(row: str, doc_id: str = "doc_id", line_no: str = "line_no"):
+    return F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("doc_id"), F.col(row).alias("row"), F.col(line_no).alias("line_no"))
+
+
+def _row(doc_id: str, text: str):
+    return F.unhex(row_key(doc_id, text))
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str, least: int, exact: int) -> DataFrame:
-    """(_row, doc_id, line_no, hi, lo, keys) of each line of `exact` words or more; of fewer than `least`, keys are empty."""
+    """(row, doc_id, line_no, hi, lo, keys) of each line of `exact` words or more; of fewer than `least`, keys are empty."""
 
     def rows_of(batches):
         for b in batches:
@@ -148,34 +140,27 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least: int, exact: int) -> D
             found = Lines(every.n[good], every.h[good[every.line]])
             of, number = of[good], number[good]
             h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(lines[i].split())) for i in np.flatnonzero(good)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of, pa.int32())) for c in ("_row", "doc_id")), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), _keys_from(found, least)], names=["_row", "doc_id", "line_no", "hi", "lo", "keys"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of, pa.int32())) for c in ("row", "doc_id")), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), _keys_from(found, least)], names=["row", "doc_id", "line_no", "hi", "lo", "keys"])
 
     ready_for_arrow(docs.sparkSession)
-    src = docs.select(row_key(doc_id, text).alias("_row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(rows_of, "_row string, doc_id bigint, line_no int, hi bigint, lo bigint, keys array<bigint>")
-
-
-def _place(prefix: str = ""):
-    return F.struct(F.col(f"{prefix}doc_id").isNull().alias("last"), F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}_row").alias("_row"), F.col(f"{prefix}line_no").alias("line_no"))
+    src = docs.select(_row(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return src.mapInArrow(rows_of, f"row binary, doc_id {src.schema['doc_id'].dataType.simpleString()}, line_no int, hi bigint, lo bigint, keys array<bigint>")
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """The words of wanted lines (at: place; hi, lo), one row each."""
-    src = docs.select(row_key(doc_id, text).alias("_row"), F.col(text).alias("text")).join(small_side(wanted.groupBy("at._row").agg(F.collect_list(F.struct("at.line_no", "hi", "lo", "at")).alias("lines"))), "_row")
-    each = src.dropDuplicates(["_row"]).select(F.explode("lines").alias("x"), F.split("text", "\n", -1).alias("all"))
-    return each.select("x.hi", "x.lo", "x.at", F.get("all", F.col("x.line_no")).alias("line"))
+    """wanted (at: place; hi, lo) with the line of each."""
+    rows = wanted.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("hi", "lo", "at")).alias("lines"))  # one text's lines
+    src = docs.select(_row(doc_id, text).alias("row"), F.col(text).alias("text")).join(small_side(rows), "row")
+    each = src.dropDuplicates(["row"]).select(F.explode("lines").alias("x"), F.split("text", "\n", -1).alias("all"))
+    return each.select("x.*", F.get("all", F.col("x.at.line_no")).alias("line"))
 
 
-def removed_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
-    """(_row, gone array<int>): per document with removed lines, their places from 0."""
-    lines = cut(_lines(docs, doc_id, text, least, least if exact is None else min(exact, least)))
-    each = lines.groupBy("hi", "lo").agg(F.min(_place()).alias("at"), F.count("*").alias("n"), F.max(F.size("keys")).alias("keys"))
-    distinct = cut(each.filter("n > 1 or keys > 0").select("hi", "lo", "at"))  # a lone line without keys meets nothing
-    copies = lines.select("_row", "line_no", "hi", "lo", _place().alias("own")).join(distinct, ["hi", "lo"]).filter("own > at").select("_row", "line_no")
-    by_key = lines.select("hi", "lo", F.explode("keys").alias("key"))  # copies share all keys, and are gathered before the shuffle
+def _edited(docs: DataFrame, doc_id: str, text: str, distinct: DataFrame) -> DataFrame:
+    """(hi, lo) of the lines that differ from an earlier one by one edit. distinct: hi, lo, at, keys, one row a different line."""
+    by_key = distinct.select("hi", "lo", "at", F.explode("keys").alias("key"))
     met = cut(by_key.groupBy("key").agg(F.min("hi").alias("a"), F.max("hi").alias("b")).filter("a <> b").select("key"))
-    near = by_key.join(small_side(met), "key").select("hi", "lo").distinct()
-    near = _texts(docs, doc_id, text, cut(near.join(distinct, ["hi", "lo"])))
+    near = cut(by_key.join(small_side(met), "key", "left_semi").select("hi", "lo", "at").distinct())
+    near = _texts(docs, doc_id, text, near)
     near = cut(near.orderBy("at").withColumn("id", F.monotonically_increasing_id()))  # ids in the order of places, fixed by the table
 
     def fine(b: pa.RecordBatch) -> dict[str, list]:
@@ -186,20 +171,43 @@ def removed_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text:
     first = keyed.groupBy("h", "kind").agg(F.min("id").alias("other"), F.count("*").alias("n"))
     meets = F.when(F.col("kind") == WHOLE, LESS).when(F.col("kind") == LESS, WHOLE).otherwise(PLACE).cast("tinyint")
     pairs = keyed.select("id", "h", meets.alias("kind")).join(first.filter(f"kind <> {PLACE} or n > 1"), ["h", "kind"]).filter("other < id").select("id", "other").distinct()
-    pairs = pairs.join(near.select("id", "at", "line"), "id").join(near.select(F.col("id").alias("other"), F.col("line").alias("before")), "other").select("at", "line", "before")
+    pairs = pairs.join(near.select("id", "hi", "lo", "line"), "id").join(near.select(F.col("id").alias("other"), F.col("line").alias("before")), "other").select("hi", "lo", "line", "before")
 
     def same(b: pa.RecordBatch) -> dict[str, list]:
         return {"same": [within_one_edit(x.split(), y.split()) for x, y in zip(arrow_column(b, "line"), arrow_column(b, "before"), strict=True)]}
 
-    edited = cut(with_arrow(pairs, ["at"], "same boolean", same).filter("same").select("at").distinct())
-    names = edited.join(distinct, "at").select("hi", "lo")
-    all_of = lines.join(small_side(names), ["hi", "lo"], "left_semi").select("_row", "line_no")  # copies of a removed line are later still
-    return cut(copies.unionByName(all_of).groupBy("_row").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))  # one text's lines
+    return cut(with_arrow(pairs, ["hi", "lo"], "same boolean", same).filter("same").select("hi", "lo").distinct())
+
+
+@tidy
+def removed_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
+    """(row, gone array<int>): per document with removed lines, their places from 0."""
+    lines = cut(_lines(docs, doc_id, text, least, least if exact is None else min(exact, least)))
+    each = lines.groupBy("hi", "lo").agg(F.min(_place("row")).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    distinct = cut(each.filter("n > 1 or size(keys) > 0"))  # a lone line without keys meets nothing
+    edited = _edited(docs, doc_id, text, distinct.filter("size(keys) > 0").select("hi", "lo", "at", "keys"))
+    # of an edited line all copies go, of others all but the first
+    judged = distinct.select("hi", "lo", "at", "n").join(small_side(edited.withColumn("edited", F.lit(True))), ["hi", "lo"], "left").filter("n > 1 or edited")
+    judged = cut(judged.select("hi", "lo", "n", F.when(F.col("edited").isNull(), F.col("at")).alias("first")))
+    gone = _copies(lines.select("hi", "lo", "row", "line_no", _place("row").alias("own")), judged)
+    return gone.filter("first is null or own > first").groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))  # one text's lines
+
+
+def _copies(lines: DataFrame, judged: DataFrame) -> DataFrame:
+    """lines joined with what was found of each different line. Lines of which over one in HOT is a copy are met by broadcast: there are fewer than HOT."""
+    if (few := small_side(judged)) is not judged:
+        return lines.join(few.drop("n"), ["hi", "lo"])
+    is_hot = F.col("n") * HOT > lines.count()
+    hot = F.broadcast(judged.filter(is_hot).drop("n"))
+    rest = lines.join(hot, ["hi", "lo"], "left_anti").join(judged.filter(~is_hot).drop("n"), ["hi", "lo"])
+    return rest.unionByName(lines.join(hot, ["hi", "lo"]))
 
 
 def dedup_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
     """docs with `text` rid of removed lines, and `_gone` with their places (null: none). Texts are joined once, with what they lose."""
-    gone = removed_lines(docs, least, doc_id, text, exact).withColumnRenamed("gone", "_gone")
-    out = docs.withColumn("_row", row_key(doc_id, text)).join(small_side(gone), "_row", "left").drop("_row")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
+    row, name = free("_row", docs.columns), free("_gone", docs.columns)
+    gone = removed_lines(docs, least, doc_id, text, exact).toDF(row, name)
+    out = docs.withColumn(row, _row(doc_id, text)).join(small_side(gone), row, "left").drop(row)
+    places = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(name))
+    kept = let(F.split(F.col(text), "\n", -1), lambda x: F.array_join(F.transform(places(x), lambda i: F.get(x, i)), "\n"))
+    return out.withColumn(text, F.when(F.col(name).isNull(), F.col(text)).otherwise(kept))
