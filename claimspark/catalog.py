@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from claimspark.plans import claims, lists, money
+from claimspark.plans import claims, lists, money, projects
 
-ALL = money.QUERIES | lists.QUERIES | claims.QUERIES
+ALL = money.QUERIES | lists.QUERIES | claims.QUERIES | projects.QUERIES
 
 
 def queries():

@@ -41,5 +41,18 @@ RATIONALE_PREFIX, EVIDENCE_PREFIX = "הסבר מקצועי (AI): ", "סימוכ
 NOTE_KEYS = {"Digital_Twin_Evidence": "ראיות דיגיטליות", "REGULATORY_NOTE": "הערה רגולטורית", "CONTRACTUAL_BASIS": "בסיס חוזי", "MARKET_ANALYSIS": "ניתוח שוק"}
 PENDING_VO_PREFIX, NO_DESCRIPTION = "חריג בהמתנה: ", "ללא תיאור"
 ATTRIBUTIONS = [r"(?i)\s*Powered by[^\.\n]*", r"\s*מופעל על ידי[^\.\n]*"]
+NO_SOURCES, DEFAULT_RATIONALE = "לא צוינו מקורות ספציפיים", "ניתוח אוטומטי של מערכת Gemini"
 NO_EVIDENCE, EVIDENCE_DOCUMENT = "אין הוכחות מתועדות", "מסמך"
 DEFAULT_TONE = "מקצועי"
+
+# Categories of documents that a scan reads, and the title of a contract without one.
+CONTRACT_CATEGORIES, WORK_CATEGORIES, CONTRACT_TITLE = ["CONTRACT", "BOQ", "SPECS"], ["EXECUTION", "SITE_REPORT"], "חוזה"
+CONTRACT_TITLE_WORDS = ["חוזה", "הסכם"]
+
+# Headers and total labels of the short export; words of reports, labels and prefilled letters.
+SHORT_HEADERS = ["סעיף", "תיאור", "יחידה", "כמות", "מחיר יחידה", 'סה"כ']
+SHORT_TOTALS = ['סה"כ (לפני מע"מ)', 'מע"מ ({}%)', 'סה"כ כולל מע"מ']
+GENERAL_CLAUSE, SITE_EVENT, SHORT_CHANGE = "כללי", "אירוע שטח", "שינוי/הנחיה"
+ACTIVE_LABEL, CLEAN_LABEL, PIECE_UNIT, AREA_UNIT = "פעיל", "נקי", "יח", 'מ"ר'
+LETTER_SUBJECT = "הודעה על סתירה/אי-התאמה: "
+LETTER_POINTS = ("נמצאה סתירה בין מסמכי החוזה לביצוע:\n", "\n\nנדרשת הנחיה ברורה ותמחור חריג בהתאם לתנאי החוזה.")

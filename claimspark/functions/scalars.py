@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import ACTIVE_LABEL, CLEAN_LABEL
+
 NUMBER_PREFIX = r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
 
 
@@ -81,9 +83,29 @@ def dash(c: Column) -> Column:
     return text_or(c, F.lit("—"))
 
 
-def shekels(c: Column) -> Column:
-    """Grouped, two decimals, with the currency sign in front."""
-    return F.concat(F.lit("₪"), F.format_number(c, 2))
+def shekels(c: Column, digits: int = 2) -> Column:
+    """Grouped, with the currency sign in front."""
+    return F.concat(F.lit("₪"), F.format_number(c, digits))
+
+
+def to_fixed(c: Column, digits: int) -> Column:
+    """A decimal number's text with so many decimals, halves away from zero, not grouped."""
+    return c.cast(f"decimal(38,{digits})").cast("string")
+
+
+def amount_label(c: Column) -> Column:
+    """Whether there is an amount, in words."""
+    return F.when(c > 0, ACTIVE_LABEL).otherwise(CLEAN_LABEL)
+
+
+def latest_first(items: Column) -> Column:
+    """An array from its end."""
+    return F.reverse(items)
+
+
+def stamped(c: Column, now: Column | None = None) -> Column:
+    """c, where it is null the present time, which tests give as `now`."""
+    return F.coalesce(c, F.current_timestamp() if now is None else now)
 
 
 def strip_fences(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,33 @@ def latest_state(feed: DataFrame, key: str = "id", seq: str = "seq") -> DataFram
     rest = [c for c in feed.columns if c not in (key, seq)]
     last = feed.groupBy(key).agg(F.max(F.struct(seq, *rest)).alias("s"))
     return last.select(key, "s.*").filter("op <> 'DELETE'")
+
+
+def with_parent(rows: DataFrame, parents: DataFrame, reference: str, columns: dict[str, str], key: str = "id") -> DataFrame:
+    """rows with some columns of the row that they refer to, null without one."""
+    own = parents.select(F.col(key).alias(reference), *[F.col(c).alias(name) for c, name in columns.items()])
+    return rows.join(own, reference, "left").select(*rows.columns, *columns.values())
+
+
+def inserted(existing: DataFrame, new: DataFrame, defaults: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(existing and new rows, the new rows): what new lacks or has null comes of `defaults`, else it is null. A clock is a default like any other."""
+    value = lambda c: F.coalesce(*[F.col(c)] * (c in new.columns), defaults.get(c, F.lit(None))).cast(existing.schema[c].dataType).alias(c)
+    made = new.select(*[value(c) for c in existing.columns])
+    return existing.unionByName(made), made
+
+
+def one_row(rows: DataFrame) -> Row:
+    """The only row; an error if there is none or more."""
+    if len(found := rows.limit(2).collect()) != 1:
+        raise ValueError(f"one row is wanted; there are {'none' if not found else 'more'}")
+    return found[0]
+
+
+def lookup_row(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row with that key, if there is one."""
+    return rows.filter(F.col(key) == F.lit(value)).limit(1)
+
+
+def toggled(chosen: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """chosen ids without those of `ids` that they hold, and with the others."""
+    return chosen.join(ids, key, "left_anti").unionByName(ids.join(chosen, key, "left_anti").select(chosen.columns))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions import fixed as X
-from claimspark.functions.scalars import has_text, ordinal, outer_array, text_or, without_attribution
+from claimspark.functions.scalars import dash, has_text, ordinal, outer_array, text_or, without_attribution
 
-FINDING = "array<struct<title:string,description:string,category:string,advice:string,clause_reference:string,contract_page:string,work_page:string,contract_quote:string,work_quote:string,expert_strategy:struct<risk_assessment:string,financial_impact_desc:string>>>"
+from .changes import update_keys
+
+FINDING = "array<struct<title:string,description:string,category:string,advice:string,clause_reference:string,contract_page:string,work_page:string,original_instruction:string,new_requirement:string,contract_quote:string,work_quote:string,expert_strategy:struct<risk_assessment:string,financial_impact_desc:string>>>"
 
 
 def severity(category: Column) -> Column:
@@ -34,7 +36,7 @@ def parsed(responses: DataFrame, column: str = "response") -> DataFrame:
     """One row a finding in each response's outermost JSON array, with severity, clean texts and evidence as JSON; other responses have none."""
     keep = [c for c in responses.columns if c != column]
     rows = responses.select(*keep, F.posexplode(F.from_json(outer_array(F.col(column)), FINDING)).alias("part", "f"))
-    evidence = F.to_json(F.struct("f.clause_reference", "f.contract_page", "f.work_page", "f.contract_quote", "f.work_quote", "f.expert_strategy"))
+    evidence = F.to_json(F.struct("f.clause_reference", "f.contract_page", "f.work_page", "f.original_instruction", "f.new_requirement", "f.contract_quote", "f.work_quote", "f.expert_strategy"))
     return rows.select(*keep, "part", clean(F.col("f.title")).alias("title"), clean(F.col("f.description")).alias("description"), F.col("f.category").alias("category"), severity(F.col("f.category")).alias("severity"), clean(F.col("f.advice")).alias("strategy_advice"), evidence.alias("evidence_data"))
 
 
@@ -52,7 +54,14 @@ def by_severity(findings: DataFrame, most_severe_first: bool = False) -> list:
 
 
 def queue(findings: DataFrame, statuses: list[str]) -> DataFrame:
-    return findings.filter(F.col("status").isin(statuses)).withColumn("pricing_status", F.lit("PENDING"))
+    """Findings of the statuses; a missing pricing status is a pending one."""
+    status = text_or(F.col("pricing_status"), F.lit("PENDING")) if "pricing_status" in findings.columns else F.lit("PENDING")
+    return findings.filter(F.col("status").isin(statuses)).withColumn("pricing_status", status)
+
+
+def pending_queue(findings: DataFrame) -> DataFrame:
+    """The other definition: findings whose stored pricing status is pending, whatever their status."""
+    return findings.filter(F.col("pricing_status") == "PENDING")
 
 
 def grouped_queue(rows: DataFrame, title: str, default: str) -> DataFrame:
@@ -72,12 +81,69 @@ def insights(findings: DataFrame, ledger: DataFrame, most_findings: int = 5, mos
     return a.unionByName(b)
 
 
-def scan_control(findings: DataFrame, force: bool, work_document: Column | None = None) -> tuple[DataFrame, bool]:
-    """(findings that stay, whether to scan). Stored ones are reused unless forced; forced, all go, or those of one work document."""
-    if not force:
-        return findings, findings.isEmpty()
-    gone = F.lit(True) if work_document is None else F.coalesce(F.col("source_execution_doc_id").eqNullSafe(work_document), F.lit(False))
-    return findings.filter(~gone), True
+def scan_control(findings: DataFrame, project: object, force: bool = False, work_document: object | None = None) -> tuple[DataFrame, bool]:
+    """(findings that stay, whether to scan the project).
+
+    Forced, all of the project's findings go, whatever the document; else a work document's own go; with neither all stay, and
+    the project is scanned only if it has none.
+    """
+    own = F.coalesce(F.col("project_id") == F.lit(project), F.lit(False))
+    if force:
+        return findings.filter(~own), True
+    if work_document is not None:
+        return findings.filter(~(own & F.coalesce(F.col("source_execution_doc_id") == F.lit(work_document), F.lit(False)))), True
+    return findings, findings.filter(own).isEmpty()
+
+
+def scan_inputs(docs: DataFrame, work_document: object | None = None) -> DataFrame:
+    """One row a work document with text: project_id, work_id, work_title, work_text, and of its project the contracts' joined text, first id and title.
+
+    All of a project's contract text is one value, as the model reads it at once.
+    """
+    there, line = has_text(F.col("extracted_text")), F.concat(F.lit("--- Document: "), F.col("title"), F.lit(" ---\n"), F.col("extracted_text"))
+    contracts = docs.filter(F.col("category").isin(X.CONTRACT_CATEGORIES)).groupBy("project_id").agg(
+        F.min(F.struct("id", "title")).alias("first"), F.array_sort(F.collect_list(F.when(there, F.struct("id", line.alias("line"))))).alias("lines")
+    )
+    contracts = contracts.select("project_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("context"), F.col("first.id").alias("contract_id"), F.col("first.title").alias("contract_title"))
+    work = docs.filter(F.col("category").isin(X.WORK_CATEGORIES) & there)
+    work = work if work_document is None else work.filter(F.col("id") == F.lit(work_document))
+    return work.select("project_id", F.col("id").alias("work_id"), F.col("title").alias("work_title"), F.col("extracted_text").alias("work_text")).join(contracts, "project_id", "left")
+
+
+def scanned(answers: DataFrame, column: str = "response") -> DataFrame:
+    """New findings from the model's answers to scan_inputs: open, with their documents; evidence as JSON. Answers without a JSON array have none."""
+    keep = ["project_id", "work_id", "work_title", "contract_id", "contract_title"]
+    rows = parsed(answers.select(*keep, column), column)
+    named = F.map_from_arrays(F.array(F.lit("contract_title"), F.lit("work_title")), F.array(text_or(F.col("contract_title"), F.lit(X.CONTRACT_TITLE)), F.col("work_title")))
+    evidence = F.map_concat(F.from_json("evidence_data", "map<string,variant>"), F.transform_values(named, lambda k, v: F.parse_json(F.to_json(F.array(v)))))
+    return rows.select("project_id", "part", "title", "description", "severity", "category", "strategy_advice", F.col("work_id").alias("source_execution_doc_id"), F.col("contract_id").alias("target_contract_doc_id"), F.lit("OPEN").alias("status"), F.to_json(evidence).alias("evidence_data"))
+
+
+def moved(findings: DataFrame, chosen: DataFrame, status: str = "MOVED_TO_PRICING") -> tuple[DataFrame, DataFrame]:
+    """(findings with the chosen ones' status, the ledger rows that come of them)."""
+    own = findings.join(chosen.select("id").distinct(), "id", "left_semi")
+    return update_keys(findings, chosen, "id", {"status": F.lit(status)}), as_ledger_row(own)
+
+
+def report_rows(findings: DataFrame, evidence: str = "evidence_data") -> DataFrame:
+    """Lines of the printed report: clause, class, quotes, financial text, risk, and advice where there is no expert analysis; a dash for what is missing."""
+    field = lambda *path: F.get_json_object(evidence, "$." + ".".join(path))
+    level, e = F.col("severity"), F.lit("")
+    label = F.when(level == "HIGH", X.CONTRADICTION_WORD).when(level == "MEDIUM", X.SHORT_CHANGE).otherwise(X.SITE_EVENT)
+    expert = F.coalesce(F.size(F.json_object_keys(F.get_json_object(evidence, "$.expert_strategy"))) > 0, F.lit(False))
+    advice = text_or(F.col("strategy_advice"), field("strategy_advice"), field("justification"), F.col("description"), e)
+    lines = {
+        "clause": text_or(field("clause_reference"), F.col("category"), F.lit(X.GENERAL_CLAUSE)), "label": text_or(F.col("category"), label), "contract_quote": field("contract_quote"), "work_quote": field("work_quote"),
+        "financial": text_or(field("financial_impact_desc"), field("business_value"), e), "risk": F.when(expert, field("expert_strategy", "risk_assessment")), "advice": F.when(~expert, advice),
+    }
+    return findings.select("id", expert.alias("has_expert"), *[dash(c).alias(k) for k, c in lines.items()])
+
+
+def prefill(findings: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Subject and points of a letter from the first of the chosen findings by creation and id; no row without one."""
+    first = findings.join(chosen.select("id").distinct(), "id", "left_semi").orderBy(F.asc_nulls_last("created_at"), "id").limit(1)
+    points = F.concat(F.lit(X.LETTER_POINTS[0]), F.coalesce("description", F.lit("")), F.lit(X.LETTER_POINTS[1]))
+    return first.select("id", F.concat(F.lit(X.LETTER_SUBJECT), F.coalesce("title", F.lit(""))).alias("subject"), points.alias("key_points"))
 
 
 def as_ledger_row(finding: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.functions.fixed import VAT_RATE
-from claimspark.functions.scalars import has_number, has_text, number_or, round_half_up
+from claimspark.functions.fixed import AREA_UNIT, DEFAULT_MARKUP_PERCENT, VAT_RATE
+from claimspark.functions.scalars import has_number, has_text, number_or, round_half_up, text_or
+
+from .changes import update_keys, with_parent
 
 MONEY = "decimal(18,2)"
 
@@ -98,3 +100,29 @@ def estimates(rows: DataFrame, rate: str = VAT_RATE) -> DataFrame:
     net = exact.cast(MONEY)
     out = rows.withColumn("net", net).withColumn("vat", (F.col("net") * F.lit(rate).cast("decimal(5,4)")).cast(MONEY))
     return out.withColumn("total", (F.col("net") + F.col("vat")).cast(MONEY))
+
+
+def estimate_defaults(suggested: DataFrame) -> DataFrame:
+    """A model's suggestion (description, unit, quantity, price, markup_percent, item_code) with defaults, and the source it speaks for."""
+    n = lambda c, kind, default: number_or(F.col(c), F.lit(default)).cast(kind).alias(c)
+    source = F.when(F.col("item_code") == "NEW", "CUSTOM_ANALYSIS").otherwise("BOQ")
+    rest = [c for c in suggested.columns if c not in ("unit", "quantity", "price", "markup_percent")]
+    return suggested.select(*rest, text_or(F.col("unit"), F.lit(AREA_UNIT)).alias("unit"), n("quantity", "decimal(12,2)", 1), n("price", "decimal(15,2)", 0), n("markup_percent", "int", DEFAULT_MARKUP_PERCENT), source.alias("source"))
+
+
+def approve(estimates: DataFrame, findings: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new ledger rows with amounts and their project's name, findings of which those with an estimate are marked as estimated)."""
+    value = {"type": text_or(F.col("type"), F.lit("PENDING_VO")), "source": text_or(F.col("source"), F.lit("CUSTOM_ANALYSIS")), "item_code": text_or(F.col("item_code"), F.lit("")), "markup_percentage": F.coalesce("markup_percentage", F.lit(0)).cast("decimal(5,4)"), "vat_rate": F.lit(VAT_RATE).cast("decimal(5,4)")}
+    rows = with_parent(with_amounts(estimates.withColumns(value)), projects, "project_id", {"name": "project_name"})
+    return rows, update_keys(findings, estimates.filter("contradiction_id is not null").select(F.col("contradiction_id").alias("id")), "id", {"pricing_status": F.lit("ESTIMATED")})
+
+
+def short_totals(rows: DataFrame, *keys: str, rate: str = VAT_RATE) -> DataFrame:
+    """Subtotal of stored nets, else of products, VAT on it and the total."""
+    out = rows.groupBy(*keys).agg(money_sum(net_or_product()).alias("subtotal")).withColumn("vat", (F.col("subtotal") * F.lit(rate).cast("decimal(5,4)")).cast(MONEY))
+    return out.withColumn("total", (F.col("subtotal") + F.col("vat")).cast(MONEY))
+
+
+def approve_orders(ledger: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """ledger with the chosen pending orders approved."""
+    return update_keys(ledger, chosen, key, {"type": F.when(F.col("type") == "PENDING_VO", "APPROVED_VO").otherwise(F.col("type"))})

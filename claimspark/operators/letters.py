@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions import fixed as X
 from claimspark.functions.scalars import has_text, lookup, shekels, text_or
 
-from .ledger import MONEY, money_sum
+from .ledger import MONEY, money_sum, net_or_product
 
 ROW = ["total", "price", "quantity", "unit", "text", "code", "no"]
 
@@ -87,7 +89,55 @@ def csv_lines(rows: DataFrame, strict: bool = False) -> DataFrame:
         cells = [F.when(c.rlike('[",\n\r]'), quoted(c)).otherwise(c) for c in cells]
     else:
         cells[2] = F.when(F.col("section") == 0, quoted(cells[2])).otherwise(cells[2])
-    return rows.select(*[c for c in rows.columns if not c.startswith("c")], F.concat_ws(",", *cells).alias("line"))
+    some = [F.coalesce(c, F.lit("")) for c in cells]  # else a null would move the cells behind it
+    return rows.select(*[c for c in rows.columns if not c.startswith("c")], F.concat_ws(",", *some).alias("line"))
+
+
+def short_csv_lines(ledger: DataFrame, key: str, order: list[str], rate: str = X.VAT_RATE) -> DataFrame:
+    """(key, section, place, line) of the short export: headers, a line of six cells a row in order, a blank line, and subtotal, VAT on it and total."""
+    e, text = F.lit(""), lambda c: F.coalesce(c.cast("string"), F.lit("0"))
+    net = net_or_product().cast(MONEY)
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("description", e), F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [text_or(F.col("item_code").cast("string"), e), quoted, text_or(F.col("unit"), e), text(F.col("quantity")), text(F.col("unit_price_excl_vat")), text(net)]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint")
+    detail = ledger.select(key, F.lit(1).alias("section"), place.alias("place"), F.concat_ws(",", *cells).alias("line"))
+    sums = ledger.groupBy(key).agg(money_sum(net).alias("n")).withColumn("v", (F.col("n") * F.lit(rate).cast("decimal(5,4)")).cast(MONEY))
+    total = lambda label, c: F.concat(F.lit(f",,,,{label},"), c.cast("string"))
+    percent = int(Decimal(rate) * 100)
+    ends = F.array(e, *[total(label.format(percent), c) for label, c in zip(X.SHORT_TOTALS, (F.col("n"), F.col("v"), (F.col("n") + F.col("v")).cast(MONEY)), strict=True)])
+    frame = [(0, F.array(F.lit("\ufeff" + ",".join(X.SHORT_HEADERS)))), (2, ends)]
+    around = [sums.select(key, F.lit(section).alias("section"), F.posexplode(lines).alias("place", "line")).withColumn("place", F.col("place").cast("bigint")) for section, lines in frame]
+    return detail.unionByName(around[0]).unionByName(around[1])
+
+
+def appendix(items: DataFrame, letter: str, order: list[str]) -> DataFrame:
+    """One row a source of the items with notes or a rationale: their number in the letter, heading, source text and rationale, with words for what is missing."""
+    some = items.filter(has_text(F.col("governing_notes")) | has_text(F.col("ai_rationale")))
+    some = some.withColumn("_number", F.row_number().over(Window.partitionBy(letter).orderBy(*order)).cast("bigint"))
+    code = F.when(has_text(F.col("item_code")), F.concat(F.lit("["), F.col("item_code"), F.lit("] "))).otherwise("")
+    notes = F.col("governing_notes")
+    listed = F.when(F.ltrim(notes).startswith("["), F.from_json(notes, "array<string>"))
+    sources = F.coalesce(listed, F.array(text_or(notes, F.lit(X.NO_SOURCES))))
+    rows = some.select(letter, F.col("_number").alias("number"), F.concat(code, F.coalesce("description", F.lit(""))).alias("heading"), text_or(F.col("ai_rationale"), F.lit(X.DEFAULT_RATIONALE)).alias("rationale"), F.posexplode_outer(sources).alias("source_no", "source"))
+    return rows.withColumn("source_no", F.col("source_no").cast("bigint"))
+
+
+def evidence_summary(items: DataFrame, letter: str, shown: int = 3) -> DataFrame:
+    """Per letter: whether any or none of its items has evidence, how many have, and how many of those aren't shown."""
+    there = has_text(F.col("governing_notes")) | has_text(F.col("ai_rationale"))
+    n = F.count_if(there)
+    return items.groupBy(letter).agg(F.bool_or(there).alias("any_evidence"), F.bool_and(~there).alias("no_evidence"), n.alias("n_evidence"), F.greatest(n - shown, F.lit(0)).cast("bigint").alias("n_more"))
+
+
+def letter_items(ledger: DataFrame, chosen: DataFrame, key: str, stored: bool = True) -> DataFrame:
+    """The chosen ledger rows as a letter's items; the total is the stored net, or quantity times price."""
+    total = F.col("total_price_excl_vat") if stored else (F.col("quantity") * F.col("unit_price_excl_vat"))
+    return ledger.join(chosen.select(key).distinct(), key, "left_semi").select(key, "description", "unit", "quantity", F.col("unit_price_excl_vat").alias("unit_price"), F.coalesce(total, F.lit(0)).cast(MONEY).alias("total"))
+
+
+def instruction(name: Column, texts: dict[str, str], default: str = X.DEFAULT_TONE) -> Column:
+    """The text that a tone or kind of letter stands for; the caller's table."""
+    return lookup(name, texts, F.lit(default))
 
 
 def history(turns: DataFrame, key: str, order: str) -> DataFrame:

@@ -11,9 +11,9 @@ from claimspark.functions.scalars import any_of, first_segments, has_number, has
 SHEET = ["service_type", "item_code", "description", "activity_number", "quantity", "unit", "rate"]
 
 
-def filled_rows(sheet: DataFrame) -> DataFrame:
+def filled_rows(sheet: DataFrame, cells: list[str] | None = None) -> DataFrame:
     """Rows with a cell behind the first one: a row's length is its last filled cell."""
-    return sheet.filter(F.coalesce(*[F.col(c) for c in sheet.columns[1:]]).isNotNull())
+    return sheet.filter(F.coalesce(*[F.col(c) for c in (cells or sheet.columns)[1:]]).isNotNull())
 
 
 def typed_rows(sheet: DataFrame) -> DataFrame:
@@ -74,6 +74,19 @@ def page(items: DataFrame, number: int, size: int = 100) -> DataFrame:
     return items.orderBy(F.asc_nulls_last("item_code"), "id").offset(number * size).limit(size)
 
 
+def page_with_count(items: DataFrame, number: int, size: int = 100) -> DataFrame:
+    """A page with the number of all rows beside it (a scalar subquery), and whether the page is full."""
+    total = items.agg(F.count("*")).scalar()
+    return page(items, number, size).withColumn("n_all", total).withColumn("has_more", F.col("n_all") >= (number + 1) * size)
+
+
+def distinct_segments(items: DataFrame, *keys: str) -> DataFrame:
+    """The first segments of the codes and under each its second ones, sorted."""
+    code = F.col("item_code")
+    pairs = items.filter(code != "").select(*keys, segments(code)[0].alias("chapter"), F.get(segments(code), F.lit(1)).alias("second")).distinct()
+    return pairs.groupBy(*keys, "chapter").agg(F.array_join(F.array_sort(F.collect_set("second")), ",").alias("seconds"))  # two digits each
+
+
 def items_of_model(response: DataFrame, column: str = "response") -> DataFrame:
     """Price-list rows from a text model's bill of quantities; missing values get defaults."""
     from claimspark.functions.scalars import strip_fences

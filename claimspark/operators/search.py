@@ -37,9 +37,31 @@ def with_parent_notes(hits: DataFrame, items: DataFrame, most: int = NOTE_HITS)
     return hits.unionByName(notes.join(hits.select("id"), "id", "left_anti").select(hits.columns))
 
 
-def price_search(ledger: DataFrame, items: DataFrame, words: list[str], key: list[str]) -> DataFrame:
-    """(tag, ref, description): contract items, external items and governing notes for the words."""
-    found = with_parent_notes(list_hits(items, words), items)
+def visible_to_project(items: DataFrame, lists: DataFrame, project: object) -> DataFrame:
+    """Items of global lists and of the project's own."""
+    own = lists.filter(F.coalesce(F.col("is_global"), F.lit(False)) | F.coalesce(F.col("project_id") == F.lit(project), F.lit(False)))
+    return items.join(own.select(F.col("id").alias("pricelist_id")), "pricelist_id", "left_semi")
+
+
+def project_notes(items: DataFrame, lists: DataFrame, project: object, most: int = 50) -> DataFrame:
+    """Notes of the project's own lists with their list's name, the first by id."""
+    own = lists.filter(F.col("project_id") == F.lit(project)).select(F.col("id").alias("pricelist_id"), F.col("name").alias("list_name"))
+    return items.filter(F.col("item_type") == "NOTE").join(own, "pricelist_id").orderBy("id").limit(most).select("id", "item_code", "description", "list_name")
+
+
+def with_questions(found: DataFrame, questions: list[str]) -> DataFrame:
+    """Rows without a match get the questions to ask about them, others none."""
+    return found.withColumn("questions", F.when(F.col("match_found"), F.array().cast("array<string>")).otherwise(F.array(*[F.lit(q) for q in questions])))
+
+
+def price_search(ledger: DataFrame, items: DataFrame, words: list[str], key: list[str], lists: DataFrame | None = None, project: object | None = None) -> DataFrame:
+    """(tag, ref, description): contract items, external items and governing notes for the words.
+
+    With a project only its ledger counts, and with lists only items that it may see; notes over them are of any list.
+    """
+    ledger = ledger if project is None else ledger.filter(F.col("project_id") == F.lit(project))
+    seen = items if lists is None else visible_to_project(items, lists, project)
+    found = with_parent_notes(list_hits(seen, words), items)
     tag = F.when(F.col("item_type") == "NOTE", "GOVERNING NOTE").otherwise("EXTERNAL ITEM")
     contract = ledger_hits(ledger, words, key).select(F.lit("CONTRACT ITEM").alias("tag"), F.concat_ws("/", *key).alias("ref"), "description")
     return contract.unionByName(found.select(tag.alias("tag"), F.col("id").cast("string").alias("ref"), "description"))

@@ -21,3 +21,18 @@ def visible(rows: DataFrame, projects: DataFrame, user: object, admin: bool = Fa
 def visible_lists(lists: DataFrame, user: object, admin: bool = False) -> DataFrame:
     """Global lists and the user's own."""
     return lists if admin else lists.filter(F.col("is_global") | (F.col("contractor_id") == F.lit(user)))
+
+
+def stored_visible(objects: DataFrame, bucket: str = "documents") -> DataFrame:
+    """Files of a public bucket: anyone may read them."""
+    return objects.filter(F.col("bucket_id") == bucket)
+
+
+def stored_owned(objects: DataFrame, user: object, bucket: str = "documents") -> DataFrame:
+    """Files that the user may change or delete."""
+    return stored_visible(objects, bucket).filter(F.col("owner") == F.lit(user))
+
+
+def owned(projects: DataFrame, user: object) -> DataFrame:
+    """The user's projects, newest first."""
+    return projects.filter(F.col("contractor_id") == F.lit(user)).orderBy(F.desc_nulls_first("created_at"), "id")

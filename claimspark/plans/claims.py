@@ -53,10 +53,24 @@ def project_context(spark, sf):
     return Fi.context(V.findings(spark, sf), "project_id", line, ["created_at", "id"], 10)
 
 
-def scan_kept(spark, sf):
-    """A forced scan of one document keeps the findings of others."""
-    f = V.findings(spark, sf).withColumn("source_execution_doc_id", F.when(F.col("id") % 4 > 0, F.col("project_id")))
-    return Fi.scan_control(f, True, F.lit(7))[0].groupBy("source_execution_doc_id").agg(F.count("*").alias("n"))
+def _scanned(spark, sf, **how):
+    """What a scan of project 7 leaves of each project's findings, by document."""
+    f = V.findings(spark, sf).withColumn("source_execution_doc_id", F.when(F.col("id") % 4 > 0, F.col("id") % 3))
+    kept, scan = Fi.scan_control(f, 7, **how)
+    return kept.groupBy("project_id", "source_execution_doc_id").agg(F.count("*").alias("n")).withColumn("scan", F.lit(scan))
+
+
+def scan_cached(spark, sf):
+    return _scanned(spark, sf)
+
+
+def scan_forced(spark, sf):
+    """Also with a document all of the project goes."""
+    return _scanned(spark, sf, force=True, work_document=1)
+
+
+def scan_one_document(spark, sf):
+    return _scanned(spark, sf, work_document=1)
 
 
 def moved_to_pricing(spark, sf):
@@ -150,6 +164,9 @@ def json_fields(spark, sf):
     return e.select("event_id", S.text_or(F.get_json_object("props", "$.missing"), F.get_json_object("props", "$.k"), F.lit("none")).alias("value"))
 
 
+SCANNED = "SELECT project_id, CASE WHEN id % 4 > 0 THEN id % 3 END AS source_execution_doc_id, count(*) AS n, "
+SCANNED_FROM = " AS scan FROM findings WHERE "
+
 DOC_CLASS = " ".join("WHEN " + " OR ".join(f"contains(lower(title), '{w}')" for w in words) + f" THEN '{{0}}{kind}{{1}}{of}'" for words, kind, of in X.TITLE_CLASSES).replace("{0}", "").replace("{1}", "|")
 
 QUERIES = {
@@ -161,7 +178,9 @@ QUERIES = {
     "insights": (insights, f"""WITH {V.FINDINGS_SQL}, {V.LEDGER_SQL} SELECT CAST(id AS VARCHAR) AS ref, 'contradiction' AS type, severity, title, CAST(NULL AS DECIMAL(15,2)) AS amount FROM (SELECT * FROM findings WHERE status = 'OPEN' ORDER BY {RANK} DESC, created_at DESC, id LIMIT 5)
 UNION ALL SELECT letter_id || '/' || line_no || '/' || item_id, 'risk', 'MEDIUM', '{X.PENDING_VO_PREFIX}' || description, total_price_excl_vat FROM (SELECT * FROM ledger WHERE type = 'PENDING_VO' ORDER BY letter_id, line_no, item_id LIMIT 3)"""),
     "project_context": (project_context, FINDINGS + "SELECT project_id, string_agg('- ' || title || ': ' || coalesce(category, '?'), chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at, id) AS n FROM findings) WHERE n <= 10 GROUP BY 1"),
-    "scan_kept": (scan_kept, FINDINGS + "SELECT d AS source_execution_doc_id, count(*) AS n FROM (SELECT CASE WHEN id % 4 > 0 THEN project_id END AS d FROM findings) WHERE d IS DISTINCT FROM 7 GROUP BY 1"),
+    "scan_cached": (scan_cached, FINDINGS + SCANNED + "NOT EXISTS (SELECT 1 FROM findings WHERE project_id = 7)" + SCANNED_FROM + "true GROUP BY 1, 2"),
+    "scan_forced": (scan_forced, FINDINGS + SCANNED + "true" + SCANNED_FROM + "project_id <> 7 GROUP BY 1, 2"),
+    "scan_one_document": (scan_one_document, FINDINGS + SCANNED + "true" + SCANNED_FROM + "NOT (project_id = 7 AND id % 4 > 0 AND id % 3 = 1) GROUP BY 1, 2"),
     "moved_to_pricing": (moved_to_pricing, FINDINGS + "SELECT project_id, 'PENDING_VO' AS type, 'CUSTOM_ANALYSIS' AS source, title AS description, CAST(1 AS DECIMAL(12,2)) AS quantity, CAST(0 AS DECIMAL(15,2)) AS unit_price_excl_vat, id AS contradiction_id FROM findings WHERE status = 'OPEN' AND severity = 'HIGH'"),
     "strategy_merged": (strategy_merged, "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, CAST(CASE WHEN event_id % 2 = 0 THEN 1 END AS BIGINT) AS a FROM events"),
     "document_classes": (document_classes, DOCS + f"""SELECT id, string_split(c, '|')[1] AS type, string_split(c, '|')[2] AS category, CASE WHEN lower(title) LIKE '%.png' THEN 'image/png' ELSE 'application/pdf' END AS mime, CASE WHEN id % 7 = 5 THEN 'pdf' END AS kind, CASE WHEN length(extracted_text) > 50 AND ai_status <> 'VALIDATED' THEN 'DONE' ELSE ai_status END AS status

@@ -32,9 +32,7 @@ def sheet_rows(spark, sf):
     text = F.when(k % 13 == 0, None).otherwise(F.col("p_name"))
     sheet = p.select(F.col("p_brand").alias("a"), F.when(k % 13 != 0, F.concat(k.cast("string"), F.lit("."))).alias("b"), text.alias("c"), F.when(k % 3 == 0, "7").alias("d"), F.when(k % 13 != 0, F.concat((k % 50).cast("string"), F.lit(".5 pcs"))).alias("e"), F.when(k % 4 == 0, "  ").when(k % 13 != 0, " u ").alias("f"), F.when(k % 5 == 0, "n/a").when(k % 13 != 0, F.concat(F.lit(" "), (k % 90).cast("string"), F.lit(".25"))).alias("g"), k.alias("id"))
     cells = pricelist.SHEET
-    sheet = sheet.toDF(*cells, "id")
-    filled = sheet.filter(F.coalesce(*cells[1:]).isNotNull())
-    return pricelist.typed_rows(filled)
+    return pricelist.typed_rows(pricelist.filled_rows(sheet.toDF(*cells, "id"), pricelist.SHEET))
 
 
 def segment_counts(spark, sf):

@@ -24,10 +24,21 @@ def sheet_head(sheet: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files as (path, name, kind, mime, length, content)."""
+    """Files as (path, name, kind, mime, length, content). Files that are neither sheet, image nor PDF by their name are turned away."""
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), "length", "content").withColumn("mime", mime_type(F.col("name"), F.lit(None).cast("string"))).withColumn("kind", file_kind(F.col("name"), F.col("mime")))
+    kind = F.when(F.lower("name").rlike(r"\.(png|jpe?g|gif|webp|bmp|tiff?)$"), "image").otherwise(file_kind(F.col("name"), F.lit(None).cast("string")))
+    return files.select("path", name.alias("name"), "length", "content").withColumn("kind", kind).filter("kind is not null").withColumn("mime", mime_type(F.col("name"), F.lit(None).cast("string")))
+
+
+def sheet_census(spark: SparkSession, path: str, header_rows: bool = True) -> DataFrame:
+    """Rows of each sheet file under the path."""
+    return read_sheet(spark, path, header_rows).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("sheet")).agg(F.count("*").alias("n_rows"))
+
+
+def write_head(rows: DataFrame, path: str, most: int = 5) -> None:
+    """The first rows as JSON lines."""
+    rows.limit(most).write.mode("overwrite").json(path)
 
 
 def with_model(files: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:

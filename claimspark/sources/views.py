@@ -87,6 +87,16 @@ PROJECTS_SQL = """projects AS (SELECT c_custkey AS id, c_name AS name, c_nationk
   CAST(CASE WHEN c_custkey % 17 = 0 THEN 0 ELSE c_acctbal END AS DECIMAL(15,2)) AS budget FROM customer)"""
 
 
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price lists of the items: one a brand, of the project with its number; every other one is global."""
+    n = F.substring("id", 7, 9).cast("bigint")
+    own = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id")).distinct()
+    return own.select("id", F.concat(F.lit("list "), "id").alias("name"), (n % 2 == 0).alias("is_global"), n.alias("project_id"))
+
+
+LISTS_SQL = "lists AS (SELECT id, 'list ' || id AS name, n % 2 = 0 AS is_global, n AS project_id FROM (SELECT DISTINCT p_brand AS id, CAST(substr(p_brand, 7) AS BIGINT) AS n FROM part))"
+
+
 def project_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents of projects (sources), with a title and a category."""
     d = table(spark, sf_dir, "documents")
