@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled cutoffs (native DataFrame operations only).
 
-Per stratum and rule a cutoff is picked on one half of the labelled documents and certified on the other: the exact
-binomial tail must show, at a level shared out over all tests (Bonferroni), that the rule rejects at most `risk` of the
-good documents. A rule that is not certified, or that catches no bad document, rejects nothing in that stratum.
+Per stratum, one half of the labelled documents picks a cutoff for each rule and an order of the rules, the best first. The other
+half certifies how many of them act together: in that order (fixed-sequence testing), each further rule is added only while the
+exact binomial tail shows that all rules so far together reject at most `risk` of the good documents, at a level shared out over
+the strata (Bonferroni). So with confidence 1 - `level` no stratum loses more than `risk` of its good documents to the rules. A
+stratum in which not even the first rule is certified has the base rules only.
 
 Defined cases: null text counts as empty (no words, base rule fails); a null stratum is a stratum of its own; labels with
 a null id or null quality are ignored; of a repeated label id, the largest quality counts; with empty labels only the
-base rules act; extra columns are carried through, and own columns start with `_`.
+base rules act; extra columns are carried through, and an added column whose name is taken has an underscore more.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blank_words, cut, let, or_empty, small_side
+from .common import blank_words, cut, free, let, or_empty, small_side
 
 #: A rule rejects above its cutoff. Candidate cutoffs, loosest first.
 GRIDS = {
@@ -45,8 +47,8 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 9, F.lit(0).cast("bigint")).otherwise(counted)
 
 
-def signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one more column, `_q`: counts and rule metrics of the whole text. No shuffle."""
+def signals(docs: DataFrame, text: str = "text", name: str = "_q") -> DataFrame:
+    """docs with one more column, `name`: counts and rule metrics of the whole text. No shuffle."""
     t = or_empty(F.col(text))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     without = lambda p: F.length(t) - F.length(F.regexp_replace(t, p, ""))
@@ -61,7 +63,7 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         metrics = {"symbol_rate": rate(r["s"], w["word_chars"]), "dup_line_rate": rate(line["n_dup_lines"], line["n_lines"]), "repeat_rate": rate(w["n_repeat_words"], w["n_words"]), "upper_rate": rate(r["u"], w["word_chars"]), "long_word_rate": rate(w["word_chars"], w["n_words"])}
         return F.struct(w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), r["s"].alias("n_symbols"), line["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), *[metrics[k].cast("double").alias(k) for k in GRIDS])
 
-    return docs.withColumn("_q", let(raw, shape))
+    return docs.withColumn(name, let(raw, shape))
 
 
 def _log_factorial(n: Column) -> Column:
@@ -81,34 +83,43 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(at_k) * total)
 
 
-def certified_cutoffs(rated: DataFrame, labels: DataFrame, stratum: str, doc_id: str = "doc_id", risk: float = 0.01, level: float = 0.05) -> DataFrame:
-    """(stratum, cuts map<rule, cutoff>) from documents with `_q` and labels (doc_id, quality 0/1).
+def certified_cutoffs(rated: DataFrame, labels: DataFrame, stratum: str, doc_id: str = "doc_id", risk: float = 0.01, level: float = 0.05, name: str = "_q") -> DataFrame:
+    """(_stratum, _cuts map<rule, cutoff>) from rated documents and labels (doc_id, quality 0/1).
 
     Only documents that pass the base rules count. The halves come from a hash of the id; all labelled rows are used.
     """
     good = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).dropna().groupBy("_id").agg(F.max("_quality").alias("_quality"))
-    seen = rated.filter(~F.col("_q.base_failed") & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.coalesce(F.col(stratum), F.lit("\0null")).alias("_stratum"), *[F.col(f"_q.{k}").alias(k) for k in GRIDS]).join(good, "_id")
+    seen = rated.filter(~F.col(f"{name}.base_failed") & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("\0null")).alias("_stratum"), *[F.col(f"{name}.{k}").alias(k) for k in GRIDS]).join(good, "_id")
+    seen = cut(seen.select("_stratum", (F.substring(F.md5(F.col("_id").cast("string")), 1, 1) < "8").alias("tune"), (F.col("_quality") > 0).alias("good"), *GRIDS))
     tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cut"), (F.col(rule) > c).alias("hit")) for rule, grid in GRIDS.items() for c in grid])
-    counts = cut(
-        seen.select("_stratum", (F.pmod(F.xxhash64("_id"), F.lit(2)) == 0).alias("tune"), (F.col("_quality") > 0).alias("good"), F.explode(tests).alias("x"))
-        .groupBy("_stratum", F.col("x.rule").alias("rule"), F.col("x.cut").alias("cut"))
-        .agg(*[F.count_if((F.col("tune") == tune) & (F.col("good") == ok) & hit).cast("double").alias(name) for name, tune, ok, hit in (("tune_bad", True, False, F.col("x.hit")), ("tune_good", True, True, F.col("x.hit")), ("k", False, True, F.col("x.hit")), ("n", False, True, F.lit(True)))])
-    )  # strata x cutoffs rows
+    hits = seen.filter("tune").select("_stratum", "good", F.explode(tests).alias("x")).filter("x.hit")
+    counts = hits.groupBy("_stratum", F.col("x.rule").alias("rule"), F.col("x.cut").alias("cut")).agg(F.count_if(~F.col("good")).alias("bad"), F.count_if("good").alias("good"))  # strata x cutoffs rows
     # the most bad rejections less a price for good ones; of equals the loosest
-    best = counts.filter("tune_bad > 0").groupBy("_stratum", "rule").agg(F.max(F.struct((F.col("tune_bad") - 10 * F.col("tune_good")).alias("gain"), F.col("cut"), F.col("k"), F.col("n"))).alias("b")).filter("b.gain > 0")
-    tests_made = max(1, counts.select("_stratum", "rule").distinct().count())
-    sure = best.filter((F.col("b.n") > 0) & (binomial_tail(F.col("b.k"), F.col("b.n"), risk) <= level / tests_made))
-    return sure.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "b.cut"))).alias("_cuts"))  # at most one entry a rule
-
-
-def judge(rated: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
-    """rated with `_kept`: passes the base rules and every certified rule of its stratum."""
-    hit = F.exists(F.array(*[F.coalesce(F.col(f"_q.{k}") > F.col("_cuts").getItem(k), F.lit(False)) for k in GRIDS]), lambda x: x)
-    joined = rated.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit("\0null"))).join(small_side(cutoffs), "_stratum", "left")
-    return joined.withColumn("_kept", ~F.col("_q.base_failed") & ~hit).drop("_stratum", "_cuts")
+    best = counts.groupBy("_stratum", "rule").agg(F.max(F.struct((F.col("bad") - 10 * F.col("good")).alias("gain"), F.col("cut"))).alias("b")).filter("b.gain > 0")
+    chosen = best.groupBy("_stratum").agg(F.array_sort(F.collect_list(F.struct((-F.col("b.gain")).alias("loss"), "rule", "b.cut"))).alias("rules"))  # at most one entry a rule
+    chosen = cut(chosen)
+    tests_made = max(1, chosen.count())
+    # the first rule, from 1, that rejects a good document of the other half; with as many rules as that it is lost
+    metrics = F.create_map(*[x for k in GRIDS for x in (F.lit(k), F.col(k))])
+    lost_at = F.array_position(F.transform("rules", lambda r: F.element_at(metrics, r["rule"]) > r["cut"]), True)
+    held = seen.filter("good and not tune").join(small_side(chosen), "_stratum").groupBy("_stratum").agg(F.count("*").cast("double").alias("n"), *[F.count_if((lost_at > 0) & (lost_at <= i)).cast("double").alias(f"k{i}") for i in range(1, len(GRIDS) + 1)])
+    sure = F.array(*[binomial_tail(F.col(f"k{i}"), F.col("n"), risk) <= level / tests_made for i in range(1, len(GRIDS) + 1)])
+    first_unsure = F.array_position(sure, False)  # 0: all are
+    acting = held.select("_stratum", F.when(first_unsure == 0, len(GRIDS)).otherwise(first_unsure - 1).cast("int").alias("m")).join(chosen, "_stratum")
+    taken = F.slice("rules", F.lit(1), F.col("m"))
+    return acting.filter("m > 0").select("_stratum", F.map_from_entries(F.transform(taken, lambda r: F.struct(r["rule"], r["cut"]))).alias("_cuts"))
+
+
+def judge(rated: DataFrame, cutoffs: DataFrame, stratum: str, name: str = "_q", kept: str = "_kept") -> DataFrame:
+    """rated with `kept`: passes the base rules and every certified rule of its stratum."""
+    own, cuts = free("_stratum", rated.columns), free("_cuts", rated.columns)
+    hit = F.exists(F.array(*[F.coalesce(F.col(f"{name}.{k}") > F.col(cuts).getItem(k), F.lit(False)) for k in GRIDS]), lambda x: x)
+    joined = rated.withColumn(own, F.coalesce(F.col(stratum).cast("string"), F.lit("\0null"))).join(small_side(cutoffs.select(F.col("_stratum").alias(own), F.col("_cuts").alias(cuts))), own, "left")
+    return joined.withColumn(kept, ~F.col(f"{name}.base_failed") & ~hit).drop(own, cuts)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, level: float = 0.05) -> DataFrame:
     """docs with `_q` and `_kept`. Signals are made once: docs and `_q` are written, then labelled and judged from there."""
-    rated = cut(signals(docs))
-    return judge(rated, cut(certified_cutoffs(rated, labels, stratum, risk=risk, level=level)), stratum)
+    name, kept = free("_q", docs.columns), free("_kept", docs.columns)
+    rated = cut(signals(docs, name=name))
+    return judge(rated, cut(certified_cutoffs(rated, labels, stratum, risk=risk, level=level, name=name)), stratum, name, kept)
