@@ -10,9 +10,10 @@ range join gives each piece its bin.
 
 Capacities, bin cost and lengths have one unit: the tokenizer's tokens if pack_texts is given one, else words.
 
-Texts longer than the largest capacity are cut into full pieces and a rest. Defined cases: length 0 or null has no piece
+Texts longer than the largest capacity are cut into full pieces and a rest; a piece's place in its text is told. Defined cases: length 0 or null has no piece
 and stays with bin null (query: n_pieces 0); ties of a length are ordered by the row's key; rows that repeat an id and a
-text are equal and get places of their own; an empty table gives an empty result.
+text are equal and get places of their own; an empty table gives an empty result; pack carries other columns through, and an added column
+whose name is taken has an underscore more.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import blank_words, cut, let, row_key, small_side
+from .common import blank_words, cut, free, let, row_key, small_side
 
 #: Permitted sequence lengths, and what a bin costs besides its capacity, in the unit of the lengths.
 CAPACITIES, BIN_COST = (512, 1024, 2048), 16
-#: Pieces ranked by one task.
-RANKED = 250_000
+#: Pieces of one length ranked together.
+RANKED = 5_000
 
 
 class Slot(NamedTuple):
@@ -109,20 +110,16 @@ def best_plan(histogram: dict[int, int], capacities: tuple[int, ...], bin_cost:
 
 def pack(items: DataFrame, length: str = "length", key: str = "_row", capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST) -> DataFrame:
     """items (one narrow row a text) as one row a piece, with piece_no, piece_length, bin_id, bin_offset, bin_capacity."""
-    spark, top = items.sparkSession, max(capacities)
-    n = F.coalesce(F.col(length).cast("bigint"), F.lit(0))
+    spark, top, names = items.sparkSession, max(capacities), items.columns
+    at = {c: f"_c{i}" for i, c in enumerate(names)}  # inside, no name of a caller can be in the way
+    items = items.toDF(*at.values())
+    key = at[key]
+    n = F.coalesce(F.col(at[length]).cast("bigint"), F.lit(0))
     sizes = F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.lit(1), F.ceil(n / top)).cast("bigint")), lambda i: F.least(n - (i - 1) * top, F.lit(top).cast("bigint"))))
     pieces = cut(items.select("*", F.posexplode_outer(sizes).alias("piece_no", "piece_length")))
     whole = pieces.filter("piece_length is not null")
     histogram = {r["piece_length"]: r["n"] for r in whole.groupBy("piece_length").agg(F.count("*").alias("n")).collect()}  # at most `top` rows
     slots, bins = best_plan(histogram, tuple(sorted(capacities)), bin_cost)
-    # ranks within a length: within salts, then the salts' counts added up
-    salts = max(1, -(-sum(histogram.values()) // RANKED))
-    salted = whole.withColumn("_salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("piece_length", "_salt").agg(F.count("*").alias("_n"))
-    before = counts.select("piece_length", "_salt", (F.sum("_n").over(Window.partitionBy("piece_length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("piece_length", "_salt").orderBy(key, "piece_no", F.xxhash64(*items.columns))) - 1)
-    ranked = ranked.join(small_side(cut(before)), ["piece_length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     # a piece's slot is the last of its length that begins at or before its rank; the plan is bounded by the capacities
     of_length, ends = defaultdict(list), [b[0] for b in bins]
     for s in sorted(slots, key=lambda s: s.first_rank):
@@ -133,20 +130,30 @@ def pack(items: DataFrame, length: str = "length", key: str = "_row", capacities
             of_length[s.length].append((s.first_rank + done, s.first_bin + done, s.offset, bins[i][2]))
             done += some
     kind = "struct<first_rank:bigint,first_bin:bigint,bin_offset:bigint,bin_capacity:int>"
-    table = spark.createDataFrame(list(of_length.items()), f"piece_length bigint, _slots array<{kind}>")
-    nothing = F.lit(None).cast(kind)
+    planned = F.broadcast(spark.createDataFrame([(n, -(-histogram[n] // RANKED), x) for n, x in of_length.items()], f"piece_length bigint, _salts bigint, _slots array<{kind}>"))  # at most `top` rows
+    # ranks within a length: within salts, as many as the length needs, then the salts' counts added up
+    salted = whole.join(planned.drop("_slots"), "piece_length").withColumn("_salt", F.pmod(F.xxhash64(key, "piece_no"), "_salts")).drop("_salts")
+    counts = salted.groupBy("piece_length", "_salt").agg(F.count("*").alias("_n"))
+    before = counts.select("piece_length", "_salt", (F.sum("_n").over(Window.partitionBy("piece_length").orderBy("_salt")) - F.col("_n")).alias("_before"))
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("piece_length", "_salt").orderBy(key, "piece_no", F.xxhash64(*items.columns))) - 1)
+    ranked = ranked.join(small_side(cut(before)), ["piece_length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     search = F.aggregate(F.sequence(F.lit(0), F.lit(40)), F.struct(F.lit(0).alias("lo"), F.size("_slots").alias("hi")), lambda a, _: F.when(a["hi"] - a["lo"] <= 1, a).otherwise(let(F.floor((a["lo"] + a["hi"]) / 2).cast("int"), lambda m: F.when(F.get("_slots", m)["first_rank"] <= F.col("_rank"), F.struct(m.alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), m.alias("hi"))))))["lo"]
-    placed = ranked.join(F.broadcast(table), "piece_length").withColumn("_slot", F.get("_slots", search))  # at most `top` rows
-    rest = pieces.filter("piece_length is null").withColumn("_slot", nothing).withColumn("_rank", F.lit(None).cast("bigint"))
-    out = [*items.columns, "piece_no", "piece_length", (F.col("_slot.first_bin") + F.col("_rank") - F.col("_slot.first_rank")).alias("bin_id"), F.col("_slot.bin_offset").alias("bin_offset"), F.col("_slot.bin_capacity").alias("bin_capacity")]
+    placed = ranked.join(planned.drop("_salts"), "piece_length").withColumn("_slot", F.get("_slots", search))
+    rest = pieces.filter("piece_length is null").withColumn("_slot", F.lit(None).cast(kind)).withColumn("_rank", F.lit(None).cast("bigint"))
+    added = {"piece_no": F.col("piece_no"), "piece_length": F.col("piece_length"), "bin_id": F.col("_slot.first_bin") + F.col("_rank") - F.col("_slot.first_rank"), "bin_offset": F.col("_slot.bin_offset"), "bin_capacity": F.col("_slot.bin_capacity")}
+    out = [*[F.col(i).alias(c) for c, i in at.items()], *[v.alias(free(c, names)) for c, v in added.items()]]
     return placed.select(*out).unionByName(rest.select(*out))
 
 
 def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, tokenizer: str | None = None) -> DataFrame:
-    """Pieces of docs by their numbers of tokens by the tokenizer file, or without one of words between white space: doc_id, length, and pack's columns. Texts are read once and not shuffled."""
-    if tokenizer:
-        keyed = docs.select(doc_id, row_key(doc_id, text).alias("_row"), text)
-        items = tokens.count_tokens(keyed, tokenizer, [doc_id, "_row"], text).select(doc_id, "_row", F.col("n_tokens").alias("length"))
+    """Pieces of docs by their numbers of tokens by the tokenizer file, or without one of words between white space: doc_id, length, and pack's columns.
+
+    With a tokenizer also text_start and text_end, a piece's place in its text in code points. Texts are read once and not shuffled.
+    """
+    if not tokenizer:
+        items = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("_row"), F.size(blank_words(F.col(text))).cast("bigint").alias("length"))
         return pack(items, "length", "_row", capacities, bin_cost)
-    items = docs.select(doc_id, row_key(doc_id, text).alias("_row"), F.size(blank_words(F.col(text))).cast("bigint").alias("length"))
-    return pack(items, "length", "_row", capacities, bin_cost)
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("_row"), F.col(text).alias("text"))
+    items = tokens.count_tokens(keyed, tokenizer, ["doc_id", "_row"], runs_of=max(capacities)).select("doc_id", "_row", F.col("n_tokens").alias("length"), "cuts")
+    out = pack(items, "length", "_row", capacities, bin_cost)
+    return out.select("*", F.get("cuts", F.col("piece_no")).alias("text_start"), F.get("cuts", F.col("piece_no") + 1).alias("text_end")).drop("cuts")

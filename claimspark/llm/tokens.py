@@ -4,10 +4,11 @@ The tokenizer file is a parameter: `.model` for sentencepiece, `.json` for token
 keeps white space as it is and has no piece with a space mark after another character, a text may be cut before any run
 of spaces that follows another character: the cut space becomes the prefix that the library puts before each piece. Texts
 are cut there, each distinct piece of a batch is encoded once, and calls to the library take pieces of about equal bytes.
-Other tokenizers get whole texts, in calls of about equal bytes.
+Other tokenizers get whole texts, in calls of about equal bytes. A stretch without a safe place is one piece of any length: the
+library needs it whole to count it as it does. A worker remembers counts of short pieces only, so its memory is bounded.
 
-Defined cases: null and empty text have 0 bytes and 0 tokens; repeated rows are counted each; row order and other columns
-don't matter; the added columns are `n_bytes` and `n_tokens`.
+Defined cases: null and empty text have 0 bytes and 0 tokens; repeated rows are counted each; row order doesn't matter; other columns
+are carried through; the added columns are `n_bytes` and `n_tokens`, with an underscore more if the table has such a column.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_column, with_arrow
+from .common import arrow_column, free, with_arrow
 
 #: A space run after a character that is neither a space nor the space mark, with something behind it.
 SAFE = re.compile("(?<=[^ ▁]) (?= *[^ ])")
-#: Bytes of one call to the library, and pieces whose lengths a worker remembers at most.
-CALL_BYTES, REMEMBERED = 1 << 20, 1_000_000
+#: Bytes of one call to the library; pieces whose lengths a worker remembers at most, and their greatest length.
+CALL_BYTES, REMEMBERED, LONGEST = 1 << 20, 500_000, 64
 
 
 @lru_cache(maxsize=4)
 def _encoder(path: str):
-    """(function of a list of texts to their lengths, whether cutting at SAFE is exact)"""
+    """(function of a list of texts to their lengths, whether cutting at SAFE is exact, function of a text to its tokens' places in code points)"""
     if path.endswith(".model"):
         import sentencepiece
         import sentencepiece.sentencepiece_model_pb2 as spec
@@ -39,13 +40,22 @@ def _encoder(path: str):
         n = model.normalizer_spec
         plain = n.name == "identity" and not n.precompiled_charsmap and n.add_dummy_prefix and not n.remove_extra_whitespaces and n.escape_whitespaces
         safe = plain and not model.trainer_spec.treat_whitespace_as_suffix and all("▁" not in p.piece.lstrip("▁") and p.type in (1, 2, 3, 6) for p in model.pieces)
-        return (lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]), safe
+
+        def starts(t: str) -> list[int]:
+            raw = t.encode("utf-8", "replace")
+            return [len(raw[: x.begin].decode("utf-8", "ignore")) for x in sp.encode(t, return_type="proto").pieces]
+
+        return (lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]), safe, starts
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return (lambda texts: [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]), False
+    return (lambda texts: [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]), False, (lambda text: [a for a, _ in t.encode(text, add_special_tokens=False).offsets])
+
+
+def n_bytes(t: str) -> int:
+    return len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
 
 
 def _in_calls(encode, texts: list[str]) -> list[int]:
@@ -55,7 +65,7 @@ def _in_calls(encode, texts: list[str]) -> list[int]:
     held = 0
     for t in texts:
         call.append(t)
-        held += len(t)
+        held += n_bytes(t)
         if held >= CALL_BYTES:
             out += encode(call)
             call, held = [], 0
@@ -67,7 +77,7 @@ _seen: dict[str, dict[str, int]] = {}
 
 def lengths(path: str, texts: list[str]) -> list[int]:
     """Token counts of texts."""
-    encode, safe = _encoder(path)
+    encode, safe, _ = _encoder(path)
     if not safe:
         return _in_calls(encode, texts)
     known = _seen.setdefault(path, {})
@@ -75,16 +85,38 @@ def lengths(path: str, texts: list[str]) -> list[int]:
         known.clear()
     cut = [SAFE.split(t) if t else [] for t in texts]
     new = list(dict.fromkeys(p for pieces in cut for p in pieces if p not in known))
-    known.update(zip(new, _in_calls(encode, new), strict=True))
-    return [sum(map(known.__getitem__, pieces)) for pieces in cut]
-
-
-def count_tokens(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """docs' columns `keep` with n_bytes and n_tokens of the whole text. No shuffle."""
+    found = dict(zip(new, _in_calls(encode, new), strict=True))
+    out = [sum(known[p] if p in known else found[p] for p in pieces) for pieces in cut]
+    known.update((p, n) for p, n in found.items() if len(p) <= LONGEST)
+    return out
+
+
+def boundaries(path: str, text: str, size: int) -> list[int]:
+    """Where in the text, in code points, each run of `size` tokens begins, and its end. A character whose bytes are cut goes to the later run."""
+    _, safe, starts = _encoder(path)
+    out, before, at = [0], 0, 0  # tokens and characters before a piece
+    for piece in SAFE.split(text) if safe else [text]:
+        own = None
+        n = lengths(path, [piece])[0]
+        while before + n > size * len(out):
+            own = starts(piece) if own is None else own
+            k = size * len(out) - before
+            out.append(at + own[k] if k else max(0, at - 1))  # the space before a piece is its first token's
+        before, at = before + n, at + len(piece) + 1
+    return [*out, len(text)]
+
+
+def count_tokens(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", runs_of: int | None = None) -> DataFrame:
+    """docs' columns `keep` with n_bytes and n_tokens of the whole text; with `runs_of`, also `cuts`, the boundaries of runs of so many tokens. No shuffle."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    size, count, cuts = (free(c, keep) for c in ("n_bytes", "n_tokens", "cuts"))
 
     def rows_of(b: pa.RecordBatch) -> dict[str, list]:
         raw = arrow_column(b, text)
-        return {"n_bytes": [len(x) for x in raw], "n_tokens": lengths(path, [x.decode("utf-8", "replace") for x in raw])}
+        texts = [x.decode("utf-8", "replace") for x in raw]
+        out = {size: [len(x) for x in raw], count: lengths(path, texts)}
+        if runs_of:
+            out[cuts] = [[0, len(t)] if n <= runs_of else boundaries(path, t, runs_of) for t, n in zip(texts, out[count], strict=True)]
+        return out
 
-    return with_arrow(docs.select(*dict.fromkeys([*keep, text])), keep, "n_bytes bigint, n_tokens bigint", rows_of)
+    return with_arrow(docs.select(*dict.fromkeys([*keep, text])), keep, f"`{size}` bigint, `{count}` bigint" + f", `{cuts}` array<bigint>" * bool(runs_of), rows_of)

@@ -313,7 +313,7 @@ def test_op9_other_tokenizer(spark):
 
 
 def test_op10(spark, folder, rows):
-    out = [r.asDict() for r in queries.op10_best_fit_packing(spark, folder).collect()]
+    out = [r.asDict() for r in pack.pack_texts(spark.read.parquet(f"{folder}/documents.parquet")).collect()]
     same([(r["doc_id"], r["length"]) for r in out if r["piece_no"] in (0, None)], [(i, len(blank_words(t))) for i, t, *_ in rows])
     assert sum(r["piece_length"] or 0 for r in out) == sum(len(blank_words(t)) for _, t, *_ in rows)
     bins = defaultdict(list)

@@ -73,7 +73,7 @@ def test_op10_and_pipeline_pack_tokens(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.TOKENIZER))
     n = {i: len(sp.encode(t or "")) for i, t in enumerate(texts)}
     assert n[1] > 2048
-    for out in (corpus_pipeline.best_fit_packing(spark, docs, ""), queries.op10_token_packing(spark, str(tmp_path))):
+    for out in (corpus_pipeline.best_fit_packing(spark, docs, ""), queries.op10_best_fit_packing(spark, str(tmp_path))):
         got = out.collect()
         assert {r["doc_id"]: r["length"] for r in got} == n
         assert sum(r["piece_length"] or 0 for r in got) == sum(n.values())
@@ -82,6 +82,33 @@ def test_op10_and_pipeline_pack_tokens(spark, tmp_path):
             if r["bin_id"] is not None:
                 fills.setdefault((r["bin_id"], r["bin_capacity"]), []).append(r["piece_length"])
         assert all(sum(x) <= c for (_, c), x in fills.items())
+        for i, t in enumerate(texts):  # pieces lie end to end in their text, each where its first token begins
+            own = sorted((r["piece_no"], r["text_start"], r["text_end"]) for r in got if r["doc_id"] == i and r["bin_id"] is not None)
+            assert "".join(t[a:b] for _, a, b in own) == (t if n[i] else "")
+            raw, starts = (t or "").encode(), sp.encode(t or "", return_type="proto").pieces
+            assert [a for _, a, _ in own] == [len(raw[: starts[2048 * k].begin].decode("utf-8", "ignore")) for k in range(len(own))]
+
+
+def least_cost(lengths, capacities, bin_cost):
+    """By trying all ways to share out a few pieces."""
+
+    def best(left, fills):
+        if not left:
+            return sum(min(c for c in capacities if c >= f) + bin_cost for f in fills)
+        ways = {f: k for k, f in enumerate(fills) if f + left[0] <= max(capacities)}
+        return min([best(left[1:], [*fills, left[0]]), *(best(left[1:], [*fills[:k], f + left[0], *fills[k + 1 :]]) for f, k in ways.items())])
+
+    return best(sorted(lengths, reverse=True), [])
+
+
+def test_op10_is_near_the_least_cost():
+    rng, ratios = random.Random(8), []
+    for _ in range(60):
+        lengths = [rng.choice([rng.randrange(1, 2049), rng.randrange(100, 700)]) for _ in range(rng.randrange(1, 8))]
+        histogram = {n: lengths.count(n) for n in lengths}
+        got = sum(count * (c + pack.BIN_COST) for _, count, c, _ in pack.best_plan(histogram, pack.CAPACITIES, pack.BIN_COST)[1])
+        ratios.append(got / least_cost(lengths, pack.CAPACITIES, pack.BIN_COST))
+    assert min(ratios) >= 1 and max(ratios) < 1.4 and sum(ratios) / len(ratios) < 1.03
 
 
 def test_op10_sizes_of_bins_are_chosen_one_by_one():
