@@ -15,15 +15,18 @@ that variants can't hold (a repeated key) they have the text as it is.
 Defined cases: of calls that repeat an id in a conversation the earliest is linked, the others are flagged; a result without a
 call, or before it, is an orphan and keeps its place; calls on a cycle, or that wait for one, have level null; unknown ids in
 depends_on are ignored; arguments that aren't a JSON object are invalid; calls of undeclared tools are valid if their arguments
-are an object, and have `declared` false; any other text, also null, is a plain message; repeated rows give repeated rows.
+are an object, and have `declared` false; any other text, also null, is a plain message; repeated rows give repeated rows; other columns than the
+four read are dropped, so names can't clash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, or_empty
+from .common import cut, or_empty, tidy
 
 CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,depends_on:array<string>,function:struct<name:string,arguments:string>>>"
 TOOL = "name:string,required:array<string>,types:map<string,string>,parameters:string,function:struct<name:string,parameters:string>"
@@ -86,20 +89,24 @@ def unfit(pairs: DataFrame) -> DataFrame:
     return pairs.select("key").limit(0) if found is None else found.distinct()
 
 
+@tidy
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of linked calls: 0 without known dependencies, else one more than the latest of them; null on cycles."""
+    """(conv_id, call_id, level) of linked calls: 0 without known dependencies, else one more than the latest of them; null on cycles.
+
+    Each round drops the dependencies on the calls of the last level; calls that have none left make the next. A round reads what is left only.
+    """
     names = calls.select("conv_id", "call_id")
-    deps = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("on")).join(names.withColumnRenamed("call_id", "on"), ["conv_id", "on"])
-    deps = cut(deps)
-    if deps.isEmpty():
-        return names.withColumn("level", F.lit(0))
-    done = cut(names.join(deps, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    while True:
-        met = deps.join(done.select("conv_id", F.col("call_id").alias("on"), "level"), ["conv_id", "on"], "left").join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        new = cut(met.groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), (F.max("level") + 1).alias("level")).filter("open = 0").select("conv_id", "call_id", "level"))
-        if new.isEmpty():
-            return names.join(done, ["conv_id", "call_id"], "left")
-        done = cut(done.unionByName(new))
+    left = cut(calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("on")).join(names.withColumnRenamed("call_id", "on"), ["conv_id", "on"]))
+    now = names.join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    done = [now]
+    while not left.isEmpty():
+        still = cut(left.join(now.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti"))
+        now = cut(left.select("conv_id", "call_id").distinct().join(still, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(len(done))))
+        if now.isEmpty():
+            break  # the rest are on cycles, or wait for one
+        done.append(now)
+        left = still
+    return names.join(reduce(DataFrame.unionByName, done), ["conv_id", "call_id"], "left")
 
 
 def link_tool_calls(turns: DataFrame) -> DataFrame:
@@ -117,8 +124,8 @@ def link_tool_calls(turns: DataFrame) -> DataFrame:
     calls = calls.select("conv_id", "turn", "role", "part", F.col("c.id").alias("call_id"), F.coalesce("c.name", "c.function.name").alias("tool"), F.coalesce("c.arguments", "c.function.arguments").alias("arguments"), "c.depends_on", _said(others).alias("extra"), F.when(F.col("part") == 0, F.col("_rest")).alias("turn_json"))
     declared = parsed.filter(F.size("_t.tools") > 0).select("conv_id", F.explode("_t.tools").alias("d")).groupBy("conv_id", F.coalesce("d.name", "d.function.name").alias("tool")).agg(F.min(F.to_json("d")).alias("d")).withColumn("d", F.from_json("d", f"struct<{TOOL}>"))
     kinds = F.transform_values(F.from_json("arguments", "map<string,variant>"), lambda k, v: F.schema_of_variant(v))
-    fits = F.forall(F.map_entries(F.coalesce("d.types", F.create_map().cast("map<string,string>"))), lambda e: F.col("kinds").getItem(e["key"]).isNull() | _is(F.col("kinds").getItem(e["key"]), e["value"]))
-    there = F.forall(F.coalesce("d.required", F.array().cast("array<string>")), lambda k: F.col("kinds").getItem(k).isNotNull())
+    fits = F.forall(F.map_entries(F.coalesce("d.types", F.create_map().cast("map<string,string>"))), lambda e: F.col("kinds")[e["key"]].isNull() | _is(F.col("kinds")[e["key"]], e["value"]))
+    there = F.forall(F.coalesce("d.required", F.array().cast("array<string>")), lambda k: F.col("kinds")[k].isNotNull())
     # an object only: other JSON has no map form
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), F.lit(False))
     checked = calls.join(declared, ["conv_id", "tool"], "left").withColumn("kinds", F.when(is_object, kinds)).withColumn("valid", is_object & F.coalesce(fits & there, F.lit(False)))

@@ -77,7 +77,14 @@ def cut(df: DataFrame) -> DataFrame:
     if scopes := getattr(_open, "scopes", None):
         scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._claimspark_table = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes the table of a `cut` that is not needed any more; other DataFrames stay as they are."""
+    _remove(getattr(df, "_claimspark_table", ""))
 
 
 def tidy(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -106,7 +113,8 @@ _open = threading.local()
 
 
 def _remove(path: str) -> None:
-    spark = _written.pop(path)
+    if not (spark := _written.pop(path, None)):
+        return
     with contextlib.suppress(Exception):  # the session may have ended before
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

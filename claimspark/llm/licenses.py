@@ -10,7 +10,8 @@ Blocks are windows half a window apart. Half a window has as many words as the l
 as many more as the threshold lets it miss, so any passage of that length stands in one block whole. Templates with words in order (`phrases`) are joined at containment 1 and then located exactly.
 
 Defined cases: null text is empty (no words); words of a text are counted from 0; repeated rows get equal results; with an
-empty table the order of tokens is alphabetical.
+empty table the order of tokens is alphabetical; other columns are carried through, and an added column whose name is taken has an
+underscore more. Texts are read twice: for the counts by which tokens are ordered, and to be scanned.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, with_arrow
+from .common import arrow_column, free, ready_for_arrow, with_arrow
 
 #: Lower case for A-Z; all that no word has becomes a space.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -74,8 +75,6 @@ def document_counts(docs: DataFrame, vocabulary: frozenset, text: str = "text")
             seen = Counter(w for t in arrow_column(b, text) for w in vocabulary.intersection(words(t)))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
-    from .common import ready_for_arrow
-
     ready_for_arrow(docs.sparkSession)
     return {bytes(r["w"]): r["n"] for r in docs.select(text).mapInArrow(rows_of, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}  # at most one row a template token
 
@@ -139,14 +138,25 @@ def scan(text: bytes, ix: Index) -> tuple[int, list[tuple[str, int, int, float,
     return len(w), sorted(out.values(), key=lambda m: (m[1], not m[4], m[0]))
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9, text: str = "text") -> DataFrame:
+def templates_of(table: DataFrame, most: int = 20_000) -> dict[str, str]:
+    """Templates from a table (label, text) of whole license texts or parts of them. They travel with the tasks, so more than `most` are an error."""
+    rows = table.select("text", "label").dropna().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} license templates")
+    return {r["text"]: r["label"] for r in sorted(rows) if words(r["text"].encode())}
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9, text: str = "text") -> DataFrame:
     """docs without their text, with n_words and matches: array of (label, start, words, containment, phrase)."""
+    templates = templates if isinstance(templates, dict) else templates_of(templates)
     built = build(templates, phrases, threshold)
     ix = index(built, document_counts(docs, frozenset(w for t in built for w in t.tokens), text))
     keep = [c for c in docs.columns if c != text]
 
+    count, matches = free("n_words", keep), free("matches", keep)
+
     def rows_of(b: pa.RecordBatch) -> dict[str, list]:
         found = [scan(t, ix) for t in arrow_column(b, text)]
-        return {"n_words": [n for n, _ in found], "matches": [[dict(zip(("label", "start", "words", "containment", "phrase"), m, strict=True)) for m in ms] for _, ms in found]}
+        return {count: [n for n, _ in found], matches: [[dict(zip(("label", "start", "words", "containment", "phrase"), m, strict=True)) for m in ms] for _, ms in found]}
 
-    return with_arrow(docs, keep, "n_words bigint, matches array<struct<label:string,start:bigint,words:bigint,containment:double,phrase:boolean>>", rows_of)
+    return with_arrow(docs, keep, f"`{count}` bigint, `{matches}` array<struct<label:string,start:bigint,words:bigint,containment:double,phrase:boolean>>", rows_of)

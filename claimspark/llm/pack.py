@@ -141,8 +141,8 @@ def pack(items: DataFrame, length: str = "length", key: str = "_row", capacities
     placed = ranked.join(planned.drop("_salts"), "piece_length").withColumn("_slot", F.get("_slots", search))
     rest = pieces.filter("piece_length is null").withColumn("_slot", F.lit(None).cast(kind)).withColumn("_rank", F.lit(None).cast("bigint"))
     added = {"piece_no": F.col("piece_no"), "piece_length": F.col("piece_length"), "bin_id": F.col("_slot.first_bin") + F.col("_rank") - F.col("_slot.first_rank"), "bin_offset": F.col("_slot.bin_offset"), "bin_capacity": F.col("_slot.bin_capacity")}
-    out = [*[F.col(i).alias(c) for c, i in at.items()], *[v.alias(free(c, names)) for c, v in added.items()]]
-    return placed.select(*out).unionByName(rest.select(*out))
+    out = [*at.values(), *[v.alias(c) for c, v in added.items()]]
+    return placed.select(*out).unionByName(rest.select(*out)).toDF(*names, *[free(c, names) for c in added])
 
 
 def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, tokenizer: str | None = None) -> DataFrame:

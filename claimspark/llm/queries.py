@@ -38,7 +38,7 @@ def _digest(spans) -> dict:
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *[c.alias(k) for k, c in _digest(pii.KINDS).items()])
+    return found.select("doc_id", *[c.alias(k) for k, c in _digest(pii.KINDS).items()], F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
