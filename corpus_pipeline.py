@@ -5,13 +5,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.llm import decontam, linededup, neardup, pack, quality
-from claimspark.llm.common import shared_folder
+from claimspark.llm.common import release, tidy
 from claimspark.llm.queries import TOKENIZER
 
 
@@ -45,14 +43,15 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("best-fit packing", best_fit_packing)]
-#: Certified cutoffs, edit distances and packing have no SQL form; tests compare run() with a brute-force version.
+#: Token counts and packing have no SQL form; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over `documents`; each stage's are written as Parquet in the shared folder and read again."""
-    docs, folder = _table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    """The last stage's rows over `documents`; each stage's are written as Parquet in the shared folder and read again, and removed once the next one's are."""
+    docs = _table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        kept = tidy(stage)(spark, docs, sf_dir)
+        release(docs)
+        docs = kept
     return docs
