@@ -115,7 +115,7 @@ def scanned(answers: DataFrame, column: str = "response") -> DataFrame:
     keep = ["project_id", "work_id", "work_title", "contract_id", "contract_title"]
     rows = parsed(answers.select(*keep, column), column)
     named = F.map_from_arrays(F.array(F.lit("contract_title"), F.lit("work_title")), F.array(text_or(F.col("contract_title"), F.lit(X.CONTRACT_TITLE)), F.col("work_title")))
-    evidence = F.map_concat(F.from_json("evidence_data", "map<string,variant>"), F.transform_values(named, lambda k, v: F.parse_json(F.to_json(F.array(v)))))
+    evidence = F.map_concat(F.from_json("evidence_data", "map<string,variant>"), F.transform_values(named, lambda k, v: F.try_variant_get(F.parse_json(F.to_json(F.struct(v.alias("v")))), "$.v", "variant")))
     return rows.select("project_id", "part", "title", "description", "severity", "category", "strategy_advice", F.col("work_id").alias("source_execution_doc_id"), F.col("contract_id").alias("target_contract_doc_id"), F.lit("OPEN").alias("status"), F.to_json(evidence).alias("evidence_data"))
 
 

@@ -16,15 +16,16 @@ def positions(items: DataFrame, list_key: str = "pricelist_id") -> DataFrame:
 def governing_notes(items: DataFrame, list_key: str = "pricelist_id") -> DataFrame:
     """(list, id, note_id) of each plain item: the nearest note before it whose first two segments begin its code; else null.
 
-    The string prefixes of an item's code are exploded and meet the notes by equality. Notes of a prefix are put among the
-    items in order of place, so a window's last note is the nearest: its cost is linear, not items times notes.
+    The string prefixes of an item's code that are as long as some note's meet the notes by equality. Notes of a prefix are put among
+    the items in order of place, so a window's last note is the nearest: its cost is linear, not items times notes.
     """
     note = F.col("item_type") == "NOTE"
     code = F.col("item_code")
     notes = items.filter(note).select(list_key, first_segments(code, 2).alias("prefix"), "pos", F.col("id").alias("note_id"), F.lit(None).cast("bigint").alias("id"))
     used = notes.select(list_key, "prefix").distinct()
-    prefixes = F.transform(F.sequence(F.lit(0), F.length(code)), lambda n: F.substring(code, F.lit(1), n))
-    plain = items.filter(F.col("item_type") == "ITEM").select(list_key, F.explode(prefixes).alias("prefix"), "pos", F.lit(None).cast("bigint").alias("note_id"), "id").join(used, [list_key, "prefix"], "left_semi")
+    lengths = used.agg(F.collect_set(F.length("prefix"))).scalar()  # few: codes are short
+    prefixes = F.transform(F.filter("_lengths", lambda n: n <= F.length(code)), lambda n: F.substring(code, F.lit(1), n))
+    plain = items.filter(F.col("item_type") == "ITEM").withColumn("_lengths", lengths).select(list_key, F.explode(prefixes).alias("prefix"), "pos", F.lit(None).cast("bigint").alias("note_id"), "id").join(used, [list_key, "prefix"], "left_semi")
     before = Window.partitionBy(list_key, "prefix").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     near = F.max(F.when(F.col("note_id").isNotNull(), F.struct("pos", "note_id"))).over(before)  # a running maximum by place
     met = plain.unionByName(notes).withColumn("near", near).filter("id is not null and near is not null")

@@ -34,8 +34,8 @@ def letter_rows(items: DataFrame, letter: str, order: list[str]) -> DataFrame:
     said = lambda prefix, c: F.when(has_text(c), row(e, e, e, e, F.concat(F.lit(prefix), c), e, e))
     plain = ~kind.isin("CHAPTER", "SUBCHAPTER", "NOTE") | kind.isNull()
     first = F.when(kind.isin("CHAPTER", "SUBCHAPTER"), heading).when(kind == "NOTE", note).otherwise(item)
-    rows = F.array(first, F.when(plain, said(X.RATIONALE_PREFIX, F.col("ai_rationale"))), F.when(plain, said(X.EVIDENCE_PREFIX, notes_text(F.col("governing_notes")))))
-    out = items.withColumn("_place", place).select(letter, "_place", F.posexplode(F.filter(rows, lambda r: r.isNotNull())).alias("part", "r"))
+    rows = F.array(first, F.when(plain, said(X.RATIONALE_PREFIX, F.col("ai_rationale"))), F.when(plain, said(X.EVIDENCE_PREFIX, F.col("_notes"))))
+    out = items.withColumn("_place", place).withColumn("_notes", notes_text(F.col("governing_notes"))).select(letter, "_place", F.posexplode(F.filter(rows, lambda r: r.isNotNull())).alias("part", "r"))
     return out.select(letter, F.col("_place").cast("bigint").alias("place"), F.col("part").cast("bigint").alias("part"), "r.*")
 
 

@@ -43,7 +43,7 @@ def work_analysis(spark, sf):
     answer = F.format_string('sure: [{"title":"t %s Powered by x","category":"שינוי","contract_quote":"q","expert_strategy":{"risk_assessment":"low"}},{"title":"b","category":null}] done', "work_id")
     rows = Fi.scanned(inputs.withColumn("response", F.when(F.col("work_id") % 5 > 0, answer).otherwise("nothing")))
     field = lambda p: F.get_json_object("evidence_data", f"$.{p}")
-    return rows.select("project_id", "source_execution_doc_id", "target_contract_doc_id", "part", "title", "severity", "status", field("contract_title[0]").alias("contract_title"), field("work_title[0]").alias("work_title"), field("contract_quote").alias("quote"), field("expert_strategy.risk_assessment").alias("risk"))
+    return rows.select("project_id", "source_execution_doc_id", "target_contract_doc_id", "part", "title", "severity", "status", field("contract_title").alias("contract_title"), field("work_title").alias("work_title"), field("contract_quote").alias("quote"), field("expert_strategy.risk_assessment").alias("risk"))
 
 
 def _approved(spark, sf):

@@ -159,3 +159,58 @@ def test_files_in_and_out(spark, tmp_path):
     for _ in range(2):
         files.append(lines, str(tmp_path / "table"), ["project_id"])
     assert spark.read.parquet(str(tmp_path / "table")).count() == 8
+
+
+def test_workbooks_sheets_and_heads(spark, tmp_path):
+    import json
+    import zipfile
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    (tmp_path / "books").mkdir()
+    with zipfile.ZipFile(tmp_path / "books" / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>95...</t></si><si><r><t>two </t></r><r><t>runs</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {space}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><sheetData><row><c r="A1" t="inlineStr"><is><t>head</t></is></c></row><row><c r="B2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c><c r="E2"><v>2.5</v></c></row><row/></sheetData></worksheet>')
+    rows = files.read_workbooks(spark, str(tmp_path / "books"))
+    assert [tuple(r) for r in rows.orderBy("row_no").collect()] == [(None, "95...", "two runs", None, "2.5", None, None, "a.xlsx", 1), (*[None] * 7, "a.xlsx", 2)]
+    typed = pricelist.typed_rows(pricelist.filled_rows(rows, pricelist.SHEET)).collect()
+    assert [(r["item_code"], float(r["quantity"])) for r in typed] == [("95...", 2.5)]
+    (tmp_path / "s").mkdir()
+    for name in ("x", "y"):
+        (tmp_path / "s" / f"{name}.csv").write_text("h\na,b\n,,\nc,d\n")
+    sheet = files.read_sheet(spark, str(tmp_path / "s" / "x.csv"))
+    assert [r["item_code"] for r in files.sheet_head(sheet, 5).collect()] == ["b", "d"]
+    assert {r["sheet"]: r["n_rows"] for r in files.sheet_census(spark, str(tmp_path / "s")).collect()} == {"x.csv": 3, "y.csv": 3}
+    files.write_head(spark.range(9), str(tmp_path / "head"), 2)
+    assert sum(len(p.read_text().split()) for p in (tmp_path / "head").glob("part-*")) == 2 and json.loads(next(p.read_text() for p in (tmp_path / "head").glob("part-*") if p.read_text()).split()[0]) == {"id": 0}
+
+
+@pytest.mark.parametrize(("force", "document", "left", "scan"), [(False, None, [1, 2, 3, 4], False), (True, None, [4], True), (True, 5, [4], True), (False, 5, [2, 3, 4], True)])
+def test_scan_control(spark, force, document, left, scan):
+    f = spark.createDataFrame([(1, 7, 5), (2, 7, 6), (3, 7, None), (4, 8, 5)], "id bigint, project_id bigint, source_execution_doc_id bigint")
+    kept, again = findings.scan_control(f, 7, force, document)
+    assert sorted(r["id"] for r in kept.collect()) == left and again is scan
+    assert findings.scan_control(f, 9)[1] is True  # nothing is stored of it
+
+
+def test_nulls_keep_their_place_in_csv(spark):
+    row = spark.createDataFrame([(0, *[None if i in (0, 4) else "x" for i in range(10)])], "section int, " + ", ".join(f"c{i} string" for i in range(1, 11)))
+    assert letters.csv_lines(row).first()["line"] == ',x,"x",x,,x,x,x,x,x'
+
+
+def test_one_row_and_user_rights(spark):
+    assert changes.one_row(spark.range(1))["id"] == 0
+    for n in (0, 2):
+        with pytest.raises(ValueError):
+            changes.one_row(spark.range(n))
+    people = spark.createDataFrame([("u", "super_admin"), ("v", "user")], "id string, role string")
+    assert security.is_admin(people, "u") and not security.is_admin(people, "v") and not security.is_admin(people, "w")
+    lists = spark.createDataFrame([(1, True, "v"), (2, False, "u"), (3, False, "v"), (4, None, None)], "id bigint, is_global boolean, contractor_id string")
+    assert [r["id"] for r in security.visible_lists(lists, "u").orderBy("id").collect()] == [1, 2] and security.visible_lists(lists, "u", admin=True).count() == 4
+    assert [one(spark, S.number(F.lit(x).cast("string"))) for x in ("12", " 3.5 ", "12x", "", None)] == [12.0, 3.5, 0.0, 0.0, 0.0]
+
+
+def test_answers_without_an_array_give_no_finding(spark):
+    answers = spark.createDataFrame([(1, 2, "w", None, None, "sorry"), (1, 3, "w", None, None, 'ok [{"title":"t"}]')], "project_id bigint, work_id bigint, work_title string, contract_id bigint, contract_title string, response string")
+    [r] = findings.scanned(answers).collect()
+    assert (r["source_execution_doc_id"], r["title"], r["severity"], r["target_contract_doc_id"]) == (3, "t", "LOW", None) and fixed.CONTRACT_TITLE in r["evidence_data"]
