@@ -22,6 +22,11 @@ def has_number(c: Column) -> Column:
     return F.coalesce((c != 0) & ~F.isnan(c.cast("double")), F.lit(False))
 
 
+def once(value: Column, body) -> Column:
+    """body(value), where value is evaluated once for a row however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or(c: Column, *others: Column) -> Column:
     """The first that has text; else the last."""
     *some, last = [c, *others]

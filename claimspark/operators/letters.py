@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions import fixed as X
-from claimspark.functions.scalars import has_text, lookup, shekels, text_or
+from claimspark.functions.scalars import has_text, lookup, once, shekels, text_or
 
 from .ledger import MONEY, money_sum, net_or_product
 
@@ -18,8 +18,8 @@ ROW = ["total", "price", "quantity", "unit", "text", "code", "no"]
 def notes_text(notes: Column, separator: str = " | ") -> Column:
     """Text of governing notes: plain text as it is; of a JSON list each `text` or the element itself; of a JSON object its instruction or note, else itself."""
     opens = F.substring(F.ltrim(notes), 1, 1)
-    texts = F.transform(F.from_json(notes, "array<string>"), lambda n: text_or(F.get_json_object(n, "$.text"), n))
-    of_object = text_or(F.get_json_object(notes, "$.instruction"), F.get_json_object(notes, "$.note"), notes)
+    texts = F.transform(F.from_json(notes, "array<string>"), lambda n: F.when(F.ltrim(n).startswith("{"), once(F.get_json_object(n, "$.text"), lambda t: text_or(t, n))).otherwise(n))
+    of_object = once(F.from_json(notes, "instruction string, note string"), lambda j: text_or(j["instruction"], j["note"], notes))
     return F.when(opens == "[", F.coalesce(F.array_join(texts, separator), notes)).when(opens == "{", of_object).otherwise(notes)
 
 
