@@ -9,8 +9,8 @@ The two masks miss no such overlap of nine words and more with one replaced word
 of their own length: the whole item, and, where the share allows a replaced word, one mask for each ignored place. Texts are hashed for those only if
 the benchmark has items of that length. Items of fewer than `shortest` words prove nothing and match nothing.
 
-The benchmark side is broadcast only below a counted size, else both sides are shuffled by hash. Texts are not shuffled by
-either; hits are reduced to (row, item, shift) before texts are read again for those rows.
+The benchmark side is broadcast only below a counted size, else both sides are shuffled by hash, of the texts' only what passes a bitmap of
+the benchmark's hashes. Texts are not shuffled by either; hits are reduced to (row, item, shift) before texts are read again for those rows.
 
 Defined cases: null texts have no words; rows that repeat an id and a text are one document; empty tables give no hits; extra columns
 are carried through, and an added column whose name is taken has an underscore more.
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, let, or_empty, row_key, small_side, tidy
+from .common import BROADCAST_ROWS, cut, free, let, or_empty, row_key, small_side, tidy
 
 #: A mask is three pairs of neighbouring words, by their offsets: 1111011 and 110001111. Together they meet every
 #: 13-word overlap with any two words replaced.
@@ -34,6 +34,8 @@ SPANS = (7, 9)
 LONG, SHORTEST = 9, 4
 OVERLAP, SUBSTITUTIONS = 13, 0.16
 ALL = 2_000_000_000
+#: Seeds of the benchmark up to which they are broadcast.
+SEEDS = BROADCAST_ROWS
 
 
 def words(text: str) -> Column:
@@ -64,6 +66,21 @@ def seeds(word_list: Column, own: list[tuple[int, ...]] = ()) -> Column:
     return let(hashed, lambda h: let(pair(h), lambda p: F.concat(*[mask(p, m, i) for i, m in enumerate(MASKS)], *[full(h, m, i) for i, m in enumerate(own, len(MASKS))])))
 
 
+def sieved(each: DataFrame, items: DataFrame, n_seeds: int) -> DataFrame:
+    """Rows of `each` whose seed may be one of the items': two bits of a bitmap of 16 to 32 bits a seed, of 2 ** 31 at most, are set.
+
+    The bitmap is a table of 4096-byte pieces, so what is broadcast has a bound (256 MB), and few seeds of other texts are left to shuffle.
+    """
+    bits = min(1 << 31, 1 << (16 * n_seeds - 1).bit_length())
+    place = lambda k: F.pmod(F.xxhash64(F.lit(k), "seed"), F.lit(bits))
+    pieces = F.broadcast(cut(items.select(F.explode(F.array(place(1), place(2))).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))))
+    for k in (1, 2):
+        at = F.bitmap_bit_position(place(k)).cast("int")
+        byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        each = each.join(pieces, F.bitmap_bucket_number(place(k)) == F.col("piece")).filter(F.getbit(byte, F.pmod(at, F.lit(8))) == 1).drop("piece", "bits")
+    return each
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, substitutions: float = SUBSTITUTIONS, shortest: int = SHORTEST) -> DataFrame:
     """Distinct (_row, item_id, shift): a text's word at i + shift stands where the item's word i does."""
     split = cut(benchmark.select("item_id", words("text").alias("_w")).filter(F.size("_w") >= shortest))
@@ -75,10 +92,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, sub
     span = F.get(spans, F.col("mask"))
     wanted = F.when(F.col("mask") < len(MASKS), (F.col("n") >= LONG) & (F.col("at") <= F.col("n") - span)).otherwise((F.col("n") == span) & (F.col("at") == 0))
     items = cut(items.filter(wanted).select("seed", "item_id", "at"))
-    side = small_side(items)
     texts = docs.select(row_key(doc_id, text).alias("_row"), seeds(words(text), own).alias("_h"))
     each = texts.select("_row", (F.size("_h") / F.lit(masks)).cast("int").alias("n"), F.posexplode("_h").alias("p", "seed"))
-    return cut(each.join(side, "seed").select("_row", "item_id", (F.pmod("p", F.greatest("n", F.lit(1))) - F.col("at")).alias("shift")).distinct())
+    n_seeds = items.count()
+    met = each.join(F.broadcast(items), "seed") if n_seeds <= SEEDS else sieved(each, items, n_seeds).join(items, "seed")
+    return cut(met.select("_row", "item_id", (F.pmod("p", F.greatest("n", F.lit(1))) - F.col("at")).alias("shift")).distinct())
 
 
 def verified(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, overlap: int, substitutions: float, doc_id: str, text: str) -> DataFrame:

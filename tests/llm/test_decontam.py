@@ -3,6 +3,8 @@
 import math
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from claimspark.llm import decontam
 
 
@@ -22,3 +24,16 @@ def test_op6_items_of_any_length_with_any_replaced_word(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
     got = {r["doc_id"]: r["_items"] for r in decontam.flag_contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert got == expected
+
+
+def test_op6_large_benchmarks_are_sieved(spark, monkeypatch):
+    """With the seeds not broadcast, the same is found, and few other seeds are left for the shuffle."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda: sorted((r["doc_id"], r["_items"], r["_hits"]) for r in decontam.flag_contaminated(docs, bench).filter("_items is not null").collect())
+    whole = found()
+    monkeypatch.setattr(decontam, "SEEDS", 0)
+    assert found() == whole and whole
+    seeds = spark.range(5000).select(F.xxhash64("id").alias("seed"))
+    others = spark.range(5000, 205_000).select(F.xxhash64("id").alias("seed"))
+    assert decontam.sieved(seeds, seeds, 5000).count() == 5000
+    assert decontam.sieved(others, seeds, 5000).count() < 4000
