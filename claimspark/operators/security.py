@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.functions.scalars import text_or
+
 
 def is_admin(profiles: DataFrame, user: object) -> bool:
     return not profiles.filter((F.col("id") == F.lit(user)) & (F.col("role") == "super_admin")).isEmpty()
@@ -36,3 +38,9 @@ def stored_owned(objects: DataFrame, user: object, bucket: str = "documents") ->
 def owned(projects: DataFrame, user: object) -> DataFrame:
     """The user's projects, newest first."""
     return projects.filter(F.col("contractor_id") == F.lit(user)).orderBy(F.desc_nulls_first("created_at"), "id")
+
+
+def profiles_of(users: DataFrame, name: str | None = None, company: str | None = None) -> DataFrame:
+    """Profiles of new users from their metadata (JSON text); without a name or company the given words, else null."""
+    field = lambda k, default: F.get_json_object("metadata", f"$.{k}") if default is None else text_or(F.get_json_object("metadata", f"$.{k}"), F.lit(default))
+    return users.select("id", field("full_name", name).alias("full_name"), field("company_name", company).alias("company_name"), F.lit("contractor").alias("role"))

@@ -8,6 +8,7 @@ from claimspark.functions import fixed as X, scalars as S
 from claimspark.operators import changes, documents as D, findings as Fi, ledger as L, letters, pricelist, search, security
 from claimspark.operators.pricelist import classified
 from claimspark.sources import views as V
+from claimspark.streaming import feeds
 
 from .lists import CLASSIFIED, KEY, WORDS
 from .money import LETTER_ITEMS, NET, ORDER, TIES, M, _letter_items, _sum
@@ -196,6 +197,73 @@ def rows_inserted(spark, sf):
     return changes.inserted(have, new, {"budget": F.lit(0), "name": F.lit("new")})[1]
 
 
+def rows_deleted(spark, sf):
+    """Findings without those that were ignored."""
+    f = V.findings(spark, sf)
+    return changes.delete_keys(f, f.filter("status = 'IGNORED'"), "id").groupBy("status").agg(F.count("*").alias("n"))
+
+
+def boq_items(spark, sf):
+    """Items of a model's bills of quantities, some fields missing, some answers no JSON."""
+    p, k = V.table(spark, sf, "part"), F.col("p_partkey")
+    item = F.to_json(F.struct(F.lit("p").alias("project_name"), F.array(F.struct(F.when(k % 3 > 0, k.cast("string")).alias("item_code"), F.col("p_name").alias("description"), F.when(k % 2 > 0, "m").alias("unit"), (k % 9).cast("double").alias("quantity"), F.when(k % 4 > 0, F.lit(2.5)).alias("unit_price_excl_vat"))).alias("items")))
+    answers = p.select(k.alias("id"), F.when(k % 7 > 0, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).otherwise("sorry").alias("response"))
+    return pricelist.items_of_model(answers)
+
+
+def document_items(spark, sf):
+    """Line items and warnings of parsed documents."""
+    k = F.col("id")
+    json = F.to_json(F.struct(F.struct(F.array(F.struct(k.cast("string").alias("code"), F.lit(1.5).alias("quantity")), F.struct(F.lit("x").alias("code"), k.cast("double").alias("quantity"))).alias("items")).alias("financial_data"), F.array(F.lit("w")).alias("warnings")))
+    d = D.content(V.project_documents(spark, sf).withColumn("parsed_json", json))
+    return D.content_items(d).select("id", "item_no", "code", "quantity").join(D.content_warnings(d).groupBy("id").agg(F.count("*").alias("n_warnings")), "id")
+
+
+def documents_for_model(spark, sf):
+    """Documents' bytes as a model reads them: base64 and kind."""
+    d = V.project_documents(spark, sf)
+    return d.select("id", F.base64(F.encode("title", "UTF-8")).alias("content"), D.mime_type(F.col("title"), F.lit("text/x")).alias("mime"))
+
+
+def lists_registered(spark, sf):
+    uploads = V.lists(spark, sf).select("project_id", F.lit(3).alias("user_id"), F.col("name").alias("list_name"), F.lit("a.pdf").alias("file_name"), F.lit("{}").alias("parsed_json"))
+    return D.registered(uploads, "https://h/public", F.lit("2026-01-02 00:00:00").cast("timestamp"))
+
+
+def first_profile(spark, sf):
+    p = V.projects(spark, sf)
+    return search.first_per_group(p, ["contractor_id"], [F.desc_nulls_last("budget"), F.col("id")]).filter("contractor_id = 7").select("id", "name")
+
+
+def new_profiles(spark, sf):
+    """Profiles that users without one get at log-in."""
+    users = V.projects(spark, sf).select("id", F.when(F.col("id") % 3 > 0, F.to_json(F.struct(F.col("name").alias("full_name")))).otherwise('{"company_name":"c"}').alias("metadata"))
+    have = security.profiles_of(users.filter("id % 2 = 0"))
+    return changes.insert_missing(have, security.profiles_of(users, "User", ""), "id")
+
+
+def rows_for_admin(spark, sf):
+    """An administrator sees all projects' findings, another user their own."""
+    people = V.projects(spark, sf).select("id", F.when(F.col("id") == 3, "super_admin").otherwise("contractor").alias("role"))
+    f, p = V.findings(spark, sf), V.projects(spark, sf)
+    seen = [security.visible(f, p, user, admin=security.is_admin(people, user)).agg(F.count("*").alias("n")).select(F.lit(user).alias("user"), "n") for user in (3, 4)]
+    return seen[0].unionByName(seen[1])
+
+
+def stream_inserts(spark, sf):
+    """New findings of the feed, read as a stream."""
+    return feeds.replayed(feeds.inserts(V.change_stream(spark, sf)), "append", V.scratch(spark))
+
+
+def stream_insert_counts(spark, sf):
+    return feeds.replayed(feeds.insert_counts(V.change_stream(spark, sf)), "complete", V.scratch(spark))
+
+
+def stream_open_high(spark, sf):
+    """The sum of the stream's changes is the number of open severe findings."""
+    return feeds.replayed(feeds.open_high_changes(V.change_stream(spark, sf)), "append", V.scratch(spark)).agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("n"))
+
+
 def more_formats(spark, sf):
     """Fixed decimals, currency without decimals, labels, reversed lists, a clock that is given."""
     price, now = F.col("o_totalprice").cast("decimal(15,2)"), F.lit("2026-01-02").cast("timestamp")
@@ -262,5 +330,16 @@ FROM numbered, (VALUES (0), (1), (2)) t(k) WHERE k = 0 OR item_id % 5 = 0"""),
     "project_by_key": (project_by_key, f"WITH {V.PROJECTS_SQL} SELECT * FROM projects WHERE id = {PROJECT}"),
     "toggled_ids": (toggled_ids, f"WITH {V.PROJECTS_SQL} SELECT id FROM projects WHERE (id % 2 = 0) <> (id % 3 = 0)"),
     "rows_inserted": (rows_inserted, f"WITH {V.PROJECTS_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN name ELSE 'new' END AS name, CAST(NULL AS INTEGER) AS contractor_id, CAST(0 AS DECIMAL(15,2)) AS budget FROM projects WHERE id >= 100"),
+    "rows_deleted": (rows_deleted, FINDINGS + "SELECT status, count(*) AS n FROM findings WHERE status <> 'IGNORED' GROUP BY 1"),
+    "boq_items": (boq_items, "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS item_code, p_name AS description, 'ITEM' AS item_type, CASE WHEN p_partkey % 2 > 0 THEN 'm' ELSE '' END AS unit, CAST(p_partkey % 9 AS DECIMAL(12,2)) AS quantity, CAST(CASE WHEN p_partkey % 4 > 0 THEN 2.5 ELSE 0 END AS DECIMAL(15,2)) AS rate FROM part WHERE p_partkey % 7 > 0"),
+    "document_items": (document_items, DOCS + "SELECT id, k AS item_no, CASE k WHEN 0 THEN CAST(id AS VARCHAR) ELSE 'x' END AS code, CASE k WHEN 0 THEN 1.5 ELSE CAST(id AS DOUBLE) END AS quantity, CAST(1 AS BIGINT) AS n_warnings FROM docs, (VALUES (0), (1)) t(k)"),
+    "documents_for_model": (documents_for_model, DOCS + "SELECT id, to_base64(encode(title)) AS content, CASE WHEN lower(title) LIKE '%.pdf' THEN 'application/pdf' WHEN lower(title) LIKE '%.jpg' THEN 'image/jpeg' ELSE 'text/x' END AS mime FROM docs"),
+    "lists_registered": (lists_registered, f"WITH {V.LISTS_SQL} SELECT project_id, name AS title, 'PRICELIST' AS category, 'https://h/public/documents/3/1767312000000_a.pdf' AS file_url, 'DONE' AS ai_status, '{{}}' AS parsed_json FROM lists"),
+    "first_profile": (first_profile, f"WITH {V.PROJECTS_SQL} SELECT id, name FROM projects WHERE contractor_id = 7 ORDER BY budget DESC, id LIMIT 1"),
+    "new_profiles": (new_profiles, f"WITH {V.PROJECTS_SQL} SELECT id, CASE WHEN id % 3 > 0 THEN name WHEN id % 2 > 0 THEN 'User' END AS full_name, CASE WHEN id % 3 = 0 THEN 'c' WHEN id % 2 > 0 THEN '' END AS company_name, 'contractor' AS role FROM projects"),
+    "rows_for_admin": (rows_for_admin, f"WITH {V.FINDINGS_SQL}, {V.PROJECTS_SQL} SELECT 3 AS user, count(*) AS n FROM findings UNION ALL SELECT 4, count(*) FROM findings WHERE project_id IN (SELECT id FROM projects WHERE contractor_id = 4)"),
+    "stream_inserts": (stream_inserts, f"WITH {V.CHANGES_SQL} SELECT seq, id, severity, status FROM changes WHERE op = 'INSERT'"),
+    "stream_insert_counts": (stream_insert_counts, f"WITH {V.CHANGES_SQL} SELECT severity, count(*) AS n FROM changes WHERE op = 'INSERT' GROUP BY 1"),
+    "stream_open_high": (stream_open_high, f"WITH {V.CHANGES_SQL} SELECT count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM changes) WHERE n = 1 AND op <> 'DELETE' AND status = 'OPEN' AND severity = 'HIGH'"),
     "more_formats": (more_formats, f"""SELECT o_orderkey, CAST(CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DECIMAL(38,1)) AS VARCHAR) AS fixed, '₪' || format('{{:,}}', CAST(floor(o_totalprice) AS BIGINT)) AS whole, CASE WHEN o_orderkey % 2 > 0 THEN '{X.ACTIVE_LABEL}' ELSE '{X.CLEAN_LABEL}' END AS label, reverse(o_orderpriority) AS reversed, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) ELSE '2026-01-02' END AS day, CAST(CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey ELSE 0 END AS DOUBLE) AS number FROM orders"""),
 }

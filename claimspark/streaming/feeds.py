@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 FEED = "op string, seq bigint, id bigint, severity string, status string"
 
 
+def replayed(rows: DataFrame, mode: str, folder: str) -> DataFrame:
+    """What a stream gives until all that is there has been read. Rows of append mode are a table in the folder, else the last result is kept by name."""
+    name = f"feed_{uuid.uuid4().hex}"
+    out = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True)
+    query = out.format("parquet").start(f"{folder}/{name}") if mode == "append" else out.format("memory").queryName(name).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}") if mode == "append" else rows.sparkSession.table(name)
+
+
 def read_feed(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
