@@ -14,7 +14,9 @@ are carried through; the added columns are `n_bytes` and `n_tokens`, with an und
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ CALL_BYTES, REMEMBERED, LONGEST = 1 << 20, 500_000, 64
 
 @lru_cache(maxsize=4)
 def _encoder(path: str):
-    """(function of a list of texts to their lengths, whether cutting at SAFE is exact, function of a text to its tokens' places in code points)"""
+    """(function of a list of texts to their lengths, whether cutting at SAFE is exact, function of a text and numbers of tokens to their places in code points)"""
     if path.endswith(".model"):
         import sentencepiece
         import sentencepiece.sentencepiece_model_pb2 as spec
@@ -41,9 +43,9 @@ def _encoder(path: str):
         plain = n.name == "identity" and not n.precompiled_charsmap and n.add_dummy_prefix and not n.remove_extra_whitespaces and n.escape_whitespaces
         safe = plain and not model.trainer_spec.treat_whitespace_as_suffix and all("▁" not in p.piece.lstrip("▁") and p.type in (1, 2, 3, 6) for p in model.pieces)
 
-        def starts(t: str) -> list[int]:
-            raw = t.encode("utf-8", "replace")
-            return [len(raw[: x.begin].decode("utf-8", "ignore")) for x in sp.encode(t, return_type="proto").pieces]
+        def starts(t: str, which: list[int]) -> list[int]:
+            raw, found = t.encode("utf-8", "replace"), sp.encode(t, return_type="proto").pieces
+            return [len(raw[: found[k].begin].decode("utf-8", "ignore")) for k in which]
 
         return (lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]), safe, starts
     from tokenizers import Tokenizer
@@ -51,7 +53,7 @@ def _encoder(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return (lambda texts: [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]), False, (lambda text: [a for a, _ in t.encode(text, add_special_tokens=False).offsets])
+    return (lambda texts: [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]), False, (lambda text, which: (lambda found: [found[k][0] for k in which])(t.encode(text, add_special_tokens=False).offsets))
 
 
 def n_bytes(t: str) -> int:
@@ -75,35 +77,48 @@ def _in_calls(encode, texts: list[str]) -> list[int]:
 _seen: dict[str, dict[str, int]] = {}
 
 
-def lengths(path: str, texts: list[str]) -> list[int]:
-    """Token counts of texts."""
+def _at_safe_places(t: str) -> list[str]:
+    if t and "  " not in t and "▁" not in t and t[0] != " " != t[-1]:
+        return t.split(" ")  # each space is a safe place
+    return SAFE.split(t) if t else []
+
+
+def pieces_of(path: str, texts: list[str]) -> list[tuple[list[str], list[int]]]:
+    """Each text's pieces between safe places, and their token counts."""
     encode, safe, _ = _encoder(path)
     if not safe:
-        return _in_calls(encode, texts)
+        return [([t], [n]) for t, n in zip(texts, _in_calls(encode, texts), strict=True)]
     known = _seen.setdefault(path, {})
     if len(known) > REMEMBERED:
         known.clear()
-    cut = [SAFE.split(t) if t else [] for t in texts]
-    new = list(dict.fromkeys(p for pieces in cut for p in pieces if p not in known))
-    found = dict(zip(new, _in_calls(encode, new), strict=True))
-    out = [sum(known[p] if p in known else found[p] for p in pieces) for pieces in cut]
-    known.update((p, n) for p, n in found.items() if len(p) <= LONGEST)
+    cut = [_at_safe_places(t) for t in texts]
+    new = list(set(chain.from_iterable(cut)).difference(known))
+    known.update(zip(new, _in_calls(encode, new), strict=True))
+    out = [(pieces, list(map(known.__getitem__, pieces))) for pieces in cut]
+    for p in new:
+        if len(p) > LONGEST:
+            del known[p]
     return out
 
 
-def boundaries(path: str, text: str, size: int) -> list[int]:
-    """Where in the text, in code points, each run of `size` tokens begins, and its end. A character whose bytes are cut goes to the later run."""
-    _, safe, starts = _encoder(path)
-    out, before, at = [0], 0, 0  # tokens and characters before a piece
-    for piece in SAFE.split(text) if safe else [text]:
-        own = None
-        n = lengths(path, [piece])[0]
-        while before + n > size * len(out):
-            own = starts(piece) if own is None else own
-            k = size * len(out) - before
-            out.append(at + own[k] if k else max(0, at - 1))  # the space before a piece is its first token's
-        before, at = before + n, at + len(piece) + 1
-    return [*out, len(text)]
+def lengths(path: str, texts: list[str]) -> list[int]:
+    """Token counts of texts."""
+    return [sum(counts) for _, counts in pieces_of(path, texts)]
+
+
+def boundaries(path: str, pieces: list[str], counts: list[int], size: int) -> list[int]:
+    """Where in the text of these pieces, in code points, each run of `size` tokens begins, and its end. A character whose bytes are cut goes to the later run."""
+    starts, tokens = _encoder(path)[2], list(accumulate(counts))
+    ends = list(accumulate(len(p) + 1 for p in pieces))  # of a piece and the space behind it
+    inside: dict[int, list[int]] = {}  # a piece's tokens with which runs begin
+    for first in range(size, tokens[-1] if tokens else 0, size):
+        i = bisect_right(tokens, first)
+        inside.setdefault(i, []).append(first - tokens[i] + counts[i])
+    out = [0]
+    for i, own in inside.items():
+        at = ends[i] - len(pieces[i]) - 1
+        out += [at + x if k else max(0, at - 1) for k, x in zip(own, starts(pieces[i], own), strict=True)]  # the space before a piece is its first token's
+    return [*out, max(0, ends[-1] - 1) if ends else 0]
 
 
 def count_tokens(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", runs_of: int | None = None) -> DataFrame:
@@ -114,9 +129,10 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str] | None = None, text
     def rows_of(b: pa.RecordBatch) -> dict[str, list]:
         raw = arrow_column(b, text)
         texts = [x.decode("utf-8", "replace") for x in raw]
-        out = {size: [len(x) for x in raw], count: lengths(path, texts)}
+        found = pieces_of(path, texts)
+        out = {size: [len(x) for x in raw], count: [sum(counts) for _, counts in found]}
         if runs_of:
-            out[cuts] = [[0, len(t)] if n <= runs_of else boundaries(path, t, runs_of) for t, n in zip(texts, out[count], strict=True)]
+            out[cuts] = [boundaries(path, *x, runs_of) if n > runs_of else [0, len(t)] for t, n, x in zip(texts, out[count], found, strict=True)]
         return out
 
     return with_arrow(docs.select(*dict.fromkeys([*keep, text])), keep, f"`{size}` bigint, `{count}` bigint" + f", `{cuts}` array<bigint>" * bool(runs_of), rows_of)
