@@ -4,7 +4,8 @@ An assistant turn may be a JSON object with `tool_calls` (id, name, arguments, o
 first); a turn of role `tool` is one with `tool_call_id` and `content`; a system turn may declare `tools` (name, required,
 types: argument to JSON type, or a JSON schema as `parameters`). Calls and declarations may hold their fields in `function`.
 Calls and results are joined by (conversation, id); arguments are validated against the declared types, and by rounds of
-joins, one a depth, against the schema (type, enum, const, required, properties, additionalProperties false, items); calls
+joins, one a depth, against the schema (type, enum, const, required, properties, additionalProperties false, items, bounds of numbers,
+lengths and numbers of items); calls
 get topological levels by rounds of joins, one a level; each message is one row of canonical JSON (keys sorted, no spaces).
 Order is given by columns (anchor_turn, level, part, turn), so a conversation of any length is never gathered in one task.
 
@@ -76,6 +77,10 @@ def unfit(pairs: DataFrame) -> DataFrame:
             F.forall(get("$.required", "array<string>"), lambda k: F.array_contains(names, k)),
             F.when(get("$.additionalProperties", "string") == "false", F.forall(names, lambda k: F.coalesce(F.array_contains(F.map_keys("props"), k), F.lit(False)))),
         ]
+        number, text = F.when(F.regexp_like("kind", F.lit(f"^({JSON_TYPES['number']})$")), F.try_variant_get(v, "$", "double")), F.when(F.col("kind") == "STRING", F.try_variant_get(v, "$", "string"))
+        for value, least, most in ((number, "minimum", "maximum"), (F.length(text), "minLength", "maxLength"), (F.size("each"), "minItems", "maxItems")):
+            checks += [value >= get(f"$.{least}", "double"), value <= get(f"$.{most}", "double")]
+        checks += [number > get("$.exclusiveMinimum", "double"), number < get("$.exclusiveMaximum", "double")]
         fits = F.coalesce(checks[0], F.lit(True))
         for c in checks[1:]:
             fits = fits & F.coalesce(c, F.lit(True))

@@ -126,9 +126,10 @@ def _clean() -> None:
         _remove(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df, which should be cheap to count, has at most `rows` rows; else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, items: Column | None = None) -> DataFrame:
+    """A broadcast hint if df, which should be cheap to count, has at most `rows` narrow rows, or as many `items` in its rows' lists; else df as it is."""
+    n = df.limit(rows + 1).count() if items is None else df.agg(F.coalesce(F.sum(items), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= rows else df
 
 
 def ready_for_arrow(spark: SparkSession, size: str = "4m") -> None:

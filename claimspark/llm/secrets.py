@@ -122,5 +122,5 @@ def find_secrets(docs: DataFrame, scope: int = 300, doc_id: str = "doc_id", text
     base = ordered(F.col("_s_base"))
     # a weak key that is a base span, or lies in one, says nothing new
     extra = F.filter(F.coalesce(F.col("_s_linked"), F.array().cast(SPAN)), lambda w: ~F.exists("_s_base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
-    out = found.join(small_side(weak), "_s_row", "left").select(*at.values(), base.alias("base"), ordered(F.concat("_s_base", extra)).alias("all"))
+    out = found.join(small_side(weak, items=F.size("_s_linked")), "_s_row", "left").select(*at.values(), base.alias("base"), ordered(F.concat("_s_base", extra)).alias("all"))
     return out.toDF(*kept, free("base_spans", kept), free("spans", kept))

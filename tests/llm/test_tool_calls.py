@@ -14,6 +14,9 @@ def fits(value, schema):
         return False
     if "enum" in schema and value not in schema["enum"]:
         return False
+    for own, least, most in ((value if type(value) in (int, float) else None, "minimum", "maximum"), (len(value) if isinstance(value, str) else None, "minLength", "maxLength"), (len(value) if isinstance(value, list) else None, "minItems", "maxItems")):
+        if own is not None and not schema.get(least, own) <= own <= schema.get(most, own):
+            return False
     if isinstance(value, dict):
         props = schema.get("properties", {})
         if any(k not in value for k in schema.get("required", [])) or schema.get("additionalProperties") is False and any(k not in props for k in value):
@@ -23,7 +26,7 @@ def fits(value, schema):
 
 
 def conversation(rng, conv):
-    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": rng.choice(["integer", "number", "string"])}, "b": {"enum": ["x", "y", 3]}, "c": {"type": "object", "required": ["d"], "properties": {"d": {"type": "array", "items": {"type": "integer"}}}}}}
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": rng.choice(["integer", "number", "string"]), "minimum": rng.choice([0, 2]), "maxLength": rng.choice([0, 3])}, "b": {"enum": ["x", "y", 3]}, "c": {"type": "object", "required": ["d"], "properties": {"d": {"type": "array", "items": {"type": "integer", "maximum": 2}, "minItems": rng.choice([1, 3])}}}}}
     if rng.random() < 0.5:
         schema["additionalProperties"] = False
     turns, ids = [("system", {"tools": [{"type": "function", "function": {"name": "t", "parameters": schema}}]})], []
