@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from claimspark.functions.scalars import first_segments, segments
 
 
-def positions(items: DataFrame, list_key: str = "pricelist_id") -> DataFrame:
-    """items with `pos`, their place by code and id in their list."""
-    return items.withColumn("pos", F.row_number().over(Window.partitionBy(list_key).orderBy("item_code", "id")).cast("bigint"))
+def positions(items: DataFrame, list_key: str = "pricelist_id", prefix: int = 5) -> DataFrame:
+    """items with `pos`, their place by code and id in their list.
+
+    Codes that begin alike are ranked together, and what comes before them is added up, so a long list is not one task's work.
+    """
+    begun = items.withColumn("_begin", F.coalesce(F.substring("item_code", 1, prefix), F.lit("")))
+    counts = begun.groupBy(F.col(list_key).alias("_list"), F.col("_begin").alias("_b")).agg(F.count("*").alias("_n"))
+    before = counts.select("_list", "_b", (F.sum("_n").over(Window.partitionBy("_list").orderBy("_b")) - F.col("_n")).alias("_before"))
+    ranked = begun.withColumn("_rank", F.row_number().over(Window.partitionBy(list_key, "_begin").orderBy("item_code", "id")))
+    placed = ranked.join(before, F.col(list_key).eqNullSafe(F.col("_list")) & (F.col("_begin") == F.col("_b")))
+    return placed.select(*items.columns, (F.col("_before") + F.col("_rank")).cast("bigint").alias("pos"))
 
 
 def governing_notes(items: DataFrame, list_key: str = "pricelist_id") -> DataFrame:

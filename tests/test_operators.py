@@ -214,3 +214,14 @@ def test_answers_without_an_array_give_no_finding(spark):
     answers = spark.createDataFrame([(1, 2, "w", None, None, "sorry"), (1, 3, "w", None, None, 'ok [{"title":"t"}]')], "project_id bigint, work_id bigint, work_title string, contract_id bigint, contract_title string, response string")
     [r] = findings.scanned(answers).collect()
     assert (r["source_execution_doc_id"], r["title"], r["severity"], r["target_contract_doc_id"]) == (3, "t", "LOW", None) and fixed.CONTRACT_TITLE in r["evidence_data"]
+
+
+def test_positions_are_places_in_the_whole_list(spark):
+    rows = [(i, code, key) for i, (code, key) in enumerate((c, k) for k in ("a", "b", None) for c in (None, "", "1", "01.02.01.0003", "01.02.01.0001", "01.02..", "95...", "01.02.01.0001", "9"))]
+    items = spark.createDataFrame(rows, "id bigint, item_code string, pricelist_id string")
+    expected = {}
+    for key in ("a", "b", None):
+        for pos, r in enumerate(sorted((r for r in rows if r[2] == key), key=lambda r: (r[1] is not None, r[1] or "", r[0])), 1):
+            expected[r[0]] = pos
+    for prefix in (1, 5, 40):
+        assert {r["id"]: r["pos"] for r in hierarchy.positions(items, prefix=prefix).collect()} == expected
