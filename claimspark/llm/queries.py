@@ -93,5 +93,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of the others, what they add (windows, trees, links by Java's patterns, tokens, packing) has no SQL form; tests compare with brute force."""
+    """Of the others, what they add (trees, schemas, tokens, packing) has no SQL form; tests compare with brute force."""
     return dict(sql.ALL)

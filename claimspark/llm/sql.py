@@ -1,7 +1,8 @@
-"""DuckDB SQL for the results of the operators that SQL can express: line dedup, decontamination, quality rules, near duplicates."""
+"""DuckDB SQL for the results of the operators that SQL can express: licenses, plain messages, secrets, line dedup, decontamination, quality rules, near duplicates."""
 
 from __future__ import annotations
 
+from . import licenses, secrets
 from .common import LOWER, UPPER
 from .decontam import OVERLAP, SHORTEST, SUBSTITUTIONS
 from .quality import GRIDS
@@ -75,4 +76,54 @@ links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.
 reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reached GROUP BY 1) r ON r.a = d.doc_id"""
 
-ALL = {"op5_line_dedup": LINE_DEDUP, "op6_decontamination": DECONTAMINATION, "op7_quality_rules": QUALITY, "op8_near_duplicates": NEAR_DUPLICATES}
+
+
+def _licenses(threshold: float) -> str:
+    built = licenses.build(licenses.TEMPLATES, licenses.PHRASES, threshold)
+    half, text = licenses.index(built, {}).span // 2, lambda x: "'" + x.decode() + "'"
+    tokens = ", ".join(f"({i}, '{t.label}', {t.need}, {len(t.tokens)}, {text(w)})" for i, t in enumerate(built) if t.phrase is None for w in sorted(t.tokens))
+    phrases = ", ".join(f"([{', '.join(map(text, t.phrase))}], '{t.label}')" for t in built if t.phrase)
+    return rf"""WITH texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+base AS (SELECT doc_id, p, label FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS p FROM texts) JOIN (VALUES {phrases}) f(phrase, label) ON ws[p + 1:p + len(phrase)] = phrase),
+tokens AS (SELECT * FROM (VALUES {tokens}) x(t, label, need, n, w)),
+blocks AS (SELECT doc_id, t, label, need, n, b, count(DISTINCT w) AS c FROM (SELECT doc_id, w, t, label, need, n, unnest([p // {half}, p // {half} - 1]) AS b FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM texts) JOIN tokens USING (w)) WHERE b >= 0 GROUP BY ALL),
+found AS (SELECT doc_id, label, c / n AS share FROM blocks WHERE c >= need UNION ALL SELECT doc_id, label, 1.0 FROM base),
+bases AS (SELECT doc_id, count(*) AS n, min(p) AS first, max(p) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY 1),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY 1)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first AS first_word, b.last AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM texts t LEFT JOIN bases b ON b.doc_id = t.doc_id LEFT JOIN every e ON e.doc_id = t.doc_id"""
+
+
+def _secrets(scope: int) -> str:
+    kinds = {"assign": (secrets.ASSIGN, 2, 8), "access": (secrets.ACCESS, 0, 16), "hex": (secrets.HEX, 0, 32), "identifier": (secrets.IDENTIFIER, 2, 3), "endpoint": (secrets.ENDPOINT, 2, 4), "run": ("[A-Za-z0-9+/_=-]+", 0, 8)}
+
+    def places(kind: str, pattern: str, group: int, least: int) -> str:
+        p = "'" + pattern.replace("'", "''") + "'"
+        each = f"SELECT doc_id, unnest(regexp_extract_all(t, {p}, 0)) AS m, unnest(regexp_extract_all(t, {p}, {group})) AS g, unnest(string_split_regex(t, {p})) AS gap, unnest(range(len(string_split_regex(t, {p})))) AS i FROM d"
+        return f"SELECT doc_id, '{kind}' AS kind, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, length(g) >= {least} AS fits FROM ({each}) WHERE m IS NOT NULL"
+
+    near = lambda role: f"coalesce(bool_or(q.role = '{role}' AND (p.s - q.e BETWEEN 0 AND {scope} OR q.s - p.e BETWEEN 0 AND {scope})), false)"
+    said = lambda when: f"coalesce(string_agg(CASE WHEN {when} THEN kind || ':' || s || ':' || e END, ',' ORDER BY s, rank, e), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+places AS (SELECT doc_id, kind, m, e - length(m) AS s, e FROM ({" UNION ALL ".join(places(k, *v) for k, v in kinds.items())}) WHERE fits),
+named AS (SELECT * FROM places WHERE kind IN ('identifier', 'endpoint')),
+keys AS (SELECT r.* FROM places r WHERE kind = 'run' AND regexp_full_match(m, '[A-Za-z0-9+/_-]+={{0,2}}') AND doc_id IN (SELECT doc_id FROM places WHERE kind IN ('identifier', 'endpoint', 'access'))
+  AND (length(rtrim(m, '=')) >= 32 OR (length(rtrim(m, '=')) >= 8 AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[0-9]') AND NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = r.doc_id AND r.s < n.e AND n.s < r.e)))),
+parts AS (SELECT row_number() OVER () AS id, * FROM (SELECT doc_id, kind, s, e, CASE kind WHEN 'identifier' THEN 'id' WHEN 'access' THEN 'id' WHEN 'endpoint' THEN 'end' ELSE 'secret' END AS role, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 WHEN 'identifier' THEN 3 ELSE 5 END AS rank FROM places WHERE kind <> 'run'
+  UNION ALL SELECT doc_id, 'key', s, e, 'secret', 4 FROM keys)),
+weighed AS (SELECT p.id, p.kind, {near("id")} AS id_near, {near("secret")} AS secret_near, {near("end")} AS end_near, bool_or(q.rank < 3 AND q.id <> p.id AND p.s < q.e AND q.s < p.e) AS inside FROM parts p JOIN parts q ON p.doc_id = q.doc_id WHERE p.rank > 2 GROUP BY 1, 2),
+shown AS (SELECT * FROM parts WHERE rank < 3 OR id IN (SELECT id FROM weighed WHERE NOT inside AND CASE kind WHEN 'identifier' THEN secret_near WHEN 'key' THEN id_near OR end_near ELSE id_near AND secret_near END)),
+told AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {said("rank < 3")} AS base, {said("true")} AS spans FROM shown GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told ON told.doc_id = d.doc_id"""
+
+
+#: Template tokens in blocks of words, as the windows of the scan.
+LICENSES = _licenses(0.9)
+#: All parts with their places, and joins of the parts of a text. A key is a whole run of its characters.
+SECRETS = _secrets(300)
+
+#: Plain messages, which is all that the given tables hold; where turns hold calls or results, it has no rows for them.
+TOOL_CALLS = """SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS tool, false AS linked, true AS valid, turn AS anchor_turn, CAST(NULL AS INTEGER) AS level, CAST(0 AS INTEGER) AS part,
+  CAST(to_json({'content': coalesce(text, ''), 'role': coalesce(role, '')}) AS VARCHAR) AS json, CAST(NULL AS VARCHAR) AS extra, CAST(NULL AS VARCHAR) AS turn_json, CAST(NULL AS BOOLEAN) AS declared
+  FROM conversations WHERE NOT coalesce(CASE WHEN json_valid(text) THEN role = 'assistant' AND json_array_length(text, '$.tool_calls') > 0 OR role = 'tool' AND json_exists(text, '$.tool_call_id') END, false)"""
+
+ALL = {"op1_license_scan": LICENSES, "op3_tool_calls": TOOL_CALLS, "op4_secrets": SECRETS, "op5_line_dedup": LINE_DEDUP, "op6_decontamination": DECONTAMINATION, "op7_quality_rules": QUALITY, "op8_near_duplicates": NEAR_DUPLICATES}
