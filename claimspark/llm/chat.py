@@ -60,6 +60,7 @@ def _is(kind: Column, name: Column) -> Column:
     return F.coalesce(F.regexp_like(kind, F.concat(F.lit("^("), F.coalesce(F.element_at(known, name), F.lit(".*")), F.lit(")$"))), F.lit(False))
 
 
+@tidy
 def unfit(pairs: DataFrame) -> DataFrame:
     """Those keys of pairs (key, value, schema: JSON texts) whose value breaks its schema. A round of each depth."""
     found, now = None, cut(pairs.select("key", "value", "schema"))
