@@ -31,7 +31,7 @@ from .common import blank_words, cut, free, let, row_key, small_side
 #: Permitted sequence lengths, and what a bin costs besides its capacity, in the unit of the lengths.
 CAPACITIES, BIN_COST = (512, 1024, 2048), 16
 #: Pieces of one length ranked together.
-RANKED = 5_000
+RANKED = 1_000
 
 
 class Slot(NamedTuple):
