@@ -94,8 +94,8 @@ def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) ->
     (rows.write.partitionBy(*partition_by) if partition_by else rows.write).mode("append").parquet(path)
 
 
-def write_export(lines: DataFrame, path: str, project: object, key: str = "project_id") -> None:
-    """One project's export as a text file: byte-order mark, headers, then its lines in order. One project's rows fit one file."""
+def write_export(lines: DataFrame, path: str, project: object, key: str = "project_id", files: int | None = 1) -> None:
+    """One project's export as a text file: byte-order mark, headers, then its lines in order. Without `files` as many files as Spark makes of it, in the order of their names."""
     first = lines.sparkSession.createDataFrame([(-1, 0, "\ufeff" + ",".join(EXPORT_HEADERS))], "section int, place bigint, line string")
     own = lines.filter(F.col(key) == F.lit(project)).select("section", "place", "line")
-    first.unionByName(own).repartitionByRange(1, "section", "place").sortWithinPartitions("section", "place").select("line").write.mode("overwrite").text(path)
+    first.unionByName(own).repartitionByRange(*([files] if files else []), "section", "place").sortWithinPartitions("section", "place").select("line").write.mode("overwrite").text(path)

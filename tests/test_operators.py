@@ -156,6 +156,8 @@ def test_files_in_and_out(spark, tmp_path):
     [part] = (tmp_path / "out").glob("part-*")
     text = part.read_text(encoding="utf-8")
     assert text == "﻿" + ",".join(fixed.EXPORT_HEADERS) + "\na\nb\ntotal\n"
+    files.write_export(lines, str(tmp_path / "parts"), 5, files=3)
+    assert "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "parts").glob("part-*"))) == text
     for _ in range(2):
         files.append(lines, str(tmp_path / "table"), ["project_id"])
     assert spark.read.parquet(str(tmp_path / "table")).count() == 8
