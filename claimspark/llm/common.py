@@ -60,7 +60,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return folder
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("executors need a folder that all of them share: set spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="claimspark-checkpoints-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
