@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from claimspark.functions.scalars import first_segments, segments
 
 
-def positions(items: DataFrame, list_key: str = "pricelist_id", prefix: int = 5) -> DataFrame:
-    """items with `pos`, their place by code and id in their list.
+def positions(items: DataFrame, list_key: str = "pricelist_id", prefix: int = 0) -> DataFrame:
+    """items with `pos`, their place by code and id in their list: one window a list.
 
-    Codes that begin alike are ranked together, and what comes before them is added up, so a long list is not one task's work.
+    For lists too long for one task, codes that begin with the same `prefix` characters are ranked together, and what comes before them is
+    added up, which reads the items twice.
     """
+    if not prefix:
+        return items.withColumn("pos", F.row_number().over(Window.partitionBy(list_key).orderBy("item_code", "id")).cast("bigint"))
     begun = items.withColumn("_begin", F.coalesce(F.substring("item_code", 1, prefix), F.lit("")))
     counts = begun.groupBy(F.col(list_key).alias("_list"), F.col("_begin").alias("_b")).agg(F.count("*").alias("_n"))
     before = counts.select("_list", "_b", (F.sum("_n").over(Window.partitionBy("_list").orderBy("_b")) - F.col("_n")).alias("_before"))

@@ -225,5 +225,5 @@ def test_positions_are_places_in_the_whole_list(spark):
     for key in ("a", "b", None):
         for pos, r in enumerate(sorted((r for r in rows if r[2] == key), key=lambda r: (r[1] is not None, r[1] or "", r[0])), 1):
             expected[r[0]] = pos
-    for prefix in (1, 5, 40):
+    for prefix in (0, 1, 5, 40):
         assert {r["id"]: r["pos"] for r in hierarchy.positions(items, prefix=prefix).collect()} == expected
