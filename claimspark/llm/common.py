@@ -127,7 +127,7 @@ def _clean() -> None:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, items: Column | None = None) -> DataFrame:
-    """A broadcast hint if df, which should be cheap to count, has at most `rows` narrow rows, or as many `items` in its rows' lists; else df as it is."""
+    """A broadcast hint if df, which should be cheap to count, has at most `rows` narrow rows; else df as it is. items: how many narrow rows a row counts for."""
     n = df.limit(rows + 1).count() if items is None else df.agg(F.coalesce(F.sum(items), F.lit(0))).first()[0]
     return F.broadcast(df) if n <= rows else df
 

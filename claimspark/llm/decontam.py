@@ -127,4 +127,4 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     """docs with `_items` (null: clean) and `_hits`."""
     row, names = free("_row", docs.columns), [free(c, docs.columns) for c in ("_items", "_hits")]
     found = contamination(docs, benchmark, doc_id=doc_id, text=text).toDF(row, *names)
-    return docs.withColumn(row, row_key(doc_id, text)).join(small_side(found, items=F.size(names[0])), row, "left").drop(row)
+    return docs.withColumn(row, row_key(doc_id, text)).join(small_side(found, items=1 + F.size(names[0]) / 8), row, "left").drop(row)

@@ -207,7 +207,7 @@ def dedup_lines(docs: DataFrame, least: int = 5, doc_id: str = "doc_id", text: s
     """docs with `text` rid of removed lines, and `_gone` with their places (null: none). Texts are joined once, with what they lose."""
     row, name = free("_row", docs.columns), free("_gone", docs.columns)
     gone = removed_lines(docs, least, doc_id, text, exact).toDF(row, name)
-    out = docs.withColumn(row, _row(doc_id, text)).join(small_side(gone, items=F.size(name)), row, "left").drop(row)
+    out = docs.withColumn(row, _row(doc_id, text)).join(small_side(gone, items=1 + F.size(name) / 16), row, "left").drop(row)
     places = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(name))
     kept = let(F.split(F.col(text), "\n", -1), lambda x: F.array_join(F.transform(places(x), lambda i: F.get(x, i)), "\n"))
     return out.withColumn(text, F.when(F.col(name).isNull(), F.col(text)).otherwise(kept))
