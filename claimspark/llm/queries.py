@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, linededup, neardup, pack, pii, quality, secrets, sql, tokens
+from . import chat, decontam, fim, lexical, licenses, linededup, neardup, pack, pii, quality, secrets, simhash, sql, tokens
+from .common import cut, tidy
 
 #: The tokenizer of op9; any other path can be given to the operator.
 TOKENIZER = "piece_bpe_32k.model"
@@ -87,8 +88,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_texts(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path(TOKENIZER)).drop("_row")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and hashes of each text's output, and of the text made again from it."""
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@tidy
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = cut(lexical.build_index(_table(spark, sf_dir, "documents")))
+    return lexical.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_personal_data, op3_tool_calls, op4_secrets, op5_line_dedup, op6_decontamination, op7_quality_rules, op8_near_duplicates, op9_token_counts, op10_best_fit_packing)
+    found = (op1_license_scan, op2_personal_data, op3_tool_calls, op4_secrets, op5_line_dedup, op6_decontamination, op7_quality_rules, op8_near_duplicates, op9_token_counts, op10_best_fit_packing, op11_fill_in_middle, op12_simhash, op13_lexical_search)
     return {f.__name__: f for f in found}
 
 

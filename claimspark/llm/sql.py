@@ -1,4 +1,4 @@
-"""DuckDB SQL for the results of the operators that SQL can express: licenses, plain messages, secrets, line dedup, decontamination, quality rules, near duplicates."""
+"""DuckDB SQL for the results of the operators that SQL can express: licenses, plain messages, secrets, line dedup, decontamination, quality rules, near duplicates, fill-in-middle, lexical search."""
 
 from __future__ import annotations
 
@@ -126,4 +126,26 @@ TOOL_CALLS = """SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARC
   CAST(to_json({'content': coalesce(text, ''), 'role': coalesce(role, '')}) AS VARCHAR) AS json, CAST(NULL AS VARCHAR) AS extra, CAST(NULL AS VARCHAR) AS turn_json, CAST(NULL AS BOOLEAN) AS declared
   FROM conversations WHERE NOT coalesce(CASE WHEN json_valid(text) THEN role = 'assistant' AND json_array_length(text, '$.tool_calls') > 0 OR role = 'tool' AND json_exists(text, '$.tool_call_id') END, false)"""
 
-ALL = {"op1_license_scan": LICENSES, "op3_tool_calls": TOOL_CALLS, "op4_secrets": SECRETS, "op5_line_dedup": LINE_DEDUP, "op6_decontamination": DECONTAMINATION, "op7_quality_rules": QUALITY, "op8_near_duplicates": NEAR_DUPLICATES}
+#: Cuts by the hash of the id; the parts in the form's order.
+FILL_IN_MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR h3 % 100 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
+
+
+def _terms(table: str, key: str) -> str:
+    return rf"SELECT {key}, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM {table}"
+
+
+#: All documents' scores for all items, ranked.
+LEXICAL = f"""WITH words AS ({_terms("documents", "doc_id")}), asked AS (SELECT item_id, term, count(*) AS times FROM ({_terms("benchmark", "item_id")}) GROUP BY 1, 2),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2), sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1), whole AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM sizes),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY 1),
+scored AS (SELECT item_id, p.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings p USING (term) JOIN sizes s ON s.doc_id = p.doc_id, whole GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 20"""
+
+ALL = {"op1_license_scan": LICENSES, "op3_tool_calls": TOOL_CALLS, "op4_secrets": SECRETS, "op5_line_dedup": LINE_DEDUP, "op6_decontamination": DECONTAMINATION, "op7_quality_rules": QUALITY, "op8_near_duplicates": NEAR_DUPLICATES, "op11_fill_in_middle": FILL_IN_MIDDLE, "op13_lexical_search": LEXICAL}
