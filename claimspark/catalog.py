@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from claimspark.plans import claims, lists, money, projects
+from claimspark.plans import claims, lists, money, projects, stored
 
-ALL = money.QUERIES | lists.QUERIES | claims.QUERIES | projects.QUERIES
+ALL = money.QUERIES | lists.QUERIES | claims.QUERIES | projects.QUERIES | stored.QUERIES
 
 
 def queries():

@@ -59,6 +59,18 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, round_half_up(100 * part / whole)).otherwise(0).cast("bigint")
 
 
+#: What KPIs are made of: sums of money and counts.
+KPI_AMOUNTS, KPI_COUNTS = ["base", "approved", "approved_or_sent", "pending"], ["n_rows", "n_evidence"]
+
+
+def kpi_parts() -> dict[str, Column]:
+    """What one ledger row adds to each KPI sum and count."""
+    t, n = F.col("type"), net_or_product().cast(MONEY)
+    amount = lambda when: F.when(when, n).otherwise(F.lit(0).cast(MONEY))
+    one = lambda when: F.when(when, 1).otherwise(0).cast("bigint")
+    return {"base": amount(t == "BASE_CONTRACT"), "approved": amount(t == "APPROVED_VO"), "approved_or_sent": amount(t.isin("APPROVED_VO", "SENT_VO")), "pending": amount(t == "PENDING_VO"), "n_rows": one(F.lit(True)), "n_evidence": one(has_evidence())}
+
+
 def kpis(rows: DataFrame, projects: DataFrame) -> DataFrame:
     """One row a project, also without ledger rows. The ledger is summed before the join."""
     t = F.col("type")
@@ -67,7 +79,12 @@ def kpis(rows: DataFrame, projects: DataFrame) -> DataFrame:
         money_sum(net_or_product(), t.isin("APPROVED_VO", "SENT_VO")).alias("approved_or_sent"), money_sum(net_or_product(), t == "PENDING_VO").alias("pending"),
         F.count("*").alias("n_rows"), F.count_if(has_evidence()).alias("n_evidence"),
     )
-    amounts, counts = ["base", "approved", "approved_or_sent", "pending"], ["n_rows", "n_evidence"]
+    return kpis_of(sums, projects)
+
+
+def kpis_of(sums: DataFrame, projects: DataFrame) -> DataFrame:
+    """KPIs of sums that were made before, one row a project that has any."""
+    amounts, counts = KPI_AMOUNTS, KPI_COUNTS
     all_ = projects.select(F.col("id").alias("project_id"), "name", "budget").join(sums, "project_id", "left")
     all_ = all_.withColumns({c: F.coalesce(c, F.lit(0)).cast(MONEY) for c in amounts} | {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts})
     effective = number_or(F.col("budget").cast(MONEY), F.col("base"))

@@ -124,16 +124,21 @@ exported AS (SELECT project_id, 0 AS section, row_number() OVER (PARTITION BY pr
   UNION ALL {TOTALS}) """
 HEADERS = f"SELECT letter_id, count(*) AS n_items, {_sum('total_price_excl_vat')} AS total_amount_excl_vat, {_sum('vat_amount')} AS vat_amount, {_sum('total_price_incl_vat')} AS total_amount_incl_vat, 'VO-' || letter_id AS letter_number, 'SENT' AS status"
 
-QUERIES = {
-    "ledger_generated": (ledger_generated, LEDGER + "SELECT project_id, letter_id, line_no, item_id, total_price_excl_vat, vat_amount, total_price_incl_vat FROM ledger"),
-    "ledger_split": (ledger_split, LEDGER + f"""SELECT *, CAST(net * CAST(0.18 AS DECIMAL(5,4)) AS {M}) AS vat_of_subtotal FROM (SELECT project_id, {_sum("total_price_excl_vat", "type = 'BASE_CONTRACT'")} AS base_net, {_sum("total_price_excl_vat", "type <> 'BASE_CONTRACT'")} AS other_net,
-  {_sum("total_price_incl_vat", "type = 'BASE_CONTRACT'")} AS base_gross, {_sum("total_price_incl_vat", "type <> 'BASE_CONTRACT'")} AS other_gross, {_sum("total_price_excl_vat")} AS net, {_sum("vat_amount")} AS vat, {_sum("total_price_incl_vat")} AS gross FROM ledger GROUP BY 1)"""),
-    "ledger_kpis": (ledger_kpis, f"""WITH {V.LEDGER_SQL}, {V.PROJECTS_SQL}, sums AS (SELECT project_id, {_sum(NET, "type = 'BASE_CONTRACT'")} AS base, {_sum(NET, "type = 'APPROVED_VO'")} AS approved, {_sum(NET, "type IN ('APPROVED_VO', 'SENT_VO')")} AS approved_or_sent,
+def ledger_kpis_sql(ledger: str) -> str:
+    """KPIs of the table `ledger` that these common table expressions end with."""
+    return f"""WITH {ledger}, {V.PROJECTS_SQL}, sums AS (SELECT project_id, {_sum(NET, "type = 'BASE_CONTRACT'")} AS base, {_sum(NET, "type = 'APPROVED_VO'")} AS approved, {_sum(NET, "type IN ('APPROVED_VO', 'SENT_VO')")} AS approved_or_sent,
   {_sum(NET, "type = 'PENDING_VO'")} AS pending, count(*) AS n_rows, count(CASE WHEN ai_rationale <> '' THEN 1 END) AS n_evidence FROM ledger GROUP BY 1),
 every AS (SELECT id AS project_id, name, budget, CAST(coalesce(base, 0) AS {M}) AS base, CAST(coalesce(approved, 0) AS {M}) AS approved, CAST(coalesce(approved_or_sent, 0) AS {M}) AS approved_or_sent, CAST(coalesce(pending, 0) AS {M}) AS pending,
   coalesce(n_rows, 0) AS n_rows, coalesce(n_evidence, 0) AS n_evidence FROM projects LEFT JOIN sums ON id = project_id)
 SELECT *, CAST(effective_budget + approved_or_sent + pending AS {M}) AS projected, round(CASE WHEN effective_budget <> 0 THEN least(100.0, CAST(approved_or_sent AS DOUBLE) / CAST(effective_budget AS DOUBLE) * 100) ELSE 0.0 END, 6) AS progress_percent
-FROM (SELECT *, CASE WHEN budget <> 0 THEN CAST(budget AS {M}) ELSE base END AS effective_budget, CAST(CASE WHEN n_rows > 0 THEN floor(100 * n_evidence / n_rows + 0.5) ELSE 0 END AS BIGINT) AS coverage_percent FROM every)"""),
+FROM (SELECT *, CASE WHEN budget <> 0 THEN CAST(budget AS {M}) ELSE base END AS effective_budget, CAST(CASE WHEN n_rows > 0 THEN floor(100 * n_evidence / n_rows + 0.5) ELSE 0 END AS BIGINT) AS coverage_percent FROM every)"""
+
+
+QUERIES = {
+    "ledger_generated": (ledger_generated, LEDGER + "SELECT project_id, letter_id, line_no, item_id, total_price_excl_vat, vat_amount, total_price_incl_vat FROM ledger"),
+    "ledger_split": (ledger_split, LEDGER + f"""SELECT *, CAST(net * CAST(0.18 AS DECIMAL(5,4)) AS {M}) AS vat_of_subtotal FROM (SELECT project_id, {_sum("total_price_excl_vat", "type = 'BASE_CONTRACT'")} AS base_net, {_sum("total_price_excl_vat", "type <> 'BASE_CONTRACT'")} AS other_net,
+  {_sum("total_price_incl_vat", "type = 'BASE_CONTRACT'")} AS base_gross, {_sum("total_price_incl_vat", "type <> 'BASE_CONTRACT'")} AS other_gross, {_sum("total_price_excl_vat")} AS net, {_sum("vat_amount")} AS vat, {_sum("total_price_incl_vat")} AS gross FROM ledger GROUP BY 1)"""),
+    "ledger_kpis": (ledger_kpis, ledger_kpis_sql(V.LEDGER_SQL)),
     "vat_repaired": (vat_repaired, LEDGER + f"SELECT project_id, {_sum('vat_amount')} AS vat, {_sum('total_price_incl_vat')} AS gross FROM ledger GROUP BY 1"),
     "line_totals": (line_totals, LETTER_ITEMS + f"""SELECT *, CAST(subtotal + vat AS {M}) AS total FROM (SELECT *, CAST(subtotal * CAST(0.18 AS DECIMAL(5,4)) AS {M}) AS vat FROM (SELECT letter_id, count(CASE WHEN item_type = 'ITEM' THEN 1 END) AS n_items, {_sum("quantity * unit_price_excl_vat", "item_type = 'ITEM'")} AS subtotal FROM letter_items GROUP BY 1))"""),
     "selected_totals": (selected_totals, LEDGER + f"SELECT count(*) AS n_rows, {_sum('total_price_excl_vat')} AS net, {_sum('total_price_incl_vat')} AS gross FROM ledger WHERE item_id % 37 = 0"),

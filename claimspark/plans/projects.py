@@ -8,7 +8,8 @@ from claimspark.functions import fixed as X, scalars as S
 from claimspark.operators import changes, documents as D, findings as Fi, ledger as L, letters, pricelist, search, security
 from claimspark.operators.pricelist import classified
 from claimspark.sources import views as V
-from claimspark.streaming import feeds
+from claimspark.sources.shared import scratch
+from claimspark.streaming import feeds, sinks
 
 from .lists import CLASSIFIED, KEY, WORDS
 from .money import LETTER_ITEMS, NET, ORDER, TIES, M, _letter_items, _sum
@@ -252,16 +253,18 @@ def rows_for_admin(spark, sf):
 
 def stream_inserts(spark, sf):
     """New findings of the feed, read as a stream."""
-    return feeds.replayed(feeds.inserts(V.change_stream(spark, sf)), "append", V.scratch(spark))
+    return feeds.replayed(feeds.inserts(V.change_stream(spark, sf)), scratch(spark))
 
 
 def stream_insert_counts(spark, sf):
-    return feeds.replayed(feeds.insert_counts(V.change_stream(spark, sf)), "complete", V.scratch(spark))
+    """Counts beside the rows, of a sink that may see a batch twice."""
+    sinks.counted_inserts(V.change_stream(spark, sf), at := scratch(spark)).awaitTermination()
+    return sinks.running_counts(spark, at)
 
 
 def stream_open_high(spark, sf):
     """The sum of the stream's changes is the number of open severe findings."""
-    return feeds.replayed(feeds.open_high_changes(V.change_stream(spark, sf)), "append", V.scratch(spark)).agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("n"))
+    return feeds.replayed(feeds.open_high_changes(V.change_stream(spark, sf)), scratch(spark)).agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("n"))
 
 
 def more_formats(spark, sf):

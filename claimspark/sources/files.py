@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +12,7 @@ from claimspark.functions.fixed import EXPORT_HEADERS
 from claimspark.operators.documents import file_kind, mime_type
 from claimspark.operators.pricelist import SHEET
 
-#: The name space of sheets.
-OOXML = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+from . import workbooks
 
 
 def read_sheet(spark: SparkSession, path: str, header_rows: bool = True) -> DataFrame:
@@ -26,40 +21,17 @@ def read_sheet(spark: SparkSession, path: str, header_rows: bool = True) -> Data
 
 
 def read_workbooks(spark: SparkSession, path: str, header_rows: bool = True) -> DataFrame:
-    """The first sheet of each XLSX file under the path: its seven text columns by position, with `file` and `row_no`. A file is one task's work."""
-    cells = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInPandas(_workbook_rows, "file string, row_no bigint, cells array<string>")
+    """The first sheet, by the workbook's own list, of each XLSX file under the path: its seven text columns by position, with `file` and `row_no`. A sheet is one task's work."""
+    cells = workbooks.read(spark, path, sheets="first")
     rows = cells.filter("row_no > 0") if header_rows else cells
     return rows.select(*[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(SHEET)], "file", "row_no")
 
 
-def _workbook_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for name, content in zip(b["file"], b["content"], strict=True):
-            rows = list(enumerate(_first_sheet(content)))
-            yield pd.DataFrame({"file": [name] * len(rows), "row_no": [i for i, _ in rows], "cells": [c for _, c in rows]})
-
-
-def _first_sheet(content: bytes) -> Iterator[list[str]]:
-    """Cell texts of the first sheet, row by row; what is between filled cells is empty."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        text = lambda e: "".join(t.text or "" for t in e.iter(f"{OOXML}t"))
-        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-        first = min((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group()))
-        for row in ElementTree.fromstring(z.read(first)).iter(f"{OOXML}row"):
-            cells: list[str] = []
-            for c in row.iter(f"{OOXML}c"):
-                column = 0
-                for letter in re.match(r"[A-Z]*", c.get("r", "")).group():
-                    column = 26 * column + ord(letter) - 64
-                cells += [""] * (column - 1 - len(cells))
-                value = c.findtext(f"{OOXML}v") or ""
-                cells.append(text(c) if c.get("t") == "inlineStr" else shared[int(value)] if c.get("t") == "s" else value)
-            yield cells
-
-
 def sheet_head(sheet: DataFrame, rows: int = 5) -> DataFrame:
-    """The first rows that aren't blank."""
-    return sheet.dropna(how="all").limit(rows)
+    """The first rows that aren't blank: of workbooks by file and row number, of one CSV file in its order."""
+    order = [c for c in ("file", "row_no") if c in sheet.columns]
+    filled = sheet.dropna(how="all", subset=[c for c in sheet.columns if c not in order])
+    return (filled.orderBy(*order) if order else filled).limit(rows)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -75,9 +47,9 @@ def sheet_census(spark: SparkSession, path: str, header_rows: bool = True) -> Da
     return read_sheet(spark, path, header_rows).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("sheet")).agg(F.count("*").alias("n_rows"))
 
 
-def write_head(rows: DataFrame, path: str, most: int = 5) -> None:
-    """The first rows as JSON lines."""
-    rows.limit(most).write.mode("overwrite").json(path)
+def write_head(rows: DataFrame, path: str, most: int = 5, order: list[str] | None = None) -> None:
+    """The first rows, in an order if one is given, as JSON lines in one file."""
+    (rows.orderBy(*order) if order else rows).limit(most).coalesce(1).write.mode("overwrite").json(path)
 
 
 def with_model(files: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,15 +121,6 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_rows(spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder for what streams write: the cluster's spark.checkpoint.dir, or where all runs on one machine a temporary one."""
-    if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return folder
-    if spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("executors need a folder that all of them share: set spark.checkpoint.dir")
-    return tempfile.mkdtemp(prefix="claimspark-streams-")
-
-
 def change_rows(events: DataFrame) -> DataFrame:
     e, v = events, F.col("event_type")
     op = F.when(v == "signup", "INSERT").when(v == "error", "DELETE").otherwise("UPDATE")

@@ -8,18 +8,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from claimspark.sources.shared import send_code
 
 FEED = "op string, seq bigint, id bigint, severity string, status string"
+#: How many numbers (seq) a change may come behind the newest one.
+REMEMBERED = 10_000_000
 
 
-def replayed(rows: DataFrame, mode: str, folder: str) -> DataFrame:
-    """What a stream gives until all that is there has been read. Rows of append mode are a table in the folder, else the last result is kept by name."""
+def replayed(rows: DataFrame, folder: str) -> DataFrame:
+    """What a stream in append mode gives until all that is there has been read, as a table in the folder."""
     name = f"feed_{uuid.uuid4().hex}"
-    out = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True)
-    query = out.format("parquet").start(f"{folder}/{name}") if mode == "append" else out.format("memory").queryName(name).start()
-    query.awaitTermination()
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}") if mode == "append" else rows.sparkSession.table(name)
+    out = rows.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True)
+    out.format("parquet").start(f"{folder}/{name}").awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
 
 def read_feed(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -36,21 +39,44 @@ def insert_counts(feed: DataFrame) -> DataFrame:
     return inserts(feed).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-def _steps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the key's last seq and whether it counts. Older changes than the last are ignored."""
-    seq, counts = state.get if state.exists else (-1, 0)
-    before = counts
-    for b in batches:
-        last = b.loc[b["seq"].idxmax()]
-        if last["seq"] > seq:
-            seq, counts = int(last["seq"]), int(last["op"] != "DELETE" and last["status"] == "OPEN" and last["severity"] == "HIGH")
-    state.update((seq, counts))
-    yield pd.DataFrame({"id": [key[0]] if counts != before else [], "delta": [counts - before] if counts != before else []}).astype({"id": "int64", "delta": "int64"})
+class _OpenHigh(StatefulProcessor):
+    """State of a finding: its last seq, and whether it counts. Of one that doesn't count the state ends when a timer says so."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "seq bigint, counts int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
+        seq, counts = self.last.get() if self.last.exists() else (-1, 0)
+        before, was = counts, seq
+        for b in rows:
+            last = b.iloc[b["seq"].to_numpy().argmax()]
+            if last["seq"] > seq:
+                seq, counts = int(last["seq"]), int(last["op"] != "DELETE" and last["status"] == "OPEN" and last["severity"] == "HIGH")
+        if seq > was:
+            self.last.update((seq, counts))
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if not counts:
+                self.handle.registerTimer(seq + 1)
+        yield pd.DataFrame({"id": [key[0]] if counts != before else [], "delta": [counts - before] if counts != before else []}).astype({"id": "int64", "delta": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame({"id": [], "delta": []}).astype("int64")
+
+    def close(self) -> None:
+        pass
 
 
-def open_high_changes(feed: DataFrame) -> DataFrame:
-    """(id, delta): findings that come to count as open and severe (+1), or no longer do (-1); the sum of deltas is the present number.
+def open_high_changes(feed: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    """(id, delta): findings that come to count as open and severe (+1), or no longer do (-1); the sum of deltas is the present number. Append mode.
 
-    Keyed state holds two numbers a finding. Append mode.
+    Keyed state holds two numbers of each finding that counts, and of the others only while changes older than their last may still come: the feed's clock is
+    seq, its watermark stands `remembered` numbers behind the newest change, and changes from before it are left out. So state grows with the open severe findings and the
+    `remembered` last changes, not with all findings that ever were.
     """
-    return feed.groupBy("id").applyInPandasWithState(_steps, "id bigint, delta bigint", "seq bigint, counts bigint", "append", GroupStateTimeout.NoTimeout)
+    spark = feed.sparkSession
+    send_code(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state with timers needs it
+    timed = feed.withColumn("_at", F.timestamp_millis("seq")).withWatermark("_at", f"{remembered} milliseconds")
+    return timed.groupBy("id").transformWithStateInPandas(_OpenHigh(), "id bigint, delta bigint", "Append", "EventTime")
