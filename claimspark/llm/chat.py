@@ -37,7 +37,7 @@ JSON_TYPES = {"string": "STRING", "boolean": "BOOLEAN", "integer": "BIGINT|DECIM
 
 
 def _json_like(c: str):
-    return F.ltrim(F.col(c)).startswith("{")
+    return F.col(c).rlike(r"^[\x20\t\n\r]*\{")
 
 
 def _fields(v: Column) -> Column:

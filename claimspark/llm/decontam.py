@@ -100,19 +100,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, sub
 
 
 def verified(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, overlap: int, substitutions: float, doc_id: str, text: str) -> DataFrame:
-    """(_row, item_id, start, words): hits around which enough words agree, with the aligned stretch in the text."""
-    items = benchmark.select("item_id", words("text").alias("_b")).dropDuplicates(["item_id", "_b"])
-    near = docs.select(row_key(doc_id, text).alias("_row"), F.col(text).alias("_t")).join(small_side(hits), "_row").select("_row", "item_id", "shift", words("_t").alias("_w"))
-    both = near.join(small_side(items), "item_id")
-    skip = F.greatest(-F.col("shift"), F.lit(0))  # item words that lie before the text
-    a = F.slice("_w", F.greatest("shift", F.lit(0)) + 1, F.size("_b") - skip)
-    b = F.slice("_b", skip + 1, F.size(a))
-    flags = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
-    size = F.least(F.lit(overlap), F.size("_b"))
-    need = needed(size, substitutions)
-    found = both.select("_row", "item_id", F.greatest("shift", F.lit(0)).alias("start"), F.size(b).alias("words"), flags.alias("_f"), size.alias("_k"), need.alias("_need"))
-    window = F.exists(F.sequence(F.lit(1), F.greatest(F.size("_f") - F.col("_k") + 1, F.lit(1))), lambda i: F.aggregate(F.slice("_f", i, F.col("_k")), F.lit(0), lambda s, x: s + x) >= F.col("_need"))
-    return found.filter((F.size("_f") >= F.col("_k")) & window).select("_row", "item_id", "start", "words").distinct()
+    """(_row, item_id, start, words): hits around which enough words agree, with the aligned stretch in the text.
+
+    A text's hits are gathered by item, and its words are made once: the cost is that of the stretches that are compared.
+    """
+    items = benchmark.select("item_id", words("text").alias("b")).dropDuplicates(["item_id", "b"])
+    by_item = hits.groupBy("_row", "item_id").agg(F.collect_list("shift").alias("shifts")).join(small_side(items), "item_id")  # shifts of one text, no more than its words
+    near = cut(by_item.groupBy("_row").agg(F.collect_list(F.struct("item_id", "b", "shifts")).alias("near")))
+    both = docs.select(row_key(doc_id, text).alias("_row"), F.col(text).alias("_t")).join(small_side(near, items=F.size("near")), "_row").dropDuplicates(["_row"]).select("_row", "near", words("_t").alias("_w"))
+
+    def at(w: Column, item: Column, shift: Column) -> Column:
+        """The stretch at a shift: where it starts, its words, and whether enough of them agree."""
+        b, skip = item["b"], F.greatest(-shift, F.lit(0))  # item words that lie before the text
+        start, size = F.greatest(shift, F.lit(0)), F.least(F.lit(overlap), F.size(b))
+        need = needed(size, substitutions)
+        n = F.least(F.size(w) - start, F.size(b) - skip)
+        flags = F.zip_with(F.slice(w, start + 1, n), F.slice(b, skip + 1, n), lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+        window = lambda f: F.exists(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.aggregate(F.slice(f, i, size), F.lit(0), lambda s, x: s + x) >= need)
+        return F.struct(item["item_id"].alias("item_id"), start.alias("start"), n.alias("words"), ((n >= size) & let(flags, window)).alias("proves"))
+
+    each = let(F.col("_w"), lambda w: F.flatten(F.transform("near", lambda item: F.filter(F.transform(item["shifts"], lambda s: at(w, item, s)), lambda x: x["proves"]))))
+    return both.select("_row", F.explode(each).alias("x")).select("_row", "x.item_id", "x.start", "x.words").distinct()
 
 
 @tidy
@@ -123,8 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP,
     return found.groupBy("_row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.count("*").alias("n_hits"))
 
 
-def flag_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `_items` (null: clean) and `_hits`."""
+def flag_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
+    """docs with `_items` (null: clean) and `_hits`. shortest: words of an item from which it is looked for; 1 looks for all."""
     row, names = free("_row", docs.columns), [free(c, docs.columns) for c in ("_items", "_hits")]
-    found = contamination(docs, benchmark, doc_id=doc_id, text=text).toDF(row, *names)
+    found = contamination(docs, benchmark, doc_id=doc_id, text=text, shortest=shortest).toDF(row, *names)
     return docs.withColumn(row, row_key(doc_id, text)).join(small_side(found, items=1 + F.size(names[0]) / 8), row, "left").drop(row)

@@ -16,7 +16,6 @@ of their own; equal scores are ordered by id, a null id last; an empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +39,24 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
+class _Numbers(dict):
+    """Numbers of terms, in the order in which they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
 class _Builder:
     """Collects a shard's documents."""
 
     def __init__(self):
         self.ids, self.sizes, self.words, self.n = [], [], [], 0
-        self.number: dict[bytes, int] = {}
-        self.next = count()
+        self.number = _Numbers()
 
     def add(self, doc_id: int | None, text: bytes) -> None:
         if words := terms_of(text):
-            new, number = self.next, self.number
-            self.words.append(np.fromiter((number[w] if w in number else number.setdefault(w, next(new)) for w in words), np.int64, len(words)))
+            self.words.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
             self.ids.append(LAST if doc_id is None else doc_id)
             self.sizes.append(len(words))
             self.n += len(words)
@@ -68,7 +73,7 @@ class _Builder:
         term, doc = keys >> depth, keys & ((1 << depth) - 1)
         m = 75 + 25 * sizes[order] * n_docs // n_terms
         impact = 1_000_000_000 * tf // (1000 * tf + 12 * m[doc])
-        by_impact = np.lexsort((doc, -impact, term))
+        by_impact = np.argsort((term << 20) - impact, kind="stable")  # by term, falling impact (under 1,000,000) and document
         levels, at = [], doc[by_impact]
         for level in range(depth - 1, -1, -1):
             bit = (at >> level & 1).astype(bool)

@@ -6,8 +6,10 @@ there (prefix filter); a block with fewer than `need` template tokens is out (le
 remaining tokens behind the match can't reach `need` (positional filter). What is left is verified in full. The template
 side is a fixed dictionary and travels with the tasks; texts are scanned in place and never shuffled.
 
-Blocks are windows half a window apart. Half a window has as many words as the longest template, repeated ones counted, and
-as many more as the threshold lets it miss, so any passage of that length stands in one block whole. Templates with words in order (`phrases`) are joined at containment 1 and then located exactly.
+A template's window has as many words as the template, repeated ones counted, and as many more as the threshold lets it miss. It is contained in a text if
+any run of words of that length, wherever it begins, holds enough of its tokens, in any order; words scattered over more of the text are no license. Blocks are two windows long and
+begin a window apart, so each run stands in one block whole; templates of one window length share blocks. Templates with words in order (`phrases`) are joined at
+containment 1 and then located exactly.
 
 Defined cases: null text is empty (no words); words of a text are counted from 0; repeated rows get equal results; with an
 empty table the order of tokens is alphabetical; other columns are carried through, and an added column whose name is taken has an
@@ -60,11 +62,20 @@ class Template(NamedTuple):
     tokens: frozenset
     need: int
     phrase: list[bytes] | None
-    n_words: int
+    window: int
 
 
-def build(templates: dict[str, str], phrases: dict[str, str], threshold: float) -> list[Template]:
-    return [Template(v, frozenset(s := words(k.encode())), len(set(s)), s, len(s)) for k, v in phrases.items()] + [Template(v, frozenset(s := words(k.encode())), math.ceil(threshold * len(set(s))), None, len(s)) for k, v in templates.items()]
+Templates = dict[str, str] | list[tuple[str, str]]
+
+
+def build(templates: Templates, phrases: dict[str, str], threshold: float) -> list[Template]:
+    """Templates are (text, label); texts with equal words may have several labels."""
+    out = [Template(label, frozenset(s := words(text.encode())), len(set(s)), s, len(s)) for text, label in phrases.items()]
+    for text, label in templates.items() if isinstance(templates, dict) else templates:
+        tokens = frozenset(s := words(text.encode()))
+        need = math.ceil(round(threshold * len(tokens), 9))
+        out.append(Template(label, tokens, need, None, len(s) + len(tokens) - need))
+    return out
 
 
 def document_counts(docs: DataFrame, vocabulary: frozenset, text: str = "text") -> dict[bytes, int]:
@@ -79,76 +90,107 @@ def document_counts(docs: DataFrame, vocabulary: frozenset, text: str = "text")
     return {bytes(r["w"]): r["n"] for r in docs.select(text).mapInArrow(rows_of, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}  # at most one row a template token
 
 
+class Class(NamedTuple):
+    """Templates of one window length."""
+
+    window: int
+    tokens: frozenset  # ranks
+    prefixes: dict[int, list[tuple[int, int]]]  # token rank -> (template, position in its order)
+
+
 class Index(NamedTuple):
     templates: list[Template]
     rank: dict[bytes, int]
-    prefixes: dict[int, list[tuple[int, int]]]  # token rank -> (template, position in its order)
-    span: int
+    ranks: list[frozenset]  # of each template
+    classes: list[Class]
+    rare: dict[int, list[int]]  # token rank -> classes in which it is in a prefix
 
 
 def index(templates: list[Template], counts: dict[bytes, int]) -> Index:
     order = sorted({w for t in templates for w in t.tokens}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    prefixes: dict[int, list[tuple[int, int]]] = {}
-    for i, t in enumerate(templates):
-        for p, r in enumerate(sorted(rank[w] for w in t.tokens)[: len(t.tokens) - t.need + 1]):
-            prefixes.setdefault(r, []).append((i, p))
-    return Index(templates, rank, prefixes, 2 * max(t.n_words + len(t.tokens) - t.need for t in templates))
-
-
-def block_matches(block: list[int], ix: Index) -> list[tuple[int, float]]:
-    """(template, containment) of a block given as its sorted distinct token ranks."""
-    found: dict[int, float] = {}
-    tried, there = set(), set(block)
+    ranks, classes, rare = [frozenset(rank[w] for w in t.tokens) for t in templates], [], {}
+    for window in sorted({t.window for t in templates}):
+        own = [i for i, t in enumerate(templates) if t.window == window]
+        prefixes: dict[int, list[tuple[int, int]]] = {}
+        for i in own:
+            for p, r in enumerate(sorted(ranks[i])[: len(ranks[i]) - templates[i].need + 1]):
+                prefixes.setdefault(r, []).append((i, p))
+        for r in prefixes:
+            rare.setdefault(r, []).append(len(classes))
+        classes.append(Class(window, frozenset().union(*(ranks[i] for i in own)), prefixes))
+    return Index(templates, rank, ranks, classes, rare)
+
+
+def candidates(block: list[int], ix: Index, c: Class) -> list[int]:
+    """Templates that a block, given as its sorted distinct token ranks, may contain: prefix, length and positional filters."""
+    out, tried = [], set()
     for q, r in enumerate(block):
-        for i, p in ix.prefixes.get(r, ()):
-            t = ix.templates[i]
-            if i in tried or len(block) < t.need or min(len(t.tokens) - p, len(block) - q) < t.need:  # no earlier token of it matched
+        for i, p in c.prefixes.get(r, ()):
+            need = ix.templates[i].need
+            if i in tried or len(block) < need or min(len(ix.ranks[i]) - p, len(block) - q) < need:  # no earlier token of it matched
                 continue
             tried.add(i)
-            both = sum(ix.rank[w] in there for w in t.tokens)
-            if both >= t.need:
-                found[i] = both / len(t.tokens)
-    return list(found.items())
+            out.append(i)
+    return out
+
+
+def densest(found: list[tuple[int, int]], wanted: frozenset, window: int) -> tuple[int, int]:
+    """(most distinct tokens `wanted` in any run of `window` words, where the first such run begins). found: (place, token) by place."""
+    own, there, best, first = [x for x in found if x[1] in wanted], Counter(), (0, 0), 0
+    for place, r in own:
+        there[r] += 1
+        while own[first][0] <= place - window:
+            if there[own[first][1]] == 1:
+                del there[own[first][1]]
+            else:
+                there[own[first][1]] -= 1
+            first += 1
+        if len(there) > best[0]:
+            best = (len(there), own[first][0])
+    return best
 
 
 def scan(text: bytes, ix: Index) -> tuple[int, list[tuple[str, int, int, float, bool]]]:
-    """Number of words, and matches (label, first word, words, containment, whether a phrase)."""
+    """Number of words, and matches (label, first word, words, containment, whether a phrase): of each block the densest window of a template."""
     w = words(text)
-    rare = ix.prefixes
     hits = [(i, r) for i, r in enumerate(map(ix.rank.get, w)) if r is not None]  # only template tokens matter
     out: dict[tuple, tuple] = {}
-    if any(r in rare for _, r in hits):
-        half, blocks = ix.span // 2, {}
+    for k in sorted({c for _, r in hits for c in ix.rare.get(r, ())}):
+        c, blocks = ix.classes[k], {}
         for i, r in hits:
-            for b in {i // half, max(0, i // half - 1)}:  # the window that starts at its half, and the one before
-                blocks.setdefault(b, set()).add(r)
-        for b, tokens in blocks.items():
-            if tokens.isdisjoint(rare):
+            if r in c.tokens:
+                for b in {i // c.window, max(0, i // c.window - 1)}:  # the block that starts at its window, and the one before
+                    blocks.setdefault(b, []).append((i, r))
+        for b, found in blocks.items():
+            block = {r for _, r in found}
+            if block.isdisjoint(c.prefixes):
                 continue
-            for i, share in block_matches(sorted(tokens), ix):
+            for i in candidates(sorted(block), ix, c):
                 t = ix.templates[i]
                 if t.phrase is None:
-                    out[i, b] = (t.label, b * half, min(len(w), (b + 2) * half) - b * half, share, False)
+                    n, at = densest(found, ix.ranks[i], c.window)
+                    if n >= t.need:
+                        out[i, at] = (t.label, at, min(len(w) - at, c.window), n / len(t.tokens), False)
                 else:
-                    k = len(t.phrase)
-                    for at in range(b * half, min(len(w), (b + 2) * half) - k + 1):
-                        if w[at : at + k] == t.phrase:
-                            out[i, -1 - at] = (t.label, at, k, 1.0, True)
+                    n = len(t.phrase)
+                    for at in range(b * n, min(len(w), (b + 2) * n) - n + 1):
+                        if w[at : at + n] == t.phrase:
+                            out[i, at] = (t.label, at, n, 1.0, True)
     return len(w), sorted(out.values(), key=lambda m: (m[1], not m[4], m[0]))
 
 
-def templates_of(table: DataFrame, most: int = 20_000) -> dict[str, str]:
+def templates_of(table: DataFrame, most: int = 20_000) -> list[tuple[str, str]]:
     """Templates from a table (label, text) of whole license texts or parts of them. They travel with the tasks, so more than `most` are an error."""
     rows = table.select("text", "label").dropna().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} license templates")
-    return {r["text"]: r["label"] for r in sorted(rows) if words(r["text"].encode())}
+    return sorted({(r["text"], r["label"]) for r in rows if words(r["text"].encode())})
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9, text: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates: Templates | DataFrame = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9, text: str = "text") -> DataFrame:
     """docs without their text, with n_words and matches: array of (label, start, words, containment, phrase)."""
-    templates = templates if isinstance(templates, dict) else templates_of(templates)
+    templates = templates_of(templates) if isinstance(templates, DataFrame) else templates
     built = build(templates, phrases, threshold)
     ix = index(built, document_counts(docs, frozenset(w for t in built for w in t.tokens), text))
     keep = [c for c in docs.columns if c != text]

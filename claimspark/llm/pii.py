@@ -33,11 +33,11 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: High-recall generators; every repeat is bounded or can match in one way only.
+#: High-recall generators; every repeat is bounded, or possessive: it can match in one way only and starts where its run does.
 GENERATORS = {
-    "email": [re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}){1,3}")],
+    "email": [re.compile(r"(?<![A-Za-z0-9._%+-])[._%+-]*+([A-Za-z0-9][A-Za-z0-9._%+-]*+ ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,}+)++)")],
     "ip": [re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,2}(?![0-9A-Fa-f:])")],
-    "card": [re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{4}){3}(?![0-9])"), re.compile(r"(?<![0-9])[0-9]{13,16}(?![0-9])")],
+    "card": [re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{4}){3}(?![0-9])"), re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")],
     "phone": [re.compile(r"(?<![0-9+])\(?0?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"), re.compile(r"(?<![0-9])00[0-9]{9,13}(?![0-9])")],
 }
 HINT = re.compile(r"\[at\]|\(at\)|\{at\}| at ")
@@ -84,7 +84,7 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
 
 def candidates(t: str) -> list[tuple[str, int, int]]:
     has_digit = DOTTED.search(t)
-    return [(kind, m.start(), m.end()) for kind, found in GENERATORS.items() if (HINT.search(t) if kind == "email" else has_digit) for g in found for m in g.finditer(t)]
+    return [(kind, m.start(g.groups), m.end()) for kind, found in GENERATORS.items() if (HINT.search(t) if kind == "email" else has_digit) for g in found for m in g.finditer(t)]
 
 
 def features(t: str, kind: str, start: int, end: int) -> list[float]:

@@ -53,8 +53,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines and their places, and the hash of what is left."""
-    done = linededup.dedup_lines(_table(spark, sf_dir, "documents").withColumn("_all", F.col("text")), exact=1)
-    return done.select("doc_id", F.size(F.split("_all", "\n", -1)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(F.array_join(F.transform("_gone", lambda i: i.cast("string")), ","), F.lit("")).alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"))
+    return linededup.dedup_lines(docs, exact=1).select("doc_id", "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(F.array_join(F.transform("_gone", lambda i: i.cast("string")), ","), F.lit("")).alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

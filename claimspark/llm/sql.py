@@ -79,15 +79,18 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c A
 
 
 def _licenses(threshold: float) -> str:
-    built = licenses.build(licenses.TEMPLATES, licenses.PHRASES, threshold)
-    half, text = licenses.index(built, {}).span // 2, lambda x: "'" + x.decode() + "'"
-    tokens = ", ".join(f"({i}, '{t.label}', {t.need}, {len(t.tokens)}, {text(w)})" for i, t in enumerate(built) if t.phrase is None for w in sorted(t.tokens))
-    phrases = ", ".join(f"([{', '.join(map(text, t.phrase))}], '{t.label}')" for t in built if t.phrase)
+    """Windows that begin at a template's token are enough, as others hold no more."""
+    split = lambda t: t.split(" ")  # noqa: E731  templates and phrases are words with blanks between
+    tokens = ", ".join(f"({i}, '{label}', {len(split(t))}, '{w}')" for i, (t, label) in enumerate(licenses.TEMPLATES.items()) for w in sorted(set(split(t))))
+    phrases = ", ".join(f"({split(t)}, '{label}')" for t, label in licenses.PHRASES.items())
     return rf"""WITH texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 base AS (SELECT doc_id, p, label FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS p FROM texts) JOIN (VALUES {phrases}) f(phrase, label) ON ws[p + 1:p + len(phrase)] = phrase),
-tokens AS (SELECT * FROM (VALUES {tokens}) x(t, label, need, n, w)),
-blocks AS (SELECT doc_id, t, label, need, n, b, count(DISTINCT w) AS c FROM (SELECT doc_id, w, t, label, need, n, unnest([p // {half}, p // {half} - 1]) AS b FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM texts) JOIN tokens USING (w)) WHERE b >= 0 GROUP BY ALL),
-found AS (SELECT doc_id, label, c / n AS share FROM blocks WHERE c >= need UNION ALL SELECT doc_id, label, 1.0 FROM base),
+listed AS (SELECT * FROM (VALUES {tokens}) x(t, label, n_words, w)),
+sized AS (SELECT t, count(*) AS n, CAST(ceil(round({threshold} * count(*), 9)) AS BIGINT) AS need FROM listed GROUP BY 1),
+tokens AS (SELECT l.*, n, need, n_words + n - need AS span FROM listed l JOIN sized s ON s.t = l.t),
+met AS (SELECT doc_id, p, t, label, n, need, span, w FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM texts) JOIN tokens USING (w)),
+runs AS (SELECT a.doc_id, a.t, a.label, a.n, a.need, a.p, count(DISTINCT b.w) AS c FROM met a JOIN met b ON a.doc_id = b.doc_id AND a.t = b.t AND b.p BETWEEN a.p AND a.p + a.span - 1 GROUP BY ALL),
+found AS (SELECT doc_id, label, c / n AS share FROM runs WHERE c >= need UNION ALL SELECT doc_id, label, 1.0 FROM base),
 bases AS (SELECT doc_id, count(*) AS n, min(p) AS first, max(p) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY 1),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY 1)
 SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first AS first_word, b.last AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM texts t LEFT JOIN bases b ON b.doc_id = t.doc_id LEFT JOIN every e ON e.doc_id = t.doc_id"""
@@ -110,13 +113,13 @@ keys AS (SELECT r.* FROM places r WHERE kind = 'run' AND regexp_full_match(m, '[
   AND (length(rtrim(m, '=')) >= 32 OR (length(rtrim(m, '=')) >= 8 AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[0-9]') AND NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = r.doc_id AND r.s < n.e AND n.s < r.e)))),
 parts AS (SELECT row_number() OVER () AS id, * FROM (SELECT doc_id, kind, s, e, CASE kind WHEN 'identifier' THEN 'id' WHEN 'access' THEN 'id' WHEN 'endpoint' THEN 'end' ELSE 'secret' END AS role, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 WHEN 'identifier' THEN 3 ELSE 5 END AS rank FROM places WHERE kind <> 'run'
   UNION ALL SELECT doc_id, 'key', s, e, 'secret', 4 FROM keys)),
-weighed AS (SELECT p.id, p.kind, {near("id")} AS id_near, {near("secret")} AS secret_near, {near("end")} AS end_near, bool_or(q.rank < 3 AND q.id <> p.id AND p.s < q.e AND q.s < p.e) AS inside FROM parts p JOIN parts q ON p.doc_id = q.doc_id WHERE p.rank > 2 GROUP BY 1, 2),
+weighed AS (SELECT p.id, p.kind, {near("id")} AS id_near, {near("secret")} AS secret_near, {near("end")} AS end_near, bool_or(q.rank < 3 AND q.id <> p.id AND q.s <= p.s AND p.e <= q.e) AS inside FROM parts p JOIN parts q ON p.doc_id = q.doc_id WHERE p.rank > 2 GROUP BY 1, 2),
 shown AS (SELECT * FROM parts WHERE rank < 3 OR id IN (SELECT id FROM weighed WHERE NOT inside AND CASE kind WHEN 'identifier' THEN secret_near WHEN 'key' THEN id_near OR end_near ELSE id_near AND secret_near END)),
 told AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {said("rank < 3")} AS base, {said("true")} AS spans FROM shown GROUP BY 1)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told ON told.doc_id = d.doc_id"""
 
 
-#: Template tokens in blocks of words, as the windows of the scan.
+#: Runs of words as long as a template's window, with their distinct tokens.
 LICENSES = _licenses(0.9)
 #: All parts with their places, and joins of the parts of a text. A key is a whole run of its characters.
 SECRETS = _secrets(300)
