@@ -95,18 +95,31 @@ def scan_control(findings: DataFrame, project: object, force: bool = False, work
     return findings, findings.filter(own).isEmpty()
 
 
+def scan_contexts(docs: DataFrame) -> DataFrame:
+    """What a scan holds work documents against, once a project: (project_id, id, part) of its contracts with text, to be read in the order of ids."""
+    line = F.concat(F.lit("--- Document: "), F.col("title"), F.lit(" ---\n"), F.col("extracted_text"))
+    return docs.filter(F.col("category").isin(X.CONTRACT_CATEGORIES) & has_text(F.col("extracted_text"))).select("project_id", "id", line.alias("part"))
+
+
+def whole_contexts(contexts: DataFrame) -> DataFrame:
+    """(project_id, context): the parts as one text, a row a project, for a model that reads it at once. It is as long as the project's contracts."""
+    lines = F.array_sort(F.collect_list(F.struct("id", "part")))
+    return contexts.groupBy("project_id").agg(F.array_join(F.transform(lines, lambda x: x["part"]), "\n\n").alias("context"))
+
+
 def scan_inputs(docs: DataFrame, work_document: object | None = None) -> DataFrame:
-    """One row a work document with text: project_id, work_id, work_title, work_text, and of its project the contracts' joined text, first id and title.
+    """One row a work document with text: project_id, which is the key of its context, work_id, work_title, work_text, and the first id and title of its project's contracts.
 
-    All of a project's contract text is one value, as the model reads it at once.
+    The context itself isn't copied to every work document. A work document that is asked for and isn't there is an error; one without text gives no row.
     """
-    there, line = has_text(F.col("extracted_text")), F.concat(F.lit("--- Document: "), F.col("title"), F.lit(" ---\n"), F.col("extracted_text"))
-    contracts = docs.filter(F.col("category").isin(X.CONTRACT_CATEGORIES)).groupBy("project_id").agg(
-        F.min(F.struct("id", "title")).alias("first"), F.array_sort(F.collect_list(F.when(there, F.struct("id", line.alias("line"))))).alias("lines")
-    )
-    contracts = contracts.select("project_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("context"), F.col("first.id").alias("contract_id"), F.col("first.title").alias("contract_title"))
-    work = docs.filter(F.col("category").isin(X.WORK_CATEGORIES) & there)
-    work = work if work_document is None else work.filter(F.col("id") == F.lit(work_document))
+    first = docs.filter(F.col("category").isin(X.CONTRACT_CATEGORIES)).groupBy("project_id").agg(F.min(F.struct("id", "title")).alias("f"))
+    contracts = first.select("project_id", F.col("f.id").alias("contract_id"), F.col("f.title").alias("contract_title"))
+    work = docs.filter(F.col("category").isin(X.WORK_CATEGORIES))
+    if work_document is not None:
+        work = work.filter(F.col("id") == F.lit(work_document))
+        if work.isEmpty():
+            raise LookupError(f"no work document {work_document}")
+    work = work.filter(has_text(F.col("extracted_text")))
     return work.select("project_id", F.col("id").alias("work_id"), F.col("title").alias("work_title"), F.col("extracted_text").alias("work_text")).join(contracts, "project_id", "left")
 
 

@@ -2,52 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.scalars import first_segments, segments
+from claimspark.sources.shared import kept
 
+from .carry import carried
 
-def positions(items: DataFrame, list_key: str = "pricelist_id", prefix: int = 0) -> DataFrame:
-    """items with `pos`, their place by code and id in their list: one window a list.
 
-    For lists too long for one task, codes that begin with the same `prefix` characters are ranked together, and what comes before them is
-    added up, which reads the items twice.
-    """
-    if not prefix:
-        return items.withColumn("pos", F.row_number().over(Window.partitionBy(list_key).orderBy("item_code", "id")).cast("bigint"))
-    begun = items.withColumn("_begin", F.coalesce(F.substring("item_code", 1, prefix), F.lit("")))
-    counts = begun.groupBy(F.col(list_key).alias("_list"), F.col("_begin").alias("_b")).agg(F.count("*").alias("_n"))
-    before = counts.select("_list", "_b", (F.sum("_n").over(Window.partitionBy("_list").orderBy("_b")) - F.col("_n")).alias("_before"))
-    ranked = begun.withColumn("_rank", F.row_number().over(Window.partitionBy(list_key, "_begin").orderBy("item_code", "id")))
-    placed = ranked.join(before, F.col(list_key).eqNullSafe(F.col("_list")) & (F.col("_begin") == F.col("_b")))
-    return placed.select(*items.columns, (F.col("_before") + F.col("_rank")).cast("bigint").alias("pos"))
+def _order() -> list:
+    return [F.asc_nulls_first("item_code"), F.asc_nulls_first("id")]
+
+
+def positions(items: DataFrame, list_key: str = "pricelist_id", ranges: int | None = None) -> DataFrame:
+    """items with `pos`, their place by code and id in their list. A list of any length is dealt out by ranges; ids are unique in it."""
+    return carried(items, [list_key], _order(), kept, place="pos", ranges=ranges)
 
 
-def governing_notes(items: DataFrame, list_key: str = "pricelist_id") -> DataFrame:
-    """(list, id, note_id) of each plain item: the nearest note before it whose first two segments begin its code; else null.
+def governing_notes(items: DataFrame, list_key: str = "pricelist_id", ranges: int | None = None) -> DataFrame:
+    """(list, id, note_id) of each plain item: the nearest note before it, by code and id, whose first two segments begin its code; else null.
 
     The string prefixes of an item's code that are as long as some note's meet the notes by equality. Notes of a prefix are put among
-    the items in order of place, so a window's last note is the nearest: its cost is linear, not items times notes.
+    the items in order, and the last one is carried from row to row and from range to range: its cost is linear, not items times notes, and
+    a prefix that holds a whole list (that of an empty code) is dealt out like any other.
     """
-    note = F.col("item_type") == "NOTE"
     code = F.col("item_code")
-    notes = items.filter(note).select(list_key, first_segments(code, 2).alias("prefix"), "pos", F.col("id").alias("note_id"), F.lit(None).cast("bigint").alias("id"))
-    used = notes.select(list_key, "prefix").distinct()
+    none = F.lit(None).cast("bigint")
+    notes = items.filter(F.col("item_type") == "NOTE").select(list_key, first_segments(code, 2).alias("prefix"), "item_code", "id", F.lit(True).alias("is_note"))
+    used = notes.groupBy(list_key, "prefix").agg(F.lit(True).alias("_used"))
     lengths = used.agg(F.collect_set(F.length("prefix"))).scalar()  # few: codes are short
     prefixes = F.transform(F.filter("_lengths", lambda n: n <= F.length(code)), lambda n: F.substring(code, F.lit(1), n))
-    plain = items.filter(F.col("item_type") == "ITEM").withColumn("_lengths", lengths).select(list_key, F.explode(prefixes).alias("prefix"), "pos", F.lit(None).cast("bigint").alias("note_id"), "id").join(used, [list_key, "prefix"], "left_semi")
-    before = Window.partitionBy(list_key, "prefix").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    near = F.max(F.when(F.col("note_id").isNotNull(), F.struct("pos", "note_id"))).over(before)  # a running maximum by place
-    met = plain.unionByName(notes).withColumn("near", near).filter("id is not null and near is not null")
-    nearest = met.groupBy(list_key, "id").agg(F.max("near")["note_id"].alias("note_id"))
-    return items.filter(F.col("item_type") == "ITEM").select(list_key, "id").join(nearest, [list_key, "id"], "left")
-
-
-def governing_notes_by_prefix(items: DataFrame, list_key: str = "pricelist_id") -> DataFrame:
-    """As governing_notes where each note's two segments are the item's own: one window, no join."""
-    w = Window.partitionBy(list_key, first_segments(F.col("item_code"), 2)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = items.withColumn("note_id", F.last(F.when(F.col("item_type") == "NOTE", F.col("id")), ignorenulls=True).over(w))
+    plain = items.filter(F.col("item_type") == "ITEM").withColumn("_lengths", lengths).select(list_key, F.explode(prefixes).alias("prefix"), "item_code", "id", F.lit(False).alias("is_note")).join(used, [list_key, "prefix"], "left_semi")
+    note = F.when(F.col("is_note"), F.struct("item_code", "id"))
+    met = carried(plain.unionByName(notes), [list_key, "prefix"], _order(), kept, last={"near": note}, ranges=ranges).filter("not is_note and near is not null")
+    nearest = met.groupBy(list_key, "id").agg(F.max("near")["id"].alias("note_id"))
+    return items.filter(F.col("item_type") == "ITEM").select(list_key, "id").join(nearest, [list_key, "id"], "left").select(list_key, "id", F.coalesce("note_id", none).alias("note_id"))
+
+
+def governing_notes_by_prefix(items: DataFrame, list_key: str = "pricelist_id", ranges: int | None = None) -> DataFrame:
+    """As governing_notes where each note's two segments are the item's own: no join of items with notes."""
+    rows = items.filter(F.col("item_type").isin("ITEM", "NOTE")).select(list_key, first_segments(F.col("item_code"), 2).alias("prefix"), "item_code", "id", "item_type")
+    seen = carried(rows, [list_key, "prefix"], _order(), kept, last={"note_id": F.when(F.col("item_type") == "NOTE", F.col("id"))}, ranges=ranges)
     return seen.filter(F.col("item_type") == "ITEM").select(list_key, "id", "note_id")
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from claimspark.functions import fixed as X
 from claimspark.functions.scalars import has_text, lookup, once, shekels, text_or
 
+from claimspark.sources.shared import kept
+
+from .carry import carried
 from .ledger import MONEY, money_sum, net_or_product
 
 ROW = ["total", "price", "quantity", "unit", "text", "code", "no"]
@@ -70,8 +73,9 @@ def export_rows(ledger: DataFrame, project: str = "project_id", tie: list[str] =
     e, text = F.lit(""), lambda c: c.cast("string")
     amount = lambda c: text(F.coalesce(F.col(c), F.lit(0)))
     cells = [lookup(F.col("type"), X.EXPORT_LABELS, F.col("type")), text_or(text(F.col("item_code")), e), text_or(F.col("description"), e), text_or(F.col("unit"), e)] + [amount(c) for c in ("quantity", "unit_price_excl_vat", "total_price_excl_vat", "markup_percentage", "vat_amount", "total_price_incl_vat")]
-    place = F.row_number().over(Window.partitionBy(project).orderBy(F.asc_nulls_last("created_at"), *tie)).cast("bigint")
-    detail = ledger.select(project, F.lit(0).alias("section"), place.alias("place"), *[c.alias(f"c{i}") for i, c in enumerate(cells, 1)])
+    rows = ledger.select(project, "created_at", *[c for c in tie if c not in (project, "created_at")], *[c.alias(f"c{i}") for i, c in enumerate(cells, 1)])
+    placed = carried(rows, [project], [F.asc_nulls_last("created_at"), *[F.asc_nulls_first(c) for c in tie]], kept, place="place")
+    detail = placed.select(project, F.lit(0).alias("section"), "place", *[f"c{i}" for i in range(1, 11)])
     base = F.col("type") == "BASE_CONTRACT"
     sums = ledger.groupBy(project).agg(money_sum("total_price_excl_vat", base).alias("a"), money_sum("total_price_excl_vat", ~base).alias("b"), money_sum("total_price_excl_vat").alias("c"), money_sum("vat_amount").alias("d"), money_sum("total_price_incl_vat").alias("e"))
     at = {"a": 7, "b": 7, "c": 7, "d": 9, "e": 10}

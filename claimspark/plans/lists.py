@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from claimspark.functions import fixed as X, scalars as S
-from claimspark.operators import changes, hierarchy, pricelist, search
+from claimspark.operators import changes, hierarchy, pages, pricelist, search, trigrams
 from claimspark.sources import views as V
+from claimspark.sources.shared import kept
 
 from .money import TYPED
 
@@ -52,6 +55,28 @@ def pricelist_page(spark, sf):
     return pricelist.page(V.items(spark, sf).select("id", "item_code", "description"), 1)
 
 
+def findings_deep_page(spark, sf):
+    """A page far behind the first, from the range that holds it."""
+    rows = V.findings(spark, sf).select("created_at", "id", "title")
+    return pages.page_with_count(rows, pages.ranges(rows, ["created_at", "id"]), 12)
+
+
+def findings_next_page(spark, sf):
+    """The page behind the last row of the one before."""
+    rows = V.findings(spark, sf).select("created_at", "id", "title")
+    seen = pages.page(rows, pages.ranges(rows, ["created_at", "id"]), 11).collect()
+    return pages.next_page(rows, ["created_at", "id"], seen[-1])
+
+
+def trigram_search(spark, sf):
+    """Words with and without wildcards, taken as they are, and one that is too short for a trigram, through one table of trigrams."""
+    rows = V.items(spark, sf)
+    table = trigrams.postings(rows, "id", ["description", "item_code"], kept)
+    asked = {"words": (WORDS, False), "as they are": ([*WORDS, "01.01"], True), "short": (["RI", "x%y%z"], False), "nowhere": (["no such words"], False)}
+    found = [trigrams.search(rows, table, "id", ["description", "item_code"], words, escape).select(F.lit(name).alias("asked"), "id") for name, (words, escape) in asked.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def search_box(spark, sf):
     return search.search_box(_classified(spark, sf), "WIDGET").select("id", "item_type")
 
@@ -66,11 +91,11 @@ def keyword_tokens(spark, sf):
 
 
 def governing_notes(spark, sf):
-    return hierarchy.governing_notes(hierarchy.positions(_classified(spark, sf)))
+    return hierarchy.governing_notes(_classified(spark, sf))
 
 
 def governing_notes_by_prefix(spark, sf):
-    return hierarchy.governing_notes_by_prefix(hierarchy.positions(_classified(spark, sf)))
+    return hierarchy.governing_notes_by_prefix(_classified(spark, sf))
 
 
 def parent_notes(spark, sf):
@@ -109,6 +134,9 @@ QUERIES = {
     "code_shapes": (code_shapes, ITEMS + r"SELECT id, item_code, item_code LIKE '%.' AND item_code NOT LIKE '%..' AS one_dot, contains(item_code, '...') AS chapter_dots, item_code IN ('05', '05.', '05..', '05...') AS is_target, starts_with(item_code, '05') AS under_target FROM items"),
     "pricelist_counts": (pricelist_counts, ITEMS + "SELECT l.id, coalesce(n, 0) AS n_items FROM (SELECT DISTINCT p_brand AS id FROM part UNION ALL SELECT 'empty list') l LEFT JOIN (SELECT pricelist_id, count(*) AS n FROM items WHERE rate > 1000 GROUP BY 1) c ON l.id = c.pricelist_id"),
     "pricelist_page": (pricelist_page, ITEMS + "SELECT id, item_code, description FROM items ORDER BY item_code, id LIMIT 100 OFFSET 100"),
+    "findings_deep_page": (findings_deep_page, f"WITH {V.FINDINGS_SQL} SELECT created_at, id, title, (SELECT count(*) FROM findings) AS n_all, (SELECT count(*) FROM findings) >= 1300 AS has_more FROM findings ORDER BY created_at, id LIMIT 100 OFFSET 1200"),
+    "findings_next_page": (findings_next_page, f"WITH {V.FINDINGS_SQL} SELECT created_at, id, title FROM findings ORDER BY created_at, id LIMIT 100 OFFSET 1200"),
+    "trigram_search": (trigram_search, ITEMS + " UNION ALL ".join(f"SELECT '{name}' AS asked, id FROM items WHERE " + " OR ".join(f"{c} ILIKE '%{w}%' {e}" for w in words for c in ("description", "item_code")) for name, words, e in [("words", WORDS, ""), ("as they are", ["ring", r"wid\%et", "01.01"], r"ESCAPE '\'"), ("short", ["RI", "x%y%z"], ""), ("nowhere", ["no such words"], "")])),
     "search_box": (search_box, CLASSIFIED + "SELECT id, item_type FROM classified WHERE description ILIKE '%widget%' OR item_code ILIKE '%widget%' OR item_type = 'NOTE'"),
     "keyword_search": (keyword_search, ITEMS + "SELECT id, description FROM items WHERE description ILIKE '%ring%' OR description ILIKE '%wid%et%'"),
     "keyword_tokens": (keyword_tokens, f"WITH {V.FINDINGS_SQL} SELECT id, array_to_string(list_slice(list_filter(regexp_split_to_array('re-do, a x.y ' || title, '[\\s,.-]+'), lambda w: length(w) > 2), 1, 4), '|') AS keywords FROM findings"),

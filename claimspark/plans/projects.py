@@ -35,8 +35,21 @@ def zero_match_questions(spark, sf):
 
 
 def scan_inputs(spark, sf):
+    """The digest of a context is made once a project."""
     docs = V.project_documents(spark, sf)
-    return Fi.scan_inputs(docs).select("project_id", "work_id", "contract_id", "contract_title", F.md5("context").alias("context_md5"))
+    digests = Fi.whole_contexts(Fi.scan_contexts(docs)).select("project_id", F.md5("context").alias("context_md5"))
+    return Fi.scan_inputs(docs).join(digests, "project_id", "left").select("project_id", "work_id", "contract_id", "contract_title", "context_md5")
+
+
+def scan_contexts(spark, sf):
+    return Fi.scan_contexts(V.project_documents(spark, sf)).select("project_id", "id", F.md5("part").alias("part_md5"))
+
+
+def scan_inputs_of_document(spark, sf):
+    """The first work document that has text."""
+    docs = V.project_documents(spark, sf)
+    first = docs.filter("category = 'EXECUTION' and extracted_text <> ''").agg(F.min("id")).first()[0]
+    return Fi.scan_inputs(docs, first).select("project_id", "work_id", "contract_id", "contract_title", F.md5("work_text").alias("work_md5"))
 
 
 def work_analysis(spark, sf):
@@ -295,6 +308,8 @@ SELECT 'CONTRACT ITEM' AS tag, {" || '/' || ".join(f"CAST({c} AS VARCHAR)" for c
     "project_notes": (project_notes, f"WITH {V.LISTS_SQL}, {CLASSIFIED.removeprefix('WITH ')} SELECT c.id, item_code, description, name AS list_name FROM classified c JOIN lists l ON c.pricelist_id = l.id WHERE item_type = 'NOTE' AND project_id = {PROJECT} ORDER BY c.id LIMIT 50"),
     "zero_match_questions": (zero_match_questions, FINDINGS + "SELECT id, id % 3 = 0 AS match_found, CASE WHEN id % 3 = 0 THEN '' ELSE 'how much|which unit' END AS questions FROM findings"),
     "scan_inputs": (scan_inputs, WORKS + "SELECT project_id, work_id, contract_id, contract_title, md5(context) AS context_md5 FROM works"),
+    "scan_contexts": (scan_contexts, f"WITH {V.DOCUMENTS_SQL} SELECT project_id, id, md5('--- Document: ' || title || ' ---' || chr(10) || extracted_text) AS part_md5 FROM docs WHERE category = 'CONTRACT' AND extracted_text <> ''"),
+    "scan_inputs_of_document": (scan_inputs_of_document, WORKS + "SELECT w.project_id, work_id, contract_id, contract_title, md5(extracted_text) AS work_md5 FROM works w JOIN docs ON id = work_id WHERE work_id = (SELECT min(work_id) FROM works)"),
     "work_analysis": (work_analysis, WORKS + f"SELECT project_id, work_id AS source_execution_doc_id, contract_id AS target_contract_doc_id, part, CASE part WHEN 0 THEN 't ' || work_id ELSE 'b' END AS title, CASE part WHEN 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity, 'OPEN' AS status, coalesce(contract_title, '{X.CONTRACT_TITLE}') AS contract_title, work_title, CASE part WHEN 0 THEN 'q' END AS quote, CASE part WHEN 0 THEN 'low' END AS risk FROM works, (VALUES (0), (1)) p(part) WHERE work_id % 5 > 0"),
     "estimate_approved": (estimate_approved, APPROVED + f"""SELECT e.id AS contradiction_id, project_id, name AS project_name, CASE WHEN e.id % 2 = 0 THEN 'APPROVED_VO' ELSE 'PENDING_VO' END AS type, 'CUSTOM_ANALYSIS' AS source, '' AS item_code, CAST(0 AS DECIMAL(5,4)) AS markup_percentage,
   CAST((e.id % 7 + 1) * (e.id % 100) AS DECIMAL(15,2)) AS total_price_excl_vat, CAST((e.id % 7 + 1) * (e.id % 100) * CAST(0.18 AS DECIMAL(5,4)) AS DECIMAL(15,2)) AS vat_amount, CAST((e.id % 7 + 1) * (e.id % 100) * CAST(1.18 AS DECIMAL(5,4)) AS DECIMAL(15,2)) AS total_price_incl_vat FROM estimated e LEFT JOIN projects p ON p.id = e.project_id"""),

@@ -225,5 +225,16 @@ def test_positions_are_places_in_the_whole_list(spark):
     for key in ("a", "b", None):
         for pos, r in enumerate(sorted((r for r in rows if r[2] == key), key=lambda r: (r[1] is not None, r[1] or "", r[0])), 1):
             expected[r[0]] = pos
-    for prefix in (0, 1, 5, 40):
-        assert {r["id"]: r["pos"] for r in hierarchy.positions(items, prefix=prefix).collect()} == expected
+    for ranges in (None, 1, 2, 7):
+        assert {r["id"]: r["pos"] for r in hierarchy.positions(items, ranges=ranges).collect()} == expected
+
+
+def test_scan_inputs_of_one_document(spark):
+    docs = spark.createDataFrame([(1, 7, "c", "CONTRACT", "terms"), (2, 7, "w", "EXECUTION", "work"), (3, 7, "v", "SITE_REPORT", None), (4, 8, "u", "EXECUTION", "alone")], "id bigint, project_id bigint, title string, category string, extracted_text string")
+    assert [tuple(r) for r in findings.scan_inputs(docs, 2).collect()] == [(7, 2, "w", "work", 1, "c")]
+    assert findings.scan_inputs(docs, 3).count() == 0  # it is there, but has no text
+    assert {(r["work_id"], r["contract_id"]) for r in findings.scan_inputs(docs).collect()} == {(2, 1), (4, None)}
+    for unknown in (1, 99):
+        with pytest.raises(LookupError):
+            findings.scan_inputs(docs, unknown)
+    assert [tuple(r) for r in findings.whole_contexts(findings.scan_contexts(docs)).collect()] == [(7, "--- Document: c ---\nterms")]
