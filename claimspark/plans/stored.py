@@ -71,6 +71,31 @@ def cascade_over_references(spark, sf):
     return shown("contractors", "id", "id").unionByName(shown("projects", "contractor_id", "id")).unionByName(shown("findings", "project_id", "id")).unionByName(shown("items", "id", "id")).unionByName(shown("ledger", "letter_id", "item_id"))
 
 
+def stored_cascade(spark, sf):
+    """The same deletes on stored tables: only partitions that hold something that goes, or refers to it, are rewritten."""
+    top = scratch(spark)
+    sixteenth = lambda c: F.pmod(F.col(c), F.lit(16)).cast("int").alias("part")
+    tables = {
+        "contractors": V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.lit(0).alias("part")), "projects": V.projects(spark, sf).select("id", "contractor_id", sixteenth("contractor_id")),
+        "findings": V.findings(spark, sf).select("id", "project_id", sixteenth("project_id")), "items": V.items(spark, sf).select("id", sixteenth("id")),
+        "ledger": V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("letter_id"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("item_id"), sixteenth("l_partkey")),
+    }
+    for name, rows in tables.items():
+        rows.write.partitionBy("part").parquet(f"{top}/{name}")
+    held = {name: stored.StoredTable(f"{top}/{name}", ["part"]) for name in tables}
+    doomed = {"contractors": tables["contractors"].filter("id % 5 = 2").select("id"), "items": tables["items"].filter("id % 112 = 3").select("id")}
+    stored.delete_cascade(spark, held, REFERENCES, doomed)
+    after = {name: spark.read.parquet(t.path) for name, t in held.items()}
+    shown = lambda name, of: after[name].groupBy("part").agg(F.count("*").alias("n_rows"), F.count(of).alias("n_referring")).select(F.lit(name).alias("tbl"), F.col("part").cast("int").alias("part"), "n_rows", "n_referring")
+    return shown("contractors", "id").unionByName(shown("projects", "contractor_id")).unionByName(shown("findings", "project_id")).unionByName(shown("items", "id")).unionByName(shown("ledger", "item_id"))
+
+
+STORED_CASCADE = """WITH p AS (SELECT c_custkey AS id, c_nationkey AS contractor FROM customer WHERE c_nationkey % 5 <> 2), f AS (SELECT o_orderkey AS id, o_custkey AS project FROM orders WHERE o_custkey IN (SELECT id FROM p))
+SELECT 'contractors' AS tbl, 0 AS part, count(*) AS n_rows, count(*) AS n_referring FROM nation WHERE n_nationkey % 5 <> 2 HAVING count(*) > 0
+UNION ALL SELECT 'projects', CAST(contractor % 16 AS INTEGER), count(*), count(*) FROM p GROUP BY 2 UNION ALL SELECT 'findings', CAST(project % 16 AS INTEGER), count(*), count(*) FROM f GROUP BY 2
+UNION ALL SELECT 'items', CAST(p_partkey % 16 AS INTEGER), count(*), count(*) FROM part WHERE p_partkey % 112 <> 3 GROUP BY 2
+UNION ALL SELECT 'ledger', CAST(l_partkey % 16 AS INTEGER), count(*), count(*) FILTER (l_partkey % 112 <> 3) FROM lineitem WHERE l_orderkey IN (SELECT id FROM f) GROUP BY 2"""
+
 CASCADE = """WITH p AS (SELECT c_custkey AS id, c_nationkey AS contractor FROM customer WHERE c_nationkey % 5 <> 2), f AS (SELECT o_orderkey AS id, o_custkey AS project FROM orders WHERE o_custkey IN (SELECT id FROM p))
 SELECT 'contractors' AS tbl, CAST(n_nationkey AS BIGINT) AS parent, count(*) AS n_rows, count(*) AS n_referring FROM nation WHERE n_nationkey % 5 <> 2 GROUP BY 2
 UNION ALL SELECT 'projects', CAST(contractor AS BIGINT), count(*), count(*) FROM p GROUP BY 2 UNION ALL SELECT 'findings', CAST(project AS BIGINT), count(*), count(*) FROM f GROUP BY 2
@@ -139,6 +164,7 @@ QUERIES = {
     "rows_quarantined": (rows_quarantined, QUARANTINED),
     "stored_ledger_changed": (stored_ledger_changed, STORED),
     "cascade_over_references": (cascade_over_references, CASCADE),
+    "stored_cascade": (stored_cascade, STORED_CASCADE),
     "workbook_rows": (workbook_rows, BOOKS + "SELECT file, sheet, position, row_no, item_code, CAST(rate AS VARCHAR) AS rate FROM placed"),
     "workbook_first_sheets": (workbook_first_sheets, BOOKS + "SELECT file, sheet, count(*) AS n_rows, max(description) AS last_description FROM placed WHERE position = 0 GROUP BY 1, 2"),
     "workbook_census": (workbook_census, BOOKS + "SELECT file, sheet, position, 'visible' AS state, 'A1:D' || (count(*) + 1) AS cell_range, count(*) + 1 AS n_rows FROM placed GROUP BY 1, 2, 3"),

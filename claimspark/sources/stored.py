@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.operators.changes import update_where
 from claimspark.operators.constraints import Constraints, judged
+from claimspark.operators.references import Reference, going, in_order
 
-from .shared import exists, remove
+from .shared import exists, kept, remove
 
 TAKEN, REFUSED = "taken", "refused"
 
@@ -102,3 +104,33 @@ def update_stored_where(spark: SparkSession, path: str, by: list[str], where: Co
     if moved := set(values) & set(by):
         raise ValueError(f"an update can't move rows to other partitions: {', '.join(sorted(moved))}")
     return rewrite(spark, path, by, lambda t: t.filter(where), lambda rows: update_where(rows, where, values))
+
+
+class StoredTable(NamedTuple):
+    """Where a table is, by which columns it is partitioned, and its key."""
+
+    path: str
+    by: list[str]
+    key: str = "id"
+
+
+def delete_cascade(spark: SparkSession, tables: dict[str, StoredTable], references: list[Reference], doomed: dict[str, DataFrame]) -> dict[str, int]:
+    """Deletes the rows of `doomed` (table to rows with its keys) with all that goes with them, and makes other references to them null; rewritten partitions per table.
+
+    What goes is found first, from the tables as they are, and written as keys; then each table is rewritten, children before parents, so that a stop leaves no child
+    without its parent and the same call can be made again.
+    """
+    read = {name: spark.read.parquet(t.path) for name, t in tables.items()}
+    gone = going(read, references, doomed, kept)
+    done = dict.fromkeys(tables, 0)
+    for name in [n for n in reversed(in_order(references)) if n in tables]:
+        t = tables[name]
+        for r in (r for r in references if r.child == name and r.parent in gone):
+            keys = gone[r.parent].select(F.col(r.key).alias(r.column)).dropna().distinct()
+            if r.cascade:
+                done[name] += delete_stored(spark, t.path, t.by, keys, r.column)
+            else:
+                done[name] += update_stored(spark, t.path, t.by, keys, r.column, {r.column: F.lit(None)})
+        if name in doomed:
+            done[name] += delete_stored(spark, t.path, t.by, doomed[name].select(t.key), t.key)
+    return done

@@ -205,3 +205,19 @@ def test_kpis_of_streamed_changes(spark, tmp_path):
     after = rows.filter("line_no > 2").unionByName(changed.select(names))
     shown = lambda df: sorted(json.dumps([str(x) for x in r]) for r in df.select(sorted(df.columns)).collect())
     assert shown(sinks.streamed_kpis(spark, str(tmp_path / "kpis"), projects)) == shown(L.kpis(after, projects))
+
+
+def test_stored_tables_cascade(spark, tmp_path):
+    rows = {"a": [(i, i % 3) for i in range(9)], "b": [(i, i % 9, i % 3) for i in range(30)], "c": [(i, i % 30, i % 9, i % 30 % 9 % 3) for i in range(90)]}
+    schemas = {"a": "id bigint, part int", "b": "id bigint, a_id bigint, part int", "c": "id bigint, b_id bigint, seen_by bigint, part int"}
+    held = {n: stored.StoredTable(str(tmp_path / n), ["part"]) for n in rows}
+    for n, r in rows.items():
+        spark.createDataFrame(r, schemas[n]).write.partitionBy("part").parquet(held[n].path)
+    graph = [Reference("b", "a_id", "a"), Reference("c", "b_id", "b"), Reference("c", "seen_by", "a", cascade=False)]
+    before = snapshot(held["b"].path)
+    done = stored.delete_cascade(spark, held, graph, {"a": spark.createDataFrame([(3,), (77,)], "id bigint")})
+    b = [r for r in rows["b"] if r[1] != 3]
+    c = [(i, x, None if s == 3 else s, p) for i, x, s, p in rows["c"] if x in {r[0] for r in b}]
+    got = {n: sorted((tuple(r) for r in spark.read.parquet(held[n].path).select(*[x.split()[0] for x in schemas[n].split(", ")]).collect()), key=lambda r: r[0]) for n in rows}
+    assert got == {"a": [r for r in rows["a"] if r[0] != 3], "b": b, "c": c}
+    assert done["a"] == done["b"] == 1 and {n: v for n, v in snapshot(held["b"].path).items() if v[0] != "part=0"} == {n: v for n, v in before.items() if v[0] != "part=0"}
