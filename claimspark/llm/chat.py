@@ -9,6 +9,8 @@ lengths and numbers of items); calls
 get topological levels by rounds of joins, one a level; each message is one row of canonical JSON (keys sorted, no spaces).
 Order is given by columns (anchor_turn, level, part, turn), so a conversation of any length is never gathered in one task.
 
+Of a schema's other keywords (`$ref`, `anyOf`, `pattern` and so on) `unchecked` has the names: such a call may be `valid` only as far as it was checked.
+
 Nothing of a turn is lost: `extra` has a call's or result's fields that `json` doesn't show, `turn_json` (at a turn's first
 call) the turn's fields besides its calls, such as its content; both are canonical JSON, or null if there are none. Of JSON
 that variants can't hold (a repeated key) they have the text as it is.
@@ -32,6 +34,8 @@ from .common import cut, or_empty, tidy
 CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,depends_on:array<string>,function:struct<name:string,arguments:string>>>"
 TOOL = "name:string,required:array<string>,types:map<string,string>,parameters:string,function:struct<name:string,parameters:string>"
 TOOLS = f"tools array<struct<{TOOL}>>"
+#: Keywords of JSON schemas that aren't checked (as patterns).
+UNCHECKED = [r"\$ref", r"\$dynamicRef", "allOf", "anyOf", "oneOf", "not", "if", "pattern", "format", "patternProperties", "propertyNames", "dependentRequired", "dependentSchemas", "minProperties", "maxProperties", "uniqueItems", "contains", "prefixItems", "multipleOf", "unevaluatedProperties", "unevaluatedItems"]
 #: JSON types and how a variant's schema shows them.
 JSON_TYPES = {"string": "STRING", "boolean": "BOOLEAN", "integer": "BIGINT|DECIMAL\\([0-9]+,0\\)", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
 
@@ -60,6 +64,12 @@ def _is(kind: Column, name: Column) -> Column:
     return F.coalesce(F.regexp_like(kind, F.concat(F.lit("^("), F.coalesce(F.element_at(known, name), F.lit(".*")), F.lit(")$"))), F.lit(False))
 
 
+def unchecked(schema: Column) -> Column:
+    """Keywords that a schema uses and `unfit` doesn't check, in order; null if there are none, so that `valid` says all."""
+    used = F.array_sort(F.array_distinct(F.regexp_extract_all(schema, F.lit(f'"({"|".join(UNCHECKED)})"\\s*:'), F.lit(1))))
+    return F.when(F.size(used) > 0, F.array_join(used, ","))
+
+
 @tidy
 def unfit(pairs: DataFrame) -> DataFrame:
     """Those keys of pairs (key, value, schema: JSON texts) whose value breaks its schema. A round of each depth."""
@@ -116,7 +126,7 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(turns: DataFrame) -> DataFrame:
-    """One row a message, call or result: conv_id, turn, role, kind, call_id, tool, linked, valid, anchor_turn, level, part, json, extra, turn_json, declared."""
+    """One row a message, call or result: conv_id, turn, role, kind, call_id, tool, linked, valid, anchor_turn, level, part, json, extra, turn_json, declared, unchecked."""
     t = turns.select("conv_id", "turn", "role", "text")
     parsed = t.withColumn("_c", F.when((F.col("role") == "assistant") & _json_like("text"), F.from_json("text", CALLS))).withColumn("_r", F.when((F.col("role") == "tool") & _json_like("text"), F.from_json("text", "tool_call_id string, content string"))).withColumn("_t", F.when((F.col("role") == "system") & _json_like("text"), F.from_json("text", TOOLS)))
     has_calls, has_result = F.coalesce(F.size("_c.tool_calls") > 0, F.lit(False)), F.col("_r.tool_call_id").isNotNull()
@@ -136,7 +146,7 @@ def link_tool_calls(turns: DataFrame) -> DataFrame:
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), F.lit(False))
     checked = calls.join(declared, ["conv_id", "tool"], "left").withColumn("kinds", F.when(is_object, kinds)).withColumn("valid", is_object & F.coalesce(fits & there, F.lit(False)))
     schema = F.coalesce("d.parameters", "d.function.parameters")
-    checked = cut(checked.select("conv_id", "turn", "role", "part", "call_id", "tool", "arguments", "depends_on", "extra", "turn_json", "valid", F.col("d").isNotNull().alias("declared"), F.when(F.col("valid"), schema).alias("schema")))
+    checked = cut(checked.select("conv_id", "turn", "role", "part", "call_id", "tool", "arguments", "depends_on", "extra", "turn_json", "valid", F.col("d").isNotNull().alias("declared"), unchecked(schema).alias("unchecked"), F.when(F.col("valid"), schema).alias("schema")))
     key = F.sha2(F.concat(F.length("schema"), F.lit(" "), F.col("schema"), F.col("arguments")), 256)
     broken = unfit(checked.filter("schema is not null").select(key.alias("key"), F.col("arguments").alias("value"), "schema").distinct())
     checked = checked.withColumn("key", key).join(broken.withColumn("broken", F.lit(True)), "key", "left").withColumn("valid", F.col("valid") & F.col("broken").isNull()).drop("key", "broken", "schema")
@@ -150,9 +160,9 @@ def link_tool_calls(turns: DataFrame) -> DataFrame:
     answers = answered.filter("linked").groupBy("conv_id", "call_id").agg(F.count("*").alias("answers"))
     asked = checked.join(placed, ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left")
     own = F.coalesce((F.col("turn") == F.col("call_turn")) & (F.col("part") == F.col("call_part")), F.lit(False))
-    call_rows = asked.select("conv_id", "turn", "role", F.lit("call").alias("kind"), "call_id", "tool", (own & F.col("answers").isNotNull()).alias("linked"), "valid", F.col("turn").alias("anchor_turn"), F.when(own, F.col("level")).alias("level"), "part", F.to_json(F.struct(F.coalesce(F.try_parse_json("arguments"), F.try_parse_json(F.to_json(F.array("arguments")))).alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name"), "role")).alias("json"), "extra", "turn_json", "declared")
+    call_rows = asked.select("conv_id", "turn", "role", F.lit("call").alias("kind"), "call_id", "tool", (own & F.col("answers").isNotNull()).alias("linked"), "valid", F.col("turn").alias("anchor_turn"), F.when(own, F.col("level")).alias("level"), "part", F.to_json(F.struct(F.coalesce(F.try_parse_json("arguments"), F.try_parse_json(F.to_json(F.array("arguments")))).alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name"), "role")).alias("json"), "extra", "turn_json", "declared", "unchecked")
     none = F.lit(None).cast("string")
-    result_rows = answered.select("conv_id", "turn", "role", F.lit("result").alias("kind"), "call_id", F.lit(None).cast("string").alias("tool"), "linked", F.col("linked").alias("valid"), F.when(F.col("linked"), F.col("call_turn")).otherwise(F.col("turn")).alias("anchor_turn"), F.when(F.col("linked"), F.col("level")).alias("level"), F.when(F.col("linked"), F.col("call_part")).otherwise(F.lit(0)).alias("part"), F.to_json(F.struct("content", "role", F.col("call_id").alias("tool_call_id"))).alias("json"), "extra", none.alias("turn_json"), F.lit(None).cast("boolean").alias("declared"))
+    result_rows = answered.select("conv_id", "turn", "role", F.lit("result").alias("kind"), "call_id", F.lit(None).cast("string").alias("tool"), "linked", F.col("linked").alias("valid"), F.when(F.col("linked"), F.col("call_turn")).otherwise(F.col("turn")).alias("anchor_turn"), F.when(F.col("linked"), F.col("level")).alias("level"), F.when(F.col("linked"), F.col("call_part")).otherwise(F.lit(0)).alias("part"), F.to_json(F.struct("content", "role", F.col("call_id").alias("tool_call_id"))).alias("json"), "extra", none.alias("turn_json"), F.lit(None).cast("boolean").alias("declared"), none.alias("unchecked"))
     plain = parsed.filter(~has_calls & ~has_result)
-    plain_rows = plain.select("conv_id", "turn", "role", F.lit("message").alias("kind"), none.alias("call_id"), none.alias("tool"), F.lit(False).alias("linked"), F.lit(True).alias("valid"), F.col("turn").alias("anchor_turn"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("part"), F.to_json(F.struct(or_empty(F.col("text")).alias("content"), or_empty(F.col("role")).alias("role"))).alias("json"), none.alias("extra"), none.alias("turn_json"), F.lit(None).cast("boolean").alias("declared"))
+    plain_rows = plain.select("conv_id", "turn", "role", F.lit("message").alias("kind"), none.alias("call_id"), none.alias("tool"), F.lit(False).alias("linked"), F.lit(True).alias("valid"), F.col("turn").alias("anchor_turn"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("part"), F.to_json(F.struct(or_empty(F.col("text")).alias("content"), or_empty(F.col("role")).alias("role"))).alias("json"), none.alias("extra"), none.alias("turn_json"), F.lit(None).cast("boolean").alias("declared"), none.alias("unchecked"))
     return plain_rows.unionByName(call_rows).unionByName(result_rows)

@@ -126,6 +126,12 @@ def _clean() -> None:
         _remove(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as run at once, if it has fewer, as a file of one row group has; a table of more partitions stays as it is and isn't shuffled."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, items: Column | None = None) -> DataFrame:
     """A broadcast hint if df, which should be cheap to count, has at most `rows` narrow rows; else df as it is. items: how many narrow rows a row counts for."""
     n = df.limit(rows + 1).count() if items is None else df.agg(F.coalesce(F.sum(items), F.lit(0))).first()[0]

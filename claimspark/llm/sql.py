@@ -126,7 +126,7 @@ SECRETS = _secrets(300)
 
 #: Plain messages, which is all that the given tables hold; where turns hold calls or results, it has no rows for them.
 TOOL_CALLS = """SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS tool, false AS linked, true AS valid, turn AS anchor_turn, CAST(NULL AS INTEGER) AS level, CAST(0 AS INTEGER) AS part,
-  CAST(to_json({'content': coalesce(text, ''), 'role': coalesce(role, '')}) AS VARCHAR) AS json, CAST(NULL AS VARCHAR) AS extra, CAST(NULL AS VARCHAR) AS turn_json, CAST(NULL AS BOOLEAN) AS declared
+  CAST(to_json({'content': coalesce(text, ''), 'role': coalesce(role, '')}) AS VARCHAR) AS json, CAST(NULL AS VARCHAR) AS extra, CAST(NULL AS VARCHAR) AS turn_json, CAST(NULL AS BOOLEAN) AS declared, CAST(NULL AS VARCHAR) AS unchecked
   FROM conversations WHERE NOT coalesce(CASE WHEN json_valid(text) THEN role = 'assistant' AND json_array_length(text, '$.tool_calls') > 0 OR role = 'tool' AND json_exists(text, '$.tool_call_id') END, false)"""
 
 #: Cuts by the hash of the id; the parts in the form's order.

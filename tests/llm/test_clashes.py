@@ -48,3 +48,37 @@ def test_tables_cut_on_the_way_are_removed(spark, docs):
     before = set(common._written)
     out = neardup.near_duplicates(docs.select("doc_id", "text"))
     assert len(set(common._written) - before) == 1 and out.count() == 4
+
+
+QUERY_NAMES = ["_all", "_gone", "_items", "_hits", "_kept", "_q", "_row", "n_bytes", "matches", "cuts", "n_lines", "words", "key", "print", "row", "n", "form", "output"]
+
+
+@pytest.fixture(scope="module")
+def two_folders(spark, tmp_path_factory):
+    """The same tables with and without columns that operators or queries add inside."""
+    data, plain, clashing = "/root/testdata/sf0.001", str(tmp_path_factory.mktemp("plain")), str(tmp_path_factory.mktemp("clash"))
+    for table in ("documents", "benchmark", "labels", "conversations"):
+        rows = spark.read.parquet(f"{data}/{table}.parquet")
+        rows = rows.limit(90) if table == "documents" else rows
+        rows.write.parquet(f"{plain}/{table}.parquet")
+        more = rows.withColumns({c: F.lit(True) if c == "_kept" else F.array(F.lit(1)) if c in ("_gone", "_items", "cuts") else F.lit("own") for c in QUERY_NAMES if c not in rows.columns})
+        more.write.parquet(f"{clashing}/{table}.parquet")
+    return plain, clashing
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries_give_the_same_with_clashing_columns(spark, two_folders, name):
+    a, b = (queries.queries()[name](spark, at) for at in two_folders)
+    assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_stages_give_the_same_with_clashing_columns(spark, two_folders):
+    import corpus_pipeline
+
+    sides = [spark.read.parquet(f"{at}/documents.parquet") for at in two_folders]
+    for name, stage in corpus_pipeline.STAGES:
+        before = [d.columns for d in sides]
+        sides = [stage(spark, d, at) for d, at in zip(sides, two_folders, strict=True)]
+        own = sides[0].columns
+        assert sorted(map(repr, sides[0].select(own).collect())) == sorted(map(repr, sides[1].select(own).collect())), name
+        assert name == "best-fit packing" or [d.columns for d in sides] == before

@@ -24,3 +24,21 @@ def test_op2_many_spans_in_one_text(spark):
     base = pii.base_spans(t)
     spans = pii.all_spans(t, base, forest)
     assert len(base) == 3000 and len(spans) >= 3000 and all(a[2] <= b[1] or a[0] != b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_op2_candidates_are_whole():
+    """Long local parts, many labels, long numbers: what is proposed is the whole of it."""
+    long = "x" * 80
+    for text, kind in [(f"write {long} [at] example [dot] com now", "email"), ("joe [at] a [dot] bb [dot] cc [dot] dd [dot] ee [dot] com, or", "email"), (f"a.b-c_{long}%+ (at) {long}.org", "email"), ("card 1234567890123456789 ok", "card"), ("card 12345678901234567 ok", "card")]:
+        lead = len(text.split(" ")[0]) + 1 if not text.startswith(("joe", "a.b")) else 0
+        end = max(text.rfind(e) + len(e) for e in ("com", "org", "6789", "4567") if e in text)
+        assert (kind, lead, end) in pii.candidates(text), (text, pii.candidates(text))
+
+
+def test_op2_candidates_take_time_as_the_text():
+    import time
+
+    for bit in ("a.", "-", "a at ", "x@y ", "1", "a [dot] "):
+        at = time.time()
+        pii.candidates(bit * 200_000)
+        assert time.time() - at < 5, bit

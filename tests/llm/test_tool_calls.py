@@ -82,3 +82,12 @@ def test_op3_levels_of_a_long_chain(spark):
     calls = [{"id": f"c{k}", "name": "t", "arguments": {}, "depends_on": [f"c{k - 1}"] if k else []} for k in range(12)]
     df = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": calls}))], "conv_id bigint, turn bigint, role string, text string")
     assert {r["call_id"]: r["level"] for r in chat.link_tool_calls(df).collect()} == {f"c{k}": k for k in range(12)}
+
+
+def test_op3_calls_behind_white_space_and_unchecked_keywords(spark):
+    tools = '\n\t{"tools":[{"name":"w","parameters":{"type":"object","properties":{"a":{"anyOf":[{"type":"string"}],"pattern" : "x"}}}},{"name":"v","parameters":{"type":"object"}}]}'
+    call = '\r\n {"tool_calls":[{"id":"1","name":"w","arguments":"{\\"a\\":1}"},{"id":"2","name":"v","arguments":"{}"}]}'
+    turns = [(1, 0, "system", tools), (1, 1, "assistant", call), (1, 2, "tool", '\n{"tool_call_id":"1","content":"done"}')]
+    out = chat.link_tool_calls(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert {r["call_id"]: (r["linked"], r["valid"], r["unchecked"]) for r in out if r["kind"] == "call"} == {"1": (True, True, "anyOf,pattern"), "2": (False, True, None)}
+    assert [r["linked"] for r in out if r["kind"] == "result"] == [True]
