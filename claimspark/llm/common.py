@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import shutil
 import tempfile
@@ -148,6 +149,13 @@ def ready_for_arrow(spark: SparkSession, size: str = "4m") -> None:
         sc.addPyFile(shutil.make_archive(f"{sc._claimspark_sent.name}/claimspark_llm", "zip", top, "claimspark"))
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the machine: workers live on, and other stages' come beside them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column of a batch as UTF-8; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
@@ -164,6 +172,7 @@ def with_arrow(df: DataFrame, keep: list[str], new: str, rows_of: Callable[[pa.R
         for b in batches:
             made = rows_of(b)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [x.cast(f.type) if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in added], schema=pa.schema([b.schema.field(k) for k in keep] + list(added)))
+        give_back()
 
     ready_for_arrow(df.sparkSession)
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, ascii_lower, cut, or_empty, ready_for_arrow, small_side, tidy
+from .common import arrow_column, ascii_lower, cut, give_back, or_empty, ready_for_arrow, small_side, tidy
 
 #: Documents and words after which a shard ends; nodes opened at once; queries of a block.
 DOCS, WORDS, OPENED, QUERIES = 8192, 2_000_000, 64, 1024
@@ -98,6 +98,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     held = _Builder()
         if held.ids:
             yield pa.RecordBatch.from_pylist([held.shard(n_docs, n_terms)], schema)
+        give_back()
 
     schema = _arrow(INDEX)
     ready_for_arrow(docs.sparkSession)
@@ -222,6 +223,7 @@ def _block(index: DataFrame, planned: DataFrame, k: int) -> DataFrame:
                     best[q] = shard.search(terms, k, best[q])
         found = [(q, None if d == LAST else d, s) for q, (scores, ids) in best.items() for s, d in zip(scores.tolist(), ids.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["query", "doc_id", "score"])
+        give_back()
 
     ready_for_arrow(index.sparkSession)
     rows = index.select("docs", "terms", "counts", "impacts", "bits").mapInArrow(run, "query bigint, doc_id bigint, score bigint")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, cut, free, let, ready_for_arrow, row_key, small_side, tidy, with_arrow
+from .common import arrow_column, cut, free, give_back, let, ready_for_arrow, row_key, small_side, tidy, with_arrow
 from .words import INVERSE, PRIME, mixed, powers, word_hashes
 
 #: Least class of lines that lose one of three parts; shorter lines lose single words.
@@ -141,6 +141,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least: int, exact: int) -> D
             of, number = of[good], number[good]
             h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(lines[i].split())) for i in np.flatnonzero(good)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of, pa.int32())) for c in ("row", "doc_id")), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), _keys_from(found, least)], names=["row", "doc_id", "line_no", "hi", "lo", "keys"])
+        give_back()
 
     ready_for_arrow(docs.sparkSession)
     src = docs.select(_row(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

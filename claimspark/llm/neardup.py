@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_column, cut, free, ready_for_arrow, row_key, small_side, tidy, with_arrow
+from .common import BROADCAST_ROWS, arrow_column, cut, free, give_back, ready_for_arrow, row_key, small_side, tidy, with_arrow
 from .words import lower, mixed, word_hashes
 
 SHINGLE, SAMPLES, ROWS, BITS = 5, 128, 4, 1024
@@ -219,6 +219,7 @@ def _in_units(rows: DataFrame, threshold: int, full: bool) -> DataFrame:
                 held.append(row)
         if held:
             yield flush()
+        give_back()
 
     ready_for_arrow(rows.sparkSession)
     return rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "a bigint, b bigint" if full else "key bigint, low int, high int, node bigint")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_column, cut, ready_for_arrow, small_side, tidy, with_arrow
+from .common import arrow_column, cut, give_back, ready_for_arrow, small_side, tidy, with_arrow
 from .neardup import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -143,6 +143,7 @@ def _in_units(rows: DataFrame, radius: int) -> DataFrame:
                 held.append((prints[i:j].copy(), second[i:j].copy()))
         if held:
             yield links()
+        give_back()
 
     ready_for_arrow(rows.sparkSession)
     return rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "a bigint, b bigint")

@@ -26,7 +26,7 @@ from .common import arrow_column, free, with_arrow
 #: A space run after a character that is neither a space nor the space mark, with something behind it.
 SAFE = re.compile("(?<=[^ ▁]) (?= *[^ ])")
 #: Bytes of one call to the library; pieces whose lengths a worker remembers at most, and their greatest length.
-CALL_BYTES, REMEMBERED, LONGEST = 1 << 20, 500_000, 64
+CALL_BYTES, REMEMBERED, LONGEST = 1 << 20, 200_000, 64
 
 
 @lru_cache(maxsize=4)
