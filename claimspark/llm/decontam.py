@@ -107,7 +107,8 @@ def verified(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, overlap: in
     items = benchmark.select("item_id", words("text").alias("b")).dropDuplicates(["item_id", "b"])
     by_item = hits.groupBy("_row", "item_id").agg(F.collect_list("shift").alias("shifts")).join(small_side(items), "item_id")  # shifts of one text, no more than its words
     near = cut(by_item.groupBy("_row").agg(F.collect_list(F.struct("item_id", "b", "shifts")).alias("near")))
-    both = docs.select(row_key(doc_id, text).alias("_row"), F.col(text).alias("_t")).join(small_side(near, items=F.size("near")), "_row").dropDuplicates(["_row"]).select("_row", "near", words("_t").alias("_w"))
+    wide = F.aggregate("near", F.lit(0), lambda s, x: s + 8 + F.size(x["b"]) + F.size(x["shifts"])) / 8  # in narrow rows
+    both = docs.select(row_key(doc_id, text).alias("_row"), F.col(text).alias("_t")).join(small_side(near, items=wide), "_row").dropDuplicates(["_row"]).select("_row", "near", words("_t").alias("_w"))
 
     def at(w: Column, item: Column, shift: Column) -> Column:
         """The stretch at a shift: where it starts, its words, and whether enough of them agree."""
