@@ -14,6 +14,7 @@ base rules act; extra columns are carried through, and an added column whose nam
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,8 +71,8 @@ def _log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series after a shift by 10, to about 1e-13."""
     x = n + 11.0
     series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-    shift = sum((F.log(n + float(j)) for j in range(2, 11)), F.log(n + 1.0))
-    return series - shift
+    shift = reduce(lambda a, b: a * b, [n + float(j) for j in range(1, 11)])
+    return series - F.log(shift)
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -103,9 +104,9 @@ def certified_cutoffs(rated: DataFrame, labels: DataFrame, stratum: str, doc_id:
     metrics = F.create_map(*[x for k in GRIDS for x in (F.lit(k), F.col(k))])
     lost_at = F.array_position(F.transform("rules", lambda r: F.element_at(metrics, r["rule"]) > r["cut"]), True)
     held = seen.filter("good and not tune").join(small_side(chosen), "_stratum").groupBy("_stratum").agg(F.count("*").cast("double").alias("n"), *[F.count_if((lost_at > 0) & (lost_at <= i)).cast("double").alias(f"k{i}") for i in range(1, len(GRIDS) + 1)])
-    sure = F.array(*[binomial_tail(F.col(f"k{i}"), F.col("n"), risk) <= level / tests_made for i in range(1, len(GRIDS) + 1)])
-    first_unsure = F.array_position(sure, False)  # 0: all are
-    acting = held.select("_stratum", F.when(first_unsure == 0, len(GRIDS)).otherwise(first_unsure - 1).cast("int").alias("m")).join(chosen, "_stratum")
+    each = held.select("_stratum", "n", F.posexplode(F.array(*[F.col(f"k{i}") for i in range(1, len(GRIDS) + 1)])).alias("before", "k"))
+    unsure = F.when(binomial_tail(F.col("k"), F.col("n"), risk) > level / tests_made, F.col("before"))  # so many rules act before it
+    acting = each.groupBy("_stratum").agg(F.coalesce(F.min(unsure), F.lit(len(GRIDS))).cast("int").alias("m")).join(chosen, "_stratum")
     taken = F.slice("rules", F.lit(1), F.col("m"))
     return acting.filter("m > 0").select("_stratum", F.map_from_entries(F.transform(taken, lambda r: F.struct(r["rule"], r["cut"]))).alias("_cuts"))
 
