@@ -6,7 +6,7 @@ types: argument to JSON type, or a JSON schema as `parameters`). Calls and decla
 Calls and results are joined by (conversation, id); arguments are validated against the declared types, and by rounds of
 joins, one a depth, against the schema (type, enum, const, required, properties, additionalProperties false, items, bounds of numbers,
 lengths and numbers of items); calls
-get topological levels by rounds of joins, one a level; each message is one row of canonical JSON (keys sorted, no spaces).
+get topological levels by rounds of joins, chains by doubling; each message is one row of canonical JSON (keys sorted, no spaces).
 Order is given by columns (anchor_turn, level, part, turn), so a conversation of any length is never gathered in one task.
 
 Of a schema's other keywords (`$ref`, `anyOf`, `pattern` and so on) `unchecked` has the names: such a call may be `valid` only as far as it was checked.
@@ -105,24 +105,52 @@ def unfit(pairs: DataFrame) -> DataFrame:
     return pairs.select("key").limit(0) if found is None else found.distinct()
 
 
+def _chains(one: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, dist, open) of calls with one dependency: the first call down the chain that has none or several, and how far it is; open if the chain goes round.
+
+    Each round doubles the steps. While any chain still has an end to reach, the one nearest to its end reaches it, so a round without progress leaves circles only.
+    """
+    hop, before = cut(one.withColumn("dist", F.lit(1).cast("bigint")).withColumn("open", F.lit(True))), None
+    while True:
+        further = hop.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
+        hop = cut(hop.join(further, ["conv_id", "to"], "left").select("conv_id", "call_id", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_to").isNotNull().alias("open")))
+        now = hop.filter("open").count()
+        if now in (0, before):
+            return hop
+        before = now
+
+
 @tidy
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of linked calls: 0 without known dependencies, else one more than the latest of them; null on cycles.
+    """(conv_id, call_id, level) of linked calls: 0 without known dependencies, else one more than the latest of them; null on cycles, and for calls that wait for one.
 
-    Each round drops the dependencies on the calls of the last level; calls that have none left make the next. A round reads what is left only.
+    Chains of calls with one dependency each are walked by doubling. Calls with several then wait for the ends of those chains: a round gives the level of all whose last
+    dependency has one, and reads what is left only.
     """
-    names = calls.select("conv_id", "call_id")
-    left = cut(calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("on")).join(names.withColumnRenamed("call_id", "on"), ["conv_id", "on"]))
-    now = names.join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    names, call = calls.select("conv_id", "call_id"), ["conv_id", "call_id"]
+    edges = cut(calls.select(*call, F.explode(F.array_distinct("depends_on")).alias("on")).join(names.withColumnRenamed("call_id", "on"), ["conv_id", "on"]))
+    if edges.isEmpty():
+        return names.withColumn("level", F.lit(0))
+    wants = edges.groupBy(*call).agg(F.count("*").alias("n"), F.first("on").alias("to"))
+    chains = _chains(wants.filter("n = 1").select(*call, "to"))
+    ends = chains.select("conv_id", F.col("call_id").alias("on"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
+    left = edges.join(wants.filter("n > 1").select(*call), call, "left_semi").join(ends, ["conv_id", "on"], "left")
+    left = cut(left.select(*call, F.coalesce("_to", "on").alias("to"), (F.coalesce("_dist", F.lit(0)) + 1).alias("more"), F.lit(None).cast("bigint").alias("got")))
+    now = names.join(edges.select(*call), call, "left_anti").withColumn("level", F.lit(0).cast("bigint"))
     done = [now]
     while not left.isEmpty():
-        still = cut(left.join(now.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti"))
-        now = cut(left.select("conv_id", "call_id").distinct().join(still, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(len(done))))
+        at = now.select("conv_id", F.col("call_id").alias("to"), "level")
+        seen = cut(left.join(at, ["conv_id", "to"], "left").select(*call, "to", "more", F.coalesce("got", F.col("level") + F.col("more")).alias("got")))
+        now = cut(seen.groupBy(*call).agg(F.max("got").alias("level"), F.count_if(F.col("got").isNull()).alias("open")).filter("open = 0").drop("open"))
         if now.isEmpty():
             break  # the rest are on cycles, or wait for one
         done.append(now)
-        left = still
-    return names.join(reduce(DataFrame.unionByName, done), ["conv_id", "call_id"], "left")
+        left = cut(seen.join(now, call, "left_anti"))
+        if len(done) > 16:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+    found = cut(reduce(DataFrame.unionByName, done))
+    through = chains.filter("not open").join(found.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_level")), ["conv_id", "to"]).select(*call, (F.col("_level") + F.col("dist")).alias("level"))
+    return names.join(found.unionByName(through), call, "left").select(*call, F.col("level").cast("int").alias("level"))
 
 
 def link_tool_calls(turns: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 from claimspark.llm import chat
 
@@ -91,3 +92,24 @@ def test_op3_calls_behind_white_space_and_unchecked_keywords(spark):
     out = chat.link_tool_calls(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).collect()
     assert {r["call_id"]: (r["linked"], r["valid"], r["unchecked"]) for r in out if r["kind"] == "call"} == {"1": (True, True, "anyOf,pattern"), "2": (False, True, None)}
     assert [r["linked"] for r in out if r["kind"] == "result"] == [True]
+
+
+def test_op3_levels_of_long_chains_and_circles(spark):
+    rng = random.Random(12)
+    calls, expected = [], {}
+    for conv in range(30):
+        n = rng.randrange(1, 40)
+        deps = {i: sorted({rng.randrange(n + 2) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))}) for i in range(n)}  # forward, backward, to itself, to calls that aren't there
+        if conv % 3:
+            deps = {i: [d for d in ds if d < i] for i, ds in deps.items()}
+        level = {i: 0 for i, ds in deps.items() if not [d for d in ds if d < n]}
+        while new := {i: 1 + max(level[d] for d in ds if d < n) for i, ds in deps.items() if i not in level and all(d in level for d in ds if d < n)}:
+            level |= new
+        expected |= {(conv, str(i)): level.get(i) for i in deps}
+        calls += [(conv, str(i), [str(d) for d in ds] or None) for i, ds in deps.items()]
+    chain = 1000
+    calls += [(99, str(i), [str(i - 1)] if i else []) for i in range(chain)]
+    expected |= {(99, str(i)): i for i in range(chain)}
+    at = time.time()
+    got = chat.levels(spark.createDataFrame(calls, "conv_id bigint, call_id string, depends_on array<string>"))
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in got.collect()} == expected and time.time() - at < 60
