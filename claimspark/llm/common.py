@@ -139,7 +139,7 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, items: Column | None =
     return F.broadcast(df) if n <= rows else df
 
 
-def ready_for_arrow(spark: SparkSession, size: str = "4m") -> None:
+def ready_for_arrow(spark: SparkSession, size: str = "2m") -> None:
     """Bounds Arrow batches by bytes, as texts can be long, and sends this package to the workers once a context."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     sc = spark.sparkContext

@@ -143,7 +143,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least: int, exact: int) -> D
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of, pa.int32())) for c in ("row", "doc_id")), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), _keys_from(found, least)], names=["row", "doc_id", "line_no", "hi", "lo", "keys"])
         give_back()
 
-    ready_for_arrow(docs.sparkSession)
+    ready_for_arrow(docs.sparkSession, "1m")  # keys of lines take many times the text
     src = docs.select(_row(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return src.mapInArrow(rows_of, f"row binary, doc_id {src.schema['doc_id'].dataType.simpleString()}, line_no int, hi bigint, lo bigint, keys array<bigint>")
 

@@ -9,7 +9,7 @@ import numpy as np
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
 #: Bytes hashed at once; a piece ends before white space, so a longer word makes a longer piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
