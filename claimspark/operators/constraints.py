@@ -47,7 +47,7 @@ def judged(new: DataFrame, rules: Constraints, order: list[str], target: DataFra
         whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
         first = rows.filter(sound & whole).groupBy(*keys).agg(F.min(place).alias(f"_first{i}"))
         if target is not None:
-            there = target.select(*keys).dropna().distinct().withColumn(f"_there{i}", F.lit(True))
+            there = target.select(*keys).join(first.select(*keys), list(keys), "left_semi").distinct().withColumn(f"_there{i}", F.lit(True))  # a small load is broadcast, and the table isn't shuffled
             first = first.join(there, list(keys), "left")
         else:
             first = first.withColumn(f"_there{i}", F.lit(None).cast("boolean"))

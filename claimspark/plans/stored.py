@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from claimspark.functions import fixed as X
 from claimspark.operators import ledger as L
+from claimspark.operators.changes import one_row
 from claimspark.operators.constraints import Constraints
 from claimspark.operators.references import Reference, deleted
-from claimspark.sources import stored, views as V, workbooks
+from claimspark.sources import files, stored, views as V, workbooks
 from claimspark.sources.shared import kept, scratch
 from claimspark.streaming import sinks
 
@@ -126,6 +128,43 @@ def workbook_census(spark, sf):
     return workbooks.census(spark, _books(spark, sf))
 
 
+def workbook_heads(spark, sf):
+    """The first five rows of the workbooks' first sheets, headers left out."""
+    head = files.sheet_head(files.read_workbooks(spark, _books(spark, sf)), 5)
+    return head.select("file", "row_no", F.col("service_type").alias("first_cell"), F.col("item_code").alias("second_cell"))
+
+
+def workbooks_asked(spark, sf):
+    """The workbooks as files of a kind (with the MIME type that files have without a header), and what a function of type and base64 content says of each."""
+    found = files.read_documents(spark, _books(spark, sf))
+    return files.with_model(found, lambda mime, content: f"{mime} {content[:4]}").select("name", "kind", "mime", "response")
+
+
+def rows_appended(spark, sf):
+    """Items in batches of a price list each but for one, which comes row by row; a batch that fails writes nothing."""
+    path, rows = scratch(spark), V.items(spark, sf).select("id", "item_code", "pricelist_id", "rate")
+    files.append(rows.filter("pricelist_id <> 'Brand#1'"), path, ["pricelist_id"])
+    files.append(rows.filter("pricelist_id = 'Brand#1'"), path, ["pricelist_id"])
+    try:
+        files.append(rows.withColumn("rate", F.raise_error(F.lit("a batch that fails")).cast("decimal(15,2)")), path, ["pricelist_id"])
+    except PySparkException:  # the error is the caller's to handle; the table is as it was
+        pass
+    return spark.read.parquet(path).groupBy("pricelist_id").agg(F.count("*").alias("n_rows"), F.min("item_code").alias("first_code"), F.sum("rate").cast("decimal(18,2)").alias("rates"))
+
+
+def heads_dumped(spark, sf):
+    """The first rows as JSON lines, read again."""
+    path = scratch(spark)
+    files.write_head(V.items(spark, sf).select("item_code", "id", "description"), path, 7, ["item_code", "id"])
+    return spark.read.schema("item_code string, id bigint, description string").json(path)
+
+
+def only_project(spark, sf):
+    """The one project that has a key; none or several would be an error."""
+    row = one_row(V.projects(spark, sf).filter("id = 5"))
+    return spark.createDataFrame([row], V.projects(spark, sf).schema)
+
+
 BOOKS = f"WITH {V.ITEMS_SQL}, books AS (SELECT *, pricelist_id || '.xlsx' AS file, 'ch ' || substr(item_code, 1, 2) AS sheet FROM items), placed AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY file ORDER BY sheet) - 1 AS INTEGER) AS position, row_number() OVER (PARTITION BY file, sheet ORDER BY item_code, id) AS row_no FROM books) "
 
 
@@ -168,5 +207,10 @@ QUERIES = {
     "workbook_rows": (workbook_rows, BOOKS + "SELECT file, sheet, position, row_no, item_code, CAST(rate AS VARCHAR) AS rate FROM placed"),
     "workbook_first_sheets": (workbook_first_sheets, BOOKS + "SELECT file, sheet, count(*) AS n_rows, max(description) AS last_description FROM placed WHERE position = 0 GROUP BY 1, 2"),
     "workbook_census": (workbook_census, BOOKS + "SELECT file, sheet, position, 'visible' AS state, 'A1:D' || (count(*) + 1) AS cell_range, count(*) + 1 AS n_rows FROM placed GROUP BY 1, 2, 3"),
+    "workbook_heads": (workbook_heads, BOOKS + "SELECT file, row_no, item_code AS first_cell, description AS second_cell FROM placed WHERE position = 0 ORDER BY file, row_no LIMIT 5"),
+    "workbooks_asked": (workbooks_asked, BOOKS + "SELECT DISTINCT file AS name, 'sheet' AS kind, 'application/pdf' AS mime, 'application/pdf UEsD' AS response FROM placed"),
+    "rows_appended": (rows_appended, f"WITH {V.ITEMS_SQL} SELECT pricelist_id, count(*) AS n_rows, min(item_code) AS first_code, CAST(sum(rate) AS DECIMAL(18,2)) AS rates FROM items GROUP BY 1"),
+    "heads_dumped": (heads_dumped, f"WITH {V.ITEMS_SQL} SELECT item_code, id, description FROM items ORDER BY item_code, id LIMIT 7"),
+    "only_project": (only_project, f"WITH {V.PROJECTS_SQL} SELECT id, name, contractor_id, budget FROM projects WHERE id = 5"),
     "stream_ledger_kpis": (stream_ledger_kpis, ledger_kpis_sql(AFTER)),
 }

@@ -38,9 +38,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def has_folders(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder with folders in it, such as a table with partitions."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(where) and any(f.isDirectory() and not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(where))
 
 
 def send_code(spark: SparkSession) -> None:
@@ -49,7 +51,7 @@ def send_code(spark: SparkSession) -> None:
     if not hasattr(sc, "_claimspark_sent"):
         top = Path(__file__).resolve().parents[2]
         sc._claimspark_sent = tempfile.TemporaryDirectory(prefix="claimspark-code-")  # removed when the program ends
-        sc.addPyFile(shutil.make_archive(f"{sc._claimspark_sent.name}/claimspark_llm", "zip", top, "claimspark"))
+        sc.addPyFile(shutil.make_archive(f"{sc._claimspark_sent.name}/claimspark_code", "zip", top, "claimspark"))
 
 
 @atexit.register

@@ -8,12 +8,13 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimspark.operators.changes import update_where
 from claimspark.operators.constraints import Constraints, judged
 from claimspark.operators.references import Reference, going, in_order
 
-from .shared import exists, kept, remove
+from .shared import has_folders, kept, remove
 
 TAKEN, REFUSED = "taken", "refused"
 
@@ -32,24 +33,32 @@ def load(new: DataFrame, path: str, load_id: str, rules: Constraints, order: lis
     spark = new.sparkSession
     earlier = loaded(spark, path)
     own = None if earlier is None else earlier.filter(F.col("load") != F.lit(load_id))
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(load_id)
     for verdict in (TAKEN, REFUSED):
-        if exists(spark, at := f"{path}/verdict={verdict}/load={load_id}"):
-            remove(spark, at)
+        remove(spark, f"{path}/verdict={verdict}/load={name}")
     rows = judged(new, rules, order, own, batch)
     verdict = F.when(F.size("reasons") == 0, TAKEN).otherwise(REFUSED)
     _dynamic(rows.withColumn("verdict", verdict).withColumn("load", F.lit(load_id)), ["verdict", "load"], path)
 
 
+def _loads(spark: SparkSession, at: str) -> DataFrame | None:
+    """A table with its loads' names as they were given; none without any load."""
+    if not has_folders(spark, at):
+        return None
+    found = spark.read.option("basePath", at).parquet(at).schema
+    named = T.StructType([T.StructField(f.name, T.StringType() if f.name == "load" else f.dataType) for f in found])  # 007 is no number
+    return spark.read.schema(named).option("basePath", at).parquet(at)
+
+
 def loaded(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows that were taken, with `load`; none if nothing was."""
-    at = f"{path}/verdict={TAKEN}"
-    return spark.read.option("basePath", at).parquet(at).drop("reasons").withColumn("load", F.col("load").cast("string")) if exists(spark, at) else None
+    rows = _loads(spark, f"{path}/verdict={TAKEN}")
+    return None if rows is None else rows.drop("reasons")
 
 
 def refused(spark: SparkSession, path: str) -> DataFrame | None:
-    """The rows that were refused, with `reasons` and `load`."""
-    at = f"{path}/verdict={REFUSED}"
-    return spark.read.option("basePath", at).parquet(at).withColumn("load", F.col("load").cast("string")) if exists(spark, at) else None
+    """The rows that were refused, with `reasons` and `load`; none if nothing was."""
+    return _loads(spark, f"{path}/verdict={REFUSED}")
 
 
 def rewrite(spark: SparkSession, path: str, by: list[str], touched: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame]) -> int:

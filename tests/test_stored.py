@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from claimspark.operators import ledger as L
 from claimspark.operators.constraints import Constraints, judged
+from claimspark.operators.findings import merge_strategy
 from claimspark.operators.references import Reference, deleted, going, in_order
 from claimspark.sources import files, stored, views, workbooks
 from claimspark.streaming import feeds, sinks
@@ -50,6 +51,12 @@ def test_a_load_runs_twice_with_one_result(spark, tmp_path):
     for _ in range(2):
         stored.load(more, path, "2", rules(spark), ["no"])
         assert both()[0] == [1, 7, 12] and (11, "unique:code", "2") in both()[1]
+    for odd in ("007", "7", "a b:c/d%"):
+        stored.load(spark.createDataFrame([(hash(odd) % 1000 + 100, odd, "A", 1, odd)], SCHEMA), path, odd, rules(spark), ["no"])
+        stored.load(spark.createDataFrame([(hash(odd) % 1000 + 100, odd, "A", 1, odd)], SCHEMA), path, odd, rules(spark), ["no"])
+    assert sorted(r["load"] for r in stored.loaded(spark, path).filter("no >= 100").collect()) == ["007", "7", "a b:c/d%"]
+    for odd in ("007", "7", "a b:c/d%"):
+        stored.load(new.limit(0), path, odd, rules(spark), ["no"])
     stored.load(new.filter("no = 7"), path, "one", rules(spark), ["no"])  # what an earlier run refused doesn't stay
     assert both() == ([7, 12], [(11, "unique:code", "2")])
 
@@ -75,9 +82,12 @@ def test_updates_rewrite_only_touched_partitions(spark, tmp_path):
     assert stored.delete_stored(spark, path, ["bucket", "half"], spark.range(0, 200, 10), "id") == 1  # all of bucket 0, half 0
     held = {k: v for k, v in held.items() if k % 10}
     assert read() == held and not (tmp_path / "ledger" / "bucket=0" / "half=b%3A0").exists() and not list((tmp_path / "ledger").glob("_rewrite*"))
+    strategy = spark.createDataFrame([(11, '{"risk":"low"}')], "id bigint, advice string")
+    assert stored.update_stored(spark, path, ["bucket", "half"], strategy, "id", {"note": merge_strategy(F.lit('{"a":1}'), F.col("advice"))}) == 1  # a merge of JSON is an update like any other
+    held[11] = (1, "b:1", '{"a":1,"expert_strategy":{"risk":"low"}}')
     assert stored.update_stored_where(spark, path, ["bucket", "half"], F.col("note").like("new%"), {"note": F.lit("done")}) == 1
     assert stored.delete_stored_where(spark, path, ["bucket", "half"], F.col("bucket") == 4) == 2
-    assert read() == {k: (b, h, "done" if n != "old" else n) for k, (b, h, n) in held.items() if b != 4}
+    assert read() == {k: (b, h, "done" if n.startswith("new") else n) for k, (b, h, n) in held.items() if b != 4}
     assert stored.delete_stored(spark, path, ["bucket", "half"], spark.range(1000, 1001), "id") == 0
     with pytest.raises(ValueError):
         stored.update_stored(spark, path, ["bucket", "half"], keys, "id", {"bucket": F.lit(1)})
