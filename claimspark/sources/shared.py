@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,40 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of the largest table for which a query's shuffles get a partition.
+ROWS_A_PARTITION = 500_000
+#: Bytes of a side, as Spark estimates them, up to which it is broadcast on large tables: a broadcast table is memory of each task, and what is broadcast by default grows to a hundred times that.
+BROADCAST_BYTES = 1_000_000
+#: Shuffled bytes up to which AQE joins partitions there: rows are several times that in a task's memory.
+JOINED_BYTES = 16_000_000
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a setting such as 10485760b, 8m or -1."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
+def sized(spark: SparkSession, rows: int, rows_a_partition: int = ROWS_A_PARTITION) -> SparkSession:
+    """spark, if its number of shuffle partitions is enough for that many rows; else a session beside it with the same settings, more partitions and smaller broadcasts.
+
+    A task of a join, a sort or a window then has as many rows on large tables as on small ones. AQE still joins small partitions and splits hot ones, which it
+    doesn't do to those of a repartition by number.
+    """
+    partitions, name = -(-rows // rows_a_partition), "spark.sql.shuffle.partitions"
+    if partitions <= int(spark.conf.get(name)):
+        return spark
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set(name, partitions)
+    for k, most in (("spark.sql.autoBroadcastJoinThreshold", BROADCAST_BYTES), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", JOINED_BYTES)):
+        if _bytes(spark.conf.get(k)) > most:
+            own.conf.set(k, most)
+    return own
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -4,7 +4,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from claimspark import catalog
 from claimspark.operators import documents
+from claimspark.sources import shared
 
 
 def test_pairs_of_one_project_are_dealt_out(spark):
@@ -16,3 +18,16 @@ def test_pairs_of_one_project_are_dealt_out(spark):
     got = documents.pairs_in_project(docs, block=7, pairs=100).withColumn("task", F.spark_partition_id()).collect()
     assert Counter(tuple(r)[:5] for r in got) == Counter(expected)
     assert max(Counter(r["task"] for r in got if r["project_id"] == "hot").values()) < 1000 and documents.pairs_in_project(docs.limit(0)).count() == 0
+
+
+def test_more_partitions_on_larger_tables(spark, monkeypatch):
+    assert shared.sized(spark, 2_000_000) is spark  # four partitions are enough
+    own = shared.sized(spark, 2_000_001)
+    assert int(own.conf.get("spark.sql.shuffle.partitions")) == 5 and int(spark.conf.get("spark.sql.shuffle.partitions")) == 4
+    assert own.conf.get("spark.sql.session.timeZone") == "UTC"
+    for size, n in [("10485760b", 10485760), ("8m", 8 << 20), ("256KB", 256 << 10), ("-1", -1), ("64MB", 64 << 20)]:
+        assert shared._bytes(size) == n
+    monkeypatch.setattr(shared.sized, "__defaults__", (700,))
+    for name in ("letter_rows", "appendix_rows", "price_priority"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" in plan and ", 4)" not in plan and ", 9)" in plan, name
