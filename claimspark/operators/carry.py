@@ -40,3 +40,23 @@ def carried(rows: DataFrame, keys: list[str], order: list[Column], keep: Callabl
     own = placed.select("*", *[F.last(c, ignorenulls=True).over(inner).alias(f"_o{i}") for i, c in enumerate(last.values())])
     out = [F.col(c) for c in rows.columns] + ([(F.col("_rows") + F.col("_at") - F.col("_first") + 1).cast("bigint").alias(place)] if place else [])
     return own.join(before, on).select(*out, *[F.coalesce(f"_o{i}", f"_b{i}").alias(name) for i, name in enumerate(last)])
+
+
+#: Rows of a group up to which one task numbers it.
+MOST = 1_000_000
+
+
+def placed(rows: DataFrame, keys: list[str], order: list[Column], counts: DataFrame, keep: Callable[[DataFrame], DataFrame], place: str, most: int = MOST) -> DataFrame:
+    """rows with `place` (from 1, within their group), shuffled once; rows and counts (keys, `n`) are read more than once, so they should be tables.
+
+    Groups of up to `most` rows are numbered by a window; larger ones, of which there are few, are dealt out by ranges (`carried`). Null keys are a group.
+    """
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    hot = counts.filter(F.col("n") > most).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
+    if hot.isEmpty():
+        return rows.withColumn(place, number)
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+    large = carried(rows.join(F.broadcast(hot), on, "left_semi"), keys, order, keep, place=place)
+    return rows.join(F.broadcast(hot), on, "left_anti").withColumn(place, number).unionByName(large)

@@ -12,7 +12,7 @@ from claimspark.functions.scalars import has_text, lookup, once, shekels, text_o
 
 from claimspark.sources.shared import kept
 
-from .carry import carried
+from .carry import MOST, placed
 from .ledger import MONEY, money_sum, net_or_product
 
 ROW = ["total", "price", "quantity", "unit", "text", "code", "no"]
@@ -68,16 +68,20 @@ def marked_parts(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"(\[[12]\])", "\u0001$1\u0001"), "\u0001", -1), lambda x: x != "")
 
 
-def export_rows(ledger: DataFrame, project: str = "project_id", tie: list[str] = ["letter_id", "line_no", "item_id"]) -> DataFrame:  # noqa: B006
-    """Ten text columns c1 to c10 of each project's export, ordered by (section, place): details by creation, a blank row, five totals."""
+def export_rows(ledger: DataFrame, project: str = "project_id", tie: list[str] = ["letter_id", "line_no", "item_id"], most: int = MOST) -> DataFrame:  # noqa: B006
+    """Ten text columns c1 to c10 of each project's export, ordered by (section, place): details by creation, a blank row, five totals.
+
+    The ledger's rows are made once, as a table of their own columns; sums and counts of projects, and places, come of it, and texts only of placed rows.
+    """
     e, text = F.lit(""), lambda c: c.cast("string")
     amount = lambda c: text(F.coalesce(F.col(c), F.lit(0)))
-    cells = [lookup(F.col("type"), X.EXPORT_LABELS, F.col("type")), text_or(text(F.col("item_code")), e), text_or(F.col("description"), e), text_or(F.col("unit"), e)] + [amount(c) for c in ("quantity", "unit_price_excl_vat", "total_price_excl_vat", "markup_percentage", "vat_amount", "total_price_incl_vat")]
-    rows = ledger.select(project, "created_at", *[c for c in tie if c not in (project, "created_at")], *[c.alias(f"c{i}") for i, c in enumerate(cells, 1)])
-    placed = carried(rows, [project], [F.asc_nulls_last("created_at"), *[F.asc_nulls_first(c) for c in tie]], kept, place="place")
-    detail = placed.select(project, F.lit(0).alias("section"), "place", *[f"c{i}" for i in range(1, 11)])
+    amounts = ["quantity", "unit_price_excl_vat", "total_price_excl_vat", "markup_percentage", "vat_amount", "total_price_incl_vat"]
+    cells = [lookup(F.col("type"), X.EXPORT_LABELS, F.col("type")), text_or(text(F.col("item_code")), e), text_or(F.col("description"), e), text_or(F.col("unit"), e)] + [amount(c) for c in amounts]
+    rows = kept(ledger.select(*dict.fromkeys([project, "created_at", *tie, "type", "item_code", "description", "unit", *amounts])))
     base = F.col("type") == "BASE_CONTRACT"
-    sums = ledger.groupBy(project).agg(money_sum("total_price_excl_vat", base).alias("a"), money_sum("total_price_excl_vat", ~base).alias("b"), money_sum("total_price_excl_vat").alias("c"), money_sum("vat_amount").alias("d"), money_sum("total_price_incl_vat").alias("e"))
+    sums = kept(rows.groupBy(project).agg(F.count("*").alias("n"), money_sum("total_price_excl_vat", base).alias("a"), money_sum("total_price_excl_vat", ~base).alias("b"), money_sum("total_price_excl_vat").alias("c"), money_sum("vat_amount").alias("d"), money_sum("total_price_incl_vat").alias("e")))
+    all_placed = placed(rows, [project], [F.asc_nulls_last("created_at"), *[F.asc_nulls_first(c) for c in tie]], sums.select(project, "n"), kept, "place", most)
+    detail = all_placed.select(project, F.lit(0).alias("section"), "place", *[c.alias(f"c{i}") for i, c in enumerate(cells, 1)])
     at = {"a": 7, "b": 7, "c": 7, "d": 9, "e": 10}
     total = lambda label, s: F.struct(*[(F.lit(label) if i == 1 else text(F.col(s)) if i == at[s] else e).alias(f"c{i}") for i in range(1, 11)])
     blank = F.struct(*[e.alias(f"c{i}") for i in range(1, 11)])

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from claimspark import catalog
-from claimspark.operators import documents
+from claimspark.operators import documents, letters
 from claimspark.sources import shared
 
 
@@ -31,3 +31,20 @@ def test_more_partitions_on_larger_tables(spark, monkeypatch):
     for name in ("letter_rows", "appendix_rows", "price_priority"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" in plan and ", 4)" not in plan and ", 9)" in plan, name
+
+
+def test_export_makes_the_ledger_once(spark, tmp_path):
+    """Places are equal with windows, with ranges for all groups, and in a plain version; the ledger's text is made once and shuffled once."""
+    ledger = spark.sql("""SELECT IF(id % 7 = 0, NULL, id % 3) AS project_id, date_add(DATE'2024-01-01', CAST(id * 37 % 50 AS INT)) AS created_at, id AS letter_id, 'BASE_CONTRACT' AS type, 'c' AS item_code, concat('d', id) AS description, 'u' AS unit,
+      CAST(id AS DECIMAL(15,2)) AS quantity, CAST(1 AS DECIMAL(15,2)) AS unit_price_excl_vat, CAST(id AS DECIMAL(15,2)) AS total_price_excl_vat, CAST(0 AS DECIMAL(5,4)) AS markup_percentage, CAST(1 AS DECIMAL(15,2)) AS vat_amount, CAST(id + 1 AS DECIMAL(15,2)) AS total_price_incl_vat FROM range(300)""")
+    plain = {}
+    for p in (0, 1, 2, None):
+        own = sorted((i * 37 % 50, i) for i in range(300) if (None if i % 7 == 0 else i % 3) == p)
+        plain |= {f"d{i}": (p, k) for k, (_, i) in enumerate(own, 1)}
+    results = [letters.export_rows(ledger, tie=["letter_id"], most=most) for most in (1_000_000, 80, 0)]
+    plan = results[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Range (" not in plan and plan.count("Exchange") == 1  # of rows, by their project
+    for got in results:
+        rows = got.collect()
+        assert {r["c3"]: (r["project_id"], r["place"]) for r in rows if r["section"] == 0} == plain and len(rows) == 300 + 4 * 6
+    assert Counter(map(tuple, results[0].collect())) == Counter(map(tuple, results[1].collect()))
