@@ -37,7 +37,7 @@ def kept(df: DataFrame) -> DataFrame:
 #: Rows of the largest table for which a query's shuffles get a partition.
 ROWS_A_PARTITION = 500_000
 #: Bytes of a side, as Spark estimates them, up to which it is broadcast on large tables: a broadcast table is memory of each task, and what is broadcast by default grows to a hundred times that.
-BROADCAST_BYTES = 1_000_000
+BROADCAST_BYTES = 100_000
 #: Shuffled bytes up to which AQE joins partitions there: rows are several times that in a task's memory.
 JOINED_BYTES = 16_000_000
 

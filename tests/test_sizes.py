@@ -48,3 +48,8 @@ def test_export_makes_the_ledger_once(spark, tmp_path):
         rows = got.collect()
         assert {r["c3"]: (r["project_id"], r["place"]) for r in rows if r["section"] == 0} == plain and len(rows) == 300 + 4 * 6
     assert Counter(map(tuple, results[0].collect())) == Counter(map(tuple, results[1].collect()))
+
+
+def test_price_priority_reads_the_ledger_once(spark):
+    plan = catalog.queries()["price_priority"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_returnflag") and plan.count("lineitem.parquet") == 1
