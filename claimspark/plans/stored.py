@@ -19,7 +19,7 @@ from .money import ledger_kpis_sql
 
 def rows_quarantined(spark, sf):
     """Ledger rows in two loads, of which the second is run twice: rows without evidence, of pending orders, of projects that are gone, or of an item that the project has, are refused."""
-    rows = V.ledger(spark, sf).select("letter_id", "line_no", "project_id", "item_id", "type", "ai_rationale")
+    rows = kept(V.ledger(spark, sf).select("letter_id", "line_no", "project_id", "item_id", "type", "ai_rationale"))  # each load reads them twice
     there = V.projects(spark, sf).filter("id % 10 <> 0").select("id")
     rules = Constraints(not_null=("ai_rationale",), members={"type": ("BASE_CONTRACT", "APPROVED_VO")}, references={"project_id": (there, "id")}, unique=(("project_id", "item_id"),))
     path = scratch(spark)
