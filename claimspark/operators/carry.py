@@ -46,17 +46,41 @@ def carried(rows: DataFrame, keys: list[str], order: list[Column], keep: Callabl
 MOST = 1_000_000
 
 
-def placed(rows: DataFrame, keys: list[str], order: list[Column], counts: DataFrame, keep: Callable[[DataFrame], DataFrame], place: str, most: int = MOST) -> DataFrame:
-    """rows with `place` (from 1, within their group), shuffled once; rows and counts (keys, `n`) are read more than once, so they should be tables.
+#: Hashes by which rows are counted before keys are.
+SLOTS = 1 << 14
 
-    Groups of up to `most` rows are numbered by a window; larger ones, of which there are few, are dealt out by ranges (`carried`). Null keys are a group.
+
+def crowded(rows: DataFrame, keys: list[str], most: int = MOST, slots: int = SLOTS) -> DataFrame | None:
+    """The keys of groups of over `most` rows; none without any.
+
+    Rows are counted by a hash of their keys first, which shuffles no more than `slots` rows a task; keys are counted one by one only where a hash has that many rows.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots))
+    full = [r["_slot"] for r in rows.groupBy(slot.alias("_slot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("_slot").collect()]
+    return rows.filter(slot.isin(full)).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys) if full else None
+
+
+def placed(rows: DataFrame, keys: list[str], order: list[Column], keep: Callable[[DataFrame], DataFrame], place: str, totals: dict[str, Column], most: int = MOST, complete: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """complete(rows) with `place` (from 1, within their group) and, of `totals`, aggregates of the whole group; rows are read more than once, so they should be a table.
+
+    Rows are shuffled once, by their keys, and as narrow as they are given: `complete` adds what follows from a row's own columns, behind the shuffle. Places and totals of a group of
+    up to `most` rows come of one window; larger groups, of which there are few, are dealt out by ranges (`carried`). Null keys are a group.
     """
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
-    hot = counts.filter(F.col("n") > most).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
-    if hot.isEmpty():
-        return rows.withColumn(place, number)
+    group = Window.partitionBy(*keys).orderBy(*order)
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def by_window(own: DataFrame) -> DataFrame:
+        dealt = complete(own.repartition(*keys))
+        return dealt.select("*", F.row_number().over(group).cast("bigint").alias(place), *[c.over(whole).alias(name) for name, c in totals.items()])
+
+    hot = crowded(rows, keys, most)
+    if hot is None:
+        return by_window(rows)
+    hot = keep(hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]))
     on = F.lit(True)
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_h{i}"))
-    large = carried(rows.join(F.broadcast(hot), on, "left_semi"), keys, order, keep, place=place)
-    return rows.join(F.broadcast(hot), on, "left_anti").withColumn(place, number).unionByName(large)
+    large = complete(rows.join(F.broadcast(hot), on, "left_semi"))
+    sums = large.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(*[c.alias(name) for name, c in totals.items()])
+    by_ranges = carried(large, keys, order, keep, place=place).join(F.broadcast(sums), on)
+    return by_window(rows.join(F.broadcast(hot), on, "left_anti")).unionByName(by_ranges.drop(*[f"_h{i}" for i in range(len(keys))]))

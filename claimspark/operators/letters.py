@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,25 +69,29 @@ def marked_parts(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"(\[[12]\])", "\u0001$1\u0001"), "\u0001", -1), lambda x: x != "")
 
 
-def export_rows(ledger: DataFrame, project: str = "project_id", tie: list[str] = ["letter_id", "line_no", "item_id"], most: int = MOST) -> DataFrame:  # noqa: B006
+def export_rows(ledger: DataFrame, project: str = "project_id", tie: list[str] = ["letter_id", "line_no", "item_id"], most: int = MOST, complete: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:  # noqa: B006
     """Ten text columns c1 to c10 of each project's export, ordered by (section, place): details by creation, a blank row, five totals.
 
-    The ledger's rows are made once, as a table of their own columns; sums and counts of projects, and places, come of it, and texts only of placed rows.
+    The ledger's rows are made once, as a table of their own columns, and shuffled once, by their project: there each gets its place and its project's sums, and the last one of a project brings the rows
+    behind it. With `complete`, ledger has only what a row can't do without, and complete(rows) adds the columns that follow from these when they are needed.
     """
     e, text = F.lit(""), lambda c: c.cast("string")
     amount = lambda c: text(F.coalesce(F.col(c), F.lit(0)))
     amounts = ["quantity", "unit_price_excl_vat", "total_price_excl_vat", "markup_percentage", "vat_amount", "total_price_incl_vat"]
     cells = [lookup(F.col("type"), X.EXPORT_LABELS, F.col("type")), text_or(text(F.col("item_code")), e), text_or(F.col("description"), e), text_or(F.col("unit"), e)] + [amount(c) for c in amounts]
-    rows = kept(ledger.select(*dict.fromkeys([project, "created_at", *tie, "type", "item_code", "description", "unit", *amounts])))
+    needed = list(dict.fromkeys([project, "created_at", *tie, "type", "item_code", "description", "unit", *amounts]))
     base = F.col("type") == "BASE_CONTRACT"
-    sums = kept(rows.groupBy(project).agg(F.count("*").alias("n"), money_sum("total_price_excl_vat", base).alias("a"), money_sum("total_price_excl_vat", ~base).alias("b"), money_sum("total_price_excl_vat").alias("c"), money_sum("vat_amount").alias("d"), money_sum("total_price_incl_vat").alias("e")))
-    all_placed = placed(rows, [project], [F.asc_nulls_last("created_at"), *[F.asc_nulls_first(c) for c in tie]], sums.select(project, "n"), kept, "place", most)
-    detail = all_placed.select(project, F.lit(0).alias("section"), "place", *[c.alias(f"c{i}") for i, c in enumerate(cells, 1)])
-    at = {"a": 7, "b": 7, "c": 7, "d": 9, "e": 10}
-    total = lambda label, s: F.struct(*[(F.lit(label) if i == 1 else text(F.col(s)) if i == at[s] else e).alias(f"c{i}") for i in range(1, 11)])
-    blank = F.struct(*[e.alias(f"c{i}") for i in range(1, 11)])
-    summary = sums.select(project, F.posexplode(F.array(blank, *[total(label, s) for label, s in zip(X.EXPORT_TOTALS, at, strict=True)])).alias("place", "r"))
-    return detail.unionByName(summary.select(project, F.lit(1).alias("section"), F.col("place").cast("bigint").alias("place"), "r.*"))
+    net = F.col("total_price_excl_vat")
+    sums = {"_a": F.sum(F.when(base, net)), "_b": F.sum(F.when(~base, net)), "_c": F.sum(net), "_d": F.sum("vat_amount"), "_e": F.sum("total_price_incl_vat")}
+    rows = kept(ledger if complete else ledger.select(*needed))
+    own = (lambda r: complete(r).select(*needed)) if complete else (lambda r: r)
+    all_placed = placed(rows, [project], [F.asc_nulls_last("created_at"), *[F.asc_nulls_first(c) for c in tie]], kept, "place", {"_n": F.count("*")} | sums, most, own)
+    # line 0 is the row itself, 1 the blank row, from 2 on the totals
+    lines = all_placed.withColumn("_line", F.explode(F.when(F.col("place") == F.col("_n"), F.sequence(F.lit(0), F.lit(6))).otherwise(F.array(F.lit(0)))))
+    line, at = F.col("_line"), {"_a": 7, "_b": 7, "_c": 7, "_d": 9, "_e": 10}
+    total = lambda i: F.coalesce(*[F.when(line == k, text(F.coalesce(F.col(s), F.lit(0)).cast(MONEY))) for k, s in enumerate(at, 2) if at[s] == i], e) if i in at.values() else e
+    ends = [F.coalesce(*[F.when(line == k, label) for k, label in enumerate(X.EXPORT_TOTALS, 2)], e)] + [total(i) for i in range(2, 11)]
+    return lines.select(project, F.when(line == 0, 0).otherwise(1).alias("section"), F.when(line == 0, F.col("place")).otherwise((line - 1).cast("bigint")).alias("place"), *[F.when(line == 0, c).otherwise(end).alias(f"c{i}") for i, (c, end) in enumerate(zip(cells, ends, strict=True), 1)])
 
 
 def csv_lines(rows: DataFrame, strict: bool = False) -> DataFrame:

@@ -78,8 +78,11 @@ def ledger_types_after_letters(spark, sf):
 
 
 def _exported(spark, sf):
-    rows = V.ledger(spark, sf).withColumn("item_code", F.when(F.col("item_id") % 3 > 0, F.col("item_id").cast("string"))).withColumn("markup_percentage", F.lit(0).cast("decimal(5,4)"))
-    return letters.export_rows(rows.withColumn("description", F.concat("description", F.lit(' "x"'))), tie=["letter_id", *ORDER])
+    def complete(rows):
+        coded = V.ledger_stated(rows).withColumn("item_code", F.when(F.col("item_id") % 3 > 0, F.col("item_id").cast("string"))).withColumn("markup_percentage", F.lit(0).cast("decimal(5,4)"))
+        return coded.withColumn("description", F.concat("description", F.lit(' "x"')))
+
+    return letters.export_rows(V.ledger_base(spark, sf).drop("ai_rationale"), tie=["letter_id", *ORDER], complete=complete)
 
 
 def export_rows(spark, sf):

@@ -14,21 +14,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its order's project and its part's text; three stored amounts."""
+    return ledger_stated(ledger_base(spark, sf_dir)).select(
+        "project_id", "letter_id", "line_no", "item_id", "type", "source", "description", "unit", "quantity", "unit_price_excl_vat", "vat_rate", "ai_rationale", "created_at", "total_price_excl_vat", "vat_amount", "total_price_incl_vat"
+    )
+
+
+def ledger_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ledger's other columns follow from."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    kind = F.when(F.col("l_returnflag") == "N", "BASE_CONTRACT").when(F.col("l_returnflag") == "A", "APPROVED_VO").otherwise("PENDING_VO")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return with_amounts(
-        rows.select(
-            F.col("o_custkey").alias("project_id"), F.col("l_orderkey").alias("letter_id"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("item_id"), kind.alias("type"),
-            F.when(F.col("l_returnflag") == "N", "BOQ").otherwise("CUSTOM_ANALYSIS").alias("source"), F.col("p_name").alias("description"), F.lit("u").alias("unit"),
-            F.col("l_quantity").cast("decimal(12,2)").alias("quantity"), F.col("l_extendedprice").cast("decimal(15,2)").alias("unit_price_excl_vat"), F.lit("0.18").cast("decimal(5,4)").alias("vat_rate"),
-            F.when(F.col("l_linestatus") == "F", F.col("p_type")).alias("ai_rationale"), F.col("l_shipdate").alias("created_at"),
-        )
+    return rows.select(
+        F.col("o_custkey").alias("project_id"), F.col("l_orderkey").alias("letter_id"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("item_id"), F.col("l_returnflag").alias("flag"), F.col("p_name").alias("description"),
+        F.col("l_quantity").cast("decimal(12,2)").alias("quantity"), F.col("l_extendedprice").cast("decimal(15,2)").alias("unit_price_excl_vat"),
+        F.when(F.col("l_linestatus") == "F", F.col("p_type")).alias("ai_rationale"), F.col("l_shipdate").alias("created_at"),
     )
 
 
+def ledger_stated(base: DataFrame) -> DataFrame:
+    """Rows of ledger_base with type, source, unit, rate and amounts instead of their flag."""
+    flag = F.col("flag")
+    kind = F.when(flag == "N", "BASE_CONTRACT").when(flag == "A", "APPROVED_VO").otherwise("PENDING_VO")
+    added = {"type": kind, "source": F.when(flag == "N", "BOQ").otherwise("CUSTOM_ANALYSIS"), "unit": F.lit("u"), "vat_rate": F.lit("0.18").cast("decimal(5,4)")}
+    return with_amounts(base.withColumns(added).drop("flag"))
+
+
 LEDGER_SQL = """base_rows AS (SELECT o_custkey AS project_id, l_orderkey AS letter_id, l_linenumber AS line_no, l_partkey AS item_id,
   CASE l_returnflag WHEN 'N' THEN 'BASE_CONTRACT' WHEN 'A' THEN 'APPROVED_VO' ELSE 'PENDING_VO' END AS type,
   CASE WHEN l_returnflag = 'N' THEN 'BOQ' ELSE 'CUSTOM_ANALYSIS' END AS source, p_name AS description, 'u' AS unit,

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from claimspark import catalog
-from claimspark.operators import documents, letters
+from claimspark.operators import carry, documents, letters
 from claimspark.sources import shared
 
 
@@ -53,3 +53,34 @@ def test_export_makes_the_ledger_once(spark, tmp_path):
 def test_price_priority_reads_the_ledger_once(spark):
     plan = catalog.queries()["price_priority"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("l_returnflag") and plan.count("lineitem.parquet") == 1
+
+
+def test_export_shuffles_what_a_row_cannot_do_without(spark):
+    """Amounts and texts follow from narrow rows behind the shuffle, and projects' sums need no shuffle of their own."""
+    for name in ("export_rows", "export_lines"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        read = [x for x in plan.split("\n") if "ReadSchema" in x]
+        assert len(read) == 1 and "unit_price_excl_vat" in read[0] and not any(c in read[0] for c in ("vat_amount", "total_price", "vat_rate", "item_code", "unit:")), name
+        assert plan.count("Exchange") == 1, name
+
+
+def test_crowded_groups_are_counted_by_hash_first(spark):
+    rows = spark.sql("SELECT IF(id < 50, NULL, IF(id < 90, 7, id)) AS k FROM range(200)")
+    for slots in (1, 3, 1 << 14):
+        assert {r["k"] for r in carry.crowded(rows, ["k"], 39, slots).collect()} == {None, 7}
+        assert {r["k"] for r in carry.crowded(rows, ["k"], 40, slots).collect()} == {None}
+    assert carry.crowded(rows, ["k"], 50) is None
+
+
+def test_export_completes_rows_in_all_ways(spark):
+    rows = spark.sql("""SELECT id % 3 AS project_id, date_add(DATE'2024-01-01', CAST(id % 7 AS INT)) AS created_at, id, IF(id % 2 = 0, 'BASE_CONTRACT', 'PENDING_VO') AS type FROM range(100)""")
+
+    def complete(r):
+        money = {c: F.col("id").cast("decimal(15,2)") for c in ("quantity", "unit_price_excl_vat", "total_price_excl_vat", "vat_amount", "total_price_incl_vat", "markup_percentage")}
+        return r.withColumns({c: F.lit("x") for c in ("item_code", "description", "unit")} | money)
+
+    expected = Counter(map(tuple, letters.export_rows(complete(rows), tie=["id"]).collect()))
+    sums = {p: sum(i for i in range(100) if i % 3 == p) for p in range(3)}
+    assert {r[0]: r[-1] for r in expected if r[1] == 1 and r[2] == 5} == {p: f"{n}.00" for p, n in sums.items()}
+    for most in (1_000_000, 33, 0):
+        assert Counter(map(tuple, letters.export_rows(rows, tie=["id"], most=most, complete=complete).collect())) == expected
