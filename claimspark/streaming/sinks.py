@@ -23,14 +23,18 @@ def each_batch_once(rows: DataFrame, path: str, tables: dict[str, Callable[[Data
     """Writes of each batch of a stream what `tables` makes of it, to path/<name>/batch=<number>; reads all that is there, then ends.
 
     The tables of a batch are written one after the other. If a run stops between them, the stream repeats the batch with the same
-    rows and the same number, and its folders are written anew: nothing is counted twice and nothing is lost.
+    rows and the same number, and its folders are written anew: nothing is counted twice and nothing is lost. Only for several tables is a batch kept: rows that
+    are kept are many times their files, and a task reads all that another one has kept of its files.
     """
+    several = len(tables) > 1
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        if several:
+            batch.persist()
         for name, of in tables.items():
             _put(of(batch), f"{path}/{name}", number)
-        batch.unpersist()
+        if several:
+            batch.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}/_checkpoint").trigger(availableNow=True).start()
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from claimspark.operators import changes
 from claimspark.sources import views
-from claimspark.streaming import feeds
+from claimspark.streaming import feeds, sinks
 
 
 def replay(df, mode, name):
@@ -24,3 +24,19 @@ def test_feeds_equal_batch(spark, tmp_path):
     assert counted == {r["severity"]: r["count"] for r in all_.filter("op = 'INSERT'").groupBy("severity").count().collect()}
     now = changes.latest_state(all_).filter("status = 'OPEN' and severity = 'HIGH'").count()
     assert replay(feeds.open_high_changes(feed()), "append", "deltas").agg(F.sum("delta")).first()[0] == now
+
+
+def test_a_batch_for_one_table_is_not_kept(spark, tmp_path):
+    """Rows that are kept are many times their files, and a task would read all that is kept of its files."""
+    views.changes(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "feed"))
+    kept = []
+
+    def same(batch):
+        kept.append(batch.is_cached)
+        return batch
+
+    for names in (["one"], ["one", "two"]):
+        sinks.each_batch_once(feeds.read_feed(spark, str(tmp_path / "feed")), str(tmp_path / f"to{len(names)}"), dict.fromkeys(names, same)).awaitTermination()
+        for name in names:
+            assert sinks.table(spark, str(tmp_path / f"to{len(names)}"), name, feeds.FEED).count() == views.changes(spark, "/root/testdata/sf0.001").count()
+    assert kept == [False, True, True]
