@@ -36,6 +36,8 @@ def kept(df: DataFrame) -> DataFrame:
 
 #: Rows of the largest table for which a query's shuffles get a partition.
 ROWS_A_PARTITION = 500_000
+#: Partitions up to which a table is small: whatever Spark broadcasts or joins of it is little memory of a task.
+FEW = 12
 #: Bytes of a side, as Spark estimates them, up to which it is broadcast on large tables: a broadcast table is memory of each task, and what is broadcast by default grows to a hundred times that.
 BROADCAST_BYTES = 100_000
 #: Shuffled bytes up to which AQE joins partitions there: rows are several times that in a task's memory.
@@ -49,19 +51,20 @@ def _bytes(size: str) -> int:
 
 
 def sized(spark: SparkSession, rows: int, rows_a_partition: int = ROWS_A_PARTITION) -> SparkSession:
-    """spark, if its number of shuffle partitions is enough for that many rows; else a session beside it with the same settings, more partitions and smaller broadcasts.
+    """spark, if that many rows are few and its number of shuffle partitions is enough; else a session beside it with the same settings, as many partitions at least and smaller broadcasts.
 
-    A task of a join, a sort or a window then has as many rows on large tables as on small ones. AQE still joins small partitions and splits hot ones, which it
+    A number of partitions that is enough doesn't do by itself, as AQE joins partitions of any number up to its bytes. A task of a join, a sort or a window then has as many rows on large tables as on small ones. AQE still joins small partitions and splits hot ones, which it
     doesn't do to those of a repartition by number.
     """
     partitions, name = -(-rows // rows_a_partition), "spark.sql.shuffle.partitions"
-    if partitions <= int(spark.conf.get(name)):
+    given = int(spark.conf.get(name))
+    if partitions <= min(given, FEW):
         return spark
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():
         if own.conf.isModifiable(k):
             own.conf.set(k, v)
-    own.conf.set(name, partitions)
+    own.conf.set(name, max(partitions, given))
     for k, most in (("spark.sql.autoBroadcastJoinThreshold", BROADCAST_BYTES), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", JOINED_BYTES)):
         if _bytes(spark.conf.get(k)) > most:
             own.conf.set(k, most)

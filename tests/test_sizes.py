@@ -84,3 +84,14 @@ def test_export_completes_rows_in_all_ways(spark):
     assert {r[0]: r[-1] for r in expected if r[1] == 1 and r[2] == 5} == {p: f"{n}.00" for p, n in sums.items()}
     for most in (1_000_000, 33, 0):
         assert Counter(map(tuple, letters.export_rows(rows, tie=["id"], most=most, complete=complete).collect())) == expected
+
+
+def test_many_partitions_do_not_stand_for_small_tasks(spark):
+    """AQE would join 200 partitions to a few of 64 MB, and broadcast sides that grow."""
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", 200)
+    assert shared.sized(wide, 6_000_000) is wide
+    own = shared.sized(wide, 6_000_001)
+    assert own is not wide and own.conf.get("spark.sql.shuffle.partitions") == "200"
+    assert shared._bytes(own.conf.get("spark.sql.autoBroadcastJoinThreshold")) == shared.BROADCAST_BYTES and shared._bytes(own.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == shared.JOINED_BYTES
+    assert shared.sized(wide, 100_000_001).conf.get("spark.sql.shuffle.partitions") == "201"
