@@ -2,10 +2,12 @@
 
 from collections import Counter
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from claimspark import catalog
 from claimspark.operators import carry, documents, letters
+from claimspark.plans import claims
 from claimspark.sources import shared
 
 
@@ -20,6 +22,20 @@ def test_pairs_of_one_project_are_dealt_out(spark):
     assert max(Counter(r["task"] for r in got if r["project_id"] == "hot").values()) < 1000 and documents.pairs_in_project(docs.limit(0)).count() == 0
 
 
+def test_a_pair_takes_little_of_the_disk(spark, tmp_path):
+    """All pairs are written, with steps as differences: they took 4 bytes a pair. No list of ids is unfolded to pairs."""
+    spark.range(4000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text", "IF(id % 2 = 0, 'en', 'de') AS lang", "IF(id < 3600, 'hot', 'b') AS source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    pairs, before = claims.contracts_by_executions(spark, str(tmp_path)), spark.conf.getAll
+    assert not any("posexplode" in x for x in pairs._jdf.queryExecution().executedPlan().toString().split("\n"))
+    pairs.write.parquet(out := f"{tmp_path}/pairs")
+    n, files = 1800**2 + 200**2, [*(tmp_path / "pairs").glob("*.parquet")]
+    assert sum(f.stat().st_size for f in files) < n / 2 and spark.conf.getAll == before
+    metas = [pq.ParquetFile(f).metadata for f in files]
+    assert {m.row_group(g).column(3).encodings for m in metas for g in range(m.num_row_groups)} == {("DELTA_BINARY_PACKED",)}
+    got = spark.read.parquet(out).groupBy("project_id").agg(F.count("*"), F.countDistinct("step"), F.max("step"), F.countDistinct("contract_id", "execution_id"), F.min("progress"), F.max("progress"))
+    assert {tuple(r) for r in got.collect()} == {("hot", 1800**2, 1800**2, 1800**2 - 1, 1800**2, 10, 80), ("b", 200**2, 200**2, 200**2 - 1, 200**2, 10, 80)}
+
+
 def test_more_partitions_on_larger_tables(spark, monkeypatch):
     assert shared.sized(spark, 2_000_000) is spark  # four partitions are enough
     own = shared.sized(spark, 2_000_001)
