@@ -26,7 +26,8 @@ def test_a_pair_takes_little_of_the_disk(spark, tmp_path):
     """All pairs are written, with steps as differences: they took 4 bytes a pair. No list of ids is unfolded to pairs."""
     spark.range(4000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text", "IF(id % 2 = 0, 'en', 'de') AS lang", "IF(id < 3600, 'hot', 'b') AS source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     pairs, before = claims.contracts_by_executions(spark, str(tmp_path)), spark.conf.getAll
-    assert not any("posexplode" in x for x in pairs._jdf.queryExecution().executedPlan().toString().split("\n"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and plan.count("REPARTITION_BY_NUM") == 4  # blocks, before their rows are repeated for units, and units
     pairs.write.parquet(out := f"{tmp_path}/pairs")
     n, files = 1800**2 + 200**2, [*(tmp_path / "pairs").glob("*.parquet")]
     assert sum(f.stat().st_size for f in files) < n / 2 and spark.conf.getAll == before
